@@ -6,7 +6,7 @@ The rules follow the bindings of FIXTURES.md section 4, over whole tables.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import list_cell
+from plumbline.functions.text import list_cell, sql_literal
 from plumbline.schema import PARSED_KPI, REGISTRY
 from plumbline.sources.series import series_from_numbers, series_from_text
 
@@ -33,35 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def registry_text_rows(rows: DataFrame, key: str, name: str) -> DataFrame:
     """A registry derived from a key, list fields still as comma-joined cells."""
-    k = F.col(key)
 
-    def pick(modulus: int, texts: dict[int, str], default: str | None) -> Column:
-        chosen = F
-        for remainder, value in texts.items():
-            chosen = chosen.when(k % modulus == remainder, F.lit(value))
-        return chosen.otherwise(F.lit(default))
-
-    return rows.select(
-        k.cast("bigint").alias("kpi_id"),
-        F.col(name).alias("name"),
-        pick(5, dict(enumerate(DEFINITIONS)), None).alias("definition"),
-        pick(4, {3: "sum of quantity", 2: "total = sum(quantity)"}, "shipped / ordered").alias(
-            "formula"
-        ),
-        pick(11, {0: ""}, "Calendar year").alias("time_period"),
-        pick(2, {0: "IPEDS"}, "SIS").alias("primary_source_system"),
-        pick(3, {0: ""}, "SIS, ERP ,").alias("secondary_source_systems"),
-        pick(4, dict(enumerate(AUDIENCES)), None).alias("intended_audience"),
-        pick(7, {0: ""}, "supp_id").alias("identifier_fields"),
-        pick(6, {0: "IPEDS,SIS", 1: "SIS,SIS"}, "IPEDS").alias("source_systems_in_join"),
-        pick(17, {0: "  "}, "Registrar").alias("data_owner"),
-        F.when(k % 13 != 0, F.lit("Institutional Research")).alias("data_steward"),
-        pick(8, {0: "Survey response bias"}, "Partial final year").alias("known_limitations"),
-        pick(5, {1: "none noted", 4: ""}, "Varies by demographic segment").alias(
-            "bias_or_equity_risks"
+    def pick(modulus: int, texts: dict[int, str], default: str | None) -> str:
+        cases = " ".join(
+            f"WHEN {remainder} THEN {sql_literal(value)}" for remainder, value in texts.items()
+        )
+        otherwise = sql_literal(default) if default is not None else "NULL"
+        return f"CASE {key} % {modulus} {cases} ELSE {otherwise} END"
+
+    fields = {
+        "kpi_id": f"cast({key} AS bigint)",
+        "name": name,
+        "definition": pick(5, dict(enumerate(DEFINITIONS)), None),
+        "formula": pick(4, {3: "sum of quantity", 2: "total = sum(quantity)"}, "shipped / ordered"),
+        "time_period": pick(11, {0: ""}, "Calendar year"),
+        "primary_source_system": pick(2, {0: "IPEDS"}, "SIS"),
+        "secondary_source_systems": pick(3, {0: ""}, "SIS, ERP ,"),
+        "intended_audience": pick(4, dict(enumerate(AUDIENCES)), None),
+        "identifier_fields": pick(7, {0: ""}, "supp_id"),
+        "source_systems_in_join": pick(6, {0: "IPEDS,SIS", 1: "SIS,SIS"}, "IPEDS"),
+        "data_owner": pick(17, {0: "  "}, "Registrar"),
+        "data_steward": f"if({key} % 13 = 0, NULL, 'Institutional Research')",
+        "known_limitations": pick(8, {0: "Survey response bias"}, "Partial final year"),
+        "bias_or_equity_risks": pick(
+            5, {1: "none noted", 4: ""}, "Varies by demographic segment"
         ),
-        (k % 19 != 0).alias("human_signoff_required"),
-    )
+        "human_signoff_required": f"{key} % 19 <> 0",
+    }
+    return rows.selectExpr(*[f"{rule} AS {field}" for field, rule in fields.items()])
 
 
 def as_registry(text_rows: DataFrame) -> DataFrame:

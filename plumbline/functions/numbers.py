@@ -22,14 +22,10 @@ def to_whole(column: Column) -> Column:
     return column.try_cast("bigint")
 
 
-def is_real(column: Column) -> Column:
+def sql_is_real(expression: str) -> str:
     """Neither NULL nor NaN. Spark sorts NaN above every number, so tests need this guard."""
-    return column.isNotNull() & ~F.isnan(column)
+    return f"({expression} IS NOT NULL AND NOT isnan({expression}))"
 
 
-def half_even(column: Column, digits: int) -> Column:
-    return F.bround(column, digits)
-
-
-def one_decimal(column: Column) -> Column:
-    return F.format_string("%.1f", F.bround(column, 1))
+def sql_one_decimal(expression: str) -> str:
+    return f"format_string('%.1f', bround({expression}, 1))"

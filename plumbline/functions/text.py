@@ -1,4 +1,9 @@
-"""Text tests and list building on columns."""
+"""Text tests and list building.
+
+Rules are written as SQL expressions: the functions named ``sql_*`` return expression text, so
+that a whole rule set reaches Spark in one call instead of hundreds of small ones. The others
+work on columns.
+"""
 
 import re
 
@@ -7,65 +12,86 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four ASCII separators; Spark's trim() only knows spaces.
 _SPACE = r"[\s\x1c-\x1f]"
+_BLANK = f"(?U)^{_SPACE}*$"
+_ENDS = f"(?U)^{_SPACE}+|{_SPACE}+$"
+
+SQL_EMPTY_LIST = "cast(array() AS array<string>)"
 
-EMPTY_LIST = F.array().cast("array<string>")
 
+def sql_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def text(name: str) -> Column:
+
+def sql_text(name: str) -> str:
     """The column with NULL read as the empty text."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return f"coalesce({name}, '')"
 
 
-def blank(column: Column) -> Column:
-    return column.isNull() | column.rlike(f"(?U)^{_SPACE}*$")
+def sql_blank(name: str) -> str:
+    return f"({name} IS NULL OR {name} RLIKE {sql_literal(_BLANK)})"
 
 
-def filled(name: str) -> Column:
+def sql_filled(name: str) -> str:
     """Not NULL and not empty; spaces count as content."""
-    return text(name) != ""
+    return f"({sql_text(name)} <> '')"
 
 
-def strip(column: Column) -> Column:
-    return F.regexp_replace(column, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+def sql_strip(expression: str) -> str:
+    return f"regexp_replace({expression}, {sql_literal(_ENDS)}, '')"
 
 
-def any_of(terms: list[str]) -> str:
-    return "|".join(re.escape(term) for term in terms)
+def sql_contains_any(expression: str, terms: list[str]) -> str:
+    pattern = "|".join(re.escape(term) for term in terms)
+    return f"({expression} RLIKE {sql_literal(pattern)})"
 
 
-def mentions(column: Column, terms: list[str]) -> Column:
+def sql_mentions(expression: str, terms: list[str]) -> str:
     """Case-insensitive substring test against a short list of terms."""
-    return F.lower(column).rlike(any_of(terms))
+    return sql_contains_any(f"lower({expression})", terms)
 
 
-def list_cell(column: Column) -> Column:
-    """A comma-joined cell as a list: items stripped, empty items left out."""
-    tidy = F.regexp_replace(
-        F.coalesce(column, F.lit("")), f"(?U){_SPACE}*(,{_SPACE}*)+", ","
-    )
-    bare = F.regexp_replace(strip(tidy), "^,|,$", "")
-    return F.when(bare == "", EMPTY_LIST).otherwise(F.split(bare, ","))
+def sql_list(name: str) -> str:
+    """The list column with NULL read as the empty list."""
+    return f"coalesce({name}, {SQL_EMPTY_LIST})"
 
 
-def texts_where(*rules: tuple[Column, Column | str]) -> Column:
-    """The texts whose condition holds, in the order given.
+def sql_texts(items: list[str]) -> str:
+    return f"array({', '.join(sql_literal(item) for item in items)})"
 
-    Written as a concatenation of one-item lists because that stays inside generated code,
-    while lambda functions such as filter() do not.
+
+def sql_texts_where(*rules: tuple[str, str]) -> str:
+    """The items whose condition holds, in order. Items are expressions; see ``said``.
+
+    A concatenation of one-item lists stays inside generated code; filter() would not.
     """
-    parts = [
-        F.when(condition, F.array(item if isinstance(item, Column) else F.lit(item)))
-        .otherwise(EMPTY_LIST)
-        for condition, item in rules
-    ]
-    return F.concat(*parts)
+    parts = [f"if({condition}, array({item}), {SQL_EMPTY_LIST})" for condition, item in rules]
+    return f"concat({', '.join(parts)})"
+
 
+def said(text: str) -> str:
+    return sql_literal(text)
 
-def text_list(items: list[str]) -> Column:
-    return F.array(*[F.lit(item) for item in items])
+
+def sql_struct(**fields: str) -> str:
+    parts = [f"{sql_literal(name)}, {expression}" for name, expression in fields.items()]
+    return f"named_struct({', '.join(parts)})"
+
+
+def strip(column: Column) -> Column:
+    return F.regexp_replace(column, _ENDS, "")
+
+
+def list_cell(column: Column) -> Column:
+    """A comma-joined cell as a list: items stripped, empty items left out."""
+    tidy = F.regexp_replace(
+        F.coalesce(column, F.lit("")), f"(?U){_SPACE}*(,{_SPACE}*)+", ","
+    )
+    bare = F.regexp_replace(strip(tidy), "^,|,$", "")
+    return F.when(bare == "", F.expr(SQL_EMPTY_LIST)).otherwise(F.split(bare, ","))
 
 
-def joined(items: Column, separator: str = "; ") -> Column:
+def joined(items: Column | str, separator: str = "; ") -> Column:
     return F.array_join(items, separator)
 
 

@@ -7,241 +7,197 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.numbers import one_decimal
-from plumbline.functions.text import filled, mentions, text, texts_where
-from plumbline.operators.metadata import shows_operator
-from plumbline.operators.series import has_variation, stable_range
+from plumbline.functions.numbers import sql_one_decimal
+from plumbline.functions.text import (
+    said,
+    sql_filled,
+    sql_literal,
+    sql_mentions,
+    sql_struct,
+    sql_text,
+    sql_texts_where,
+)
+from plumbline.operators.metadata import sql_shows_operator
+from plumbline.operators.series import SQL_HAS_VARIATION, SQL_STABLE_RANGE
+
+# Criterion name to the fact it rests on; a NULL fact means it cannot be assessed.
+SMART = dict(
+    zip(
+        V.SMART_CRITERIA,
+        ["is_specific", "is_measurable", "is_achievable", "has_audience", "has_period"],
+    )
+)
+VISUAL = dict(
+    zip(
+        V.VISUAL_CRITERIA,
+        ["has_ratio", "has_units", "has_comparison", "has_segments", "is_owned"],
+    )
+)
 
 
 def with_design_facts(kpis: DataFrame) -> DataFrame:
     """Add the plain yes/no facts the criteria are made of, each worked out once."""
-    definition = text("definition")
-    risks = text("bias_or_equity_risks")
-    points = F.coalesce("n_points", F.lit(0))
-    return kpis.withColumns(
+    definition = sql_text("definition")
+    risks = sql_text("bias_or_equity_risks")
+    audience = sql_filled("intended_audience")
+    facts = {
+        "is_specific": f"length({definition}) > {V.SPECIFIC_DEFINITION_LENGTH}",
+        "is_measurable": sql_shows_operator(V.FORMULA_OPERATORS),
+        "is_achievable": SQL_STABLE_RANGE,
+        "has_audience": audience,
+        "has_period": sql_filled("time_period"),
+        "is_owned": f"{sql_filled('data_owner')} AND {audience}",
+        "has_ratio": sql_shows_operator(V.RATIO_OPERATORS),
+        "has_trend": f"coalesce(n_points, 0) >= {V.MIN_POINTS_FOR_TREND}",
+        "has_units": sql_mentions(definition, V.UNIT_TERMS),
+        "has_direction": sql_mentions(definition, V.DIRECTION_TERMS),
+        "has_comparison": sql_mentions(definition, V.COMPARISON_TERMS),
+        "has_variation": SQL_HAS_VARIATION,
+        "has_segments": sql_mentions(risks, V.SEGMENT_TERMS),
+        "names_segment": sql_mentions(risks, V.SEGMENT_ADVICE_TERMS),
+        "names_goal": sql_mentions(definition, V.GOAL_TERMS),
+    }
+    return kpis.withColumns({name: F.expr(test) for name, test in facts.items()})
+
+
+def with_design_scores(facts: DataFrame) -> DataFrame:
+    met = {
+        name: " + ".join(f"coalesce(cast({fact} AS int), 0)" for fact in criteria.values())
+        for name, criteria in (("smart", SMART), ("visual", VISUAL))
+    }
+    assessed = " + ".join(f"cast({fact} IS NOT NULL AS int)" for fact in SMART.values())
+    return facts.withColumns(
         {
-            "is_specific": F.length(definition) > V.SPECIFIC_DEFINITION_LENGTH,
-            "is_measurable": shows_operator(V.FORMULA_OPERATORS),
-            "is_achievable": stable_range(),
-            "has_audience": filled("intended_audience"),
-            "has_period": filled("time_period"),
-            "has_owner": filled("data_owner"),
-            "has_ratio": shows_operator(V.RATIO_OPERATORS),
-            "has_trend": points >= V.MIN_POINTS_FOR_TREND,
-            "has_units": mentions(definition, V.UNIT_TERMS),
-            "has_direction": mentions(definition, V.DIRECTION_TERMS),
-            "has_comparison": mentions(definition, V.COMPARISON_TERMS),
-            "has_variation": has_variation(),
-            "has_segments": mentions(risks, V.SEGMENT_TERMS),
-            "names_segment": mentions(risks, V.SEGMENT_ADVICE_TERMS),
-            "names_goal": mentions(definition, V.GOAL_TERMS),
+            "smart_met": F.expr(met["smart"]),
+            "smart_total": F.expr(assessed),
+            "visual_met": F.expr(met["visual"]),
         }
     )
 
 
-def smart_criteria() -> dict[str, Column]:
-    """Criterion name to a three-valued column: NULL means it cannot be assessed."""
-    return dict(
-        zip(
-            V.SMART_CRITERIA,
-            [
-                F.col("is_specific"),
-                F.col("is_measurable"),
-                F.col("is_achievable"),
-                F.col("has_audience"),
-                F.col("has_period"),
-            ],
-        )
+def with_design(kpis: DataFrame) -> DataFrame:
+    """Facts, scores, status and notes of step 9."""
+    scored = with_design_scores(with_design_facts(kpis))
+    notes = (
+        f"concat('SMART: ', {SQL_SMART_SCORE}, ', Tufte: ', {SQL_VISUAL_SCORE},"
+        f" ' (', {SQL_VISUAL_PERCENT}, '). ', {_by_scores(1)})"
     )
-
-
-def visual_criteria() -> dict[str, Column]:
-    return dict(
-        zip(
-            V.VISUAL_CRITERIA,
-            [
-                F.col("has_ratio"),
-                F.col("has_units"),
-                F.col("has_comparison"),
-                F.col("has_segments"),
-                F.col("has_owner") & F.col("has_audience"),
-            ],
-        )
+    return scored.withColumns(
+        {"design_status": F.expr(_by_scores(0)), "design_notes": F.expr(notes)}
     )
 
 
-def _met(criteria: dict[str, Column]) -> Column:
-    counts = [F.coalesce(column.cast("int"), F.lit(0)) for column in criteria.values()]
-    return sum(counts[1:], counts[0])
-
-
-def _assessed(criteria: dict[str, Column]) -> Column:
-    counts = [column.isNotNull().cast("int") for column in criteria.values()]
-    return sum(counts[1:], counts[0])
-
-
-def with_design_scores(facts: DataFrame) -> DataFrame:
-    visual = _met(visual_criteria())
-    return facts.withColumns(
+def without_design(kpis: DataFrame) -> DataFrame:
+    return kpis.withColumns(
         {
-            "smart_met": _met(smart_criteria()),
-            "smart_total": _assessed(smart_criteria()),
-            "visual_met": visual,
-            "visual_percent": visual * (100 // len(V.VISUAL_CRITERIA)),
+            "design_status": F.lit(V.DESIGN_SKIPPED[0]),
+            "design_notes": F.lit(V.DESIGN_SKIPPED[1]),
         }
     )
 
 
-def smart_score() -> Column:
-    return F.concat(F.col("smart_met"), F.lit("/"), F.col("smart_total"))
+SQL_SMART_SCORE = "concat(smart_met, '/', smart_total)"
+SQL_VISUAL_SCORE = f"concat(visual_met, '/{len(V.VISUAL_CRITERIA)}')"
+SQL_VISUAL_PERCENT = f"concat(visual_met * {100 // len(V.VISUAL_CRITERIA)}, '%')"
+SQL_ACTIONABILITY = "if(is_owned, 'High', 'Medium')"
 
 
-def visual_score() -> Column:
-    return F.concat(F.col("visual_met"), F.lit(f"/{len(V.VISUAL_CRITERIA)}"))
+def _by_scores(position: int) -> str:
+    smart = f"smart_met >= {V.GOOD_DESIGN_SCORE}"
+    visual = f"visual_met >= {V.GOOD_DESIGN_SCORE}"
+    return (
+        f"CASE WHEN {smart} AND {visual} THEN {sql_literal(V.DESIGN_STRONG[position])}"
+        f" WHEN {smart} THEN {sql_literal(V.DESIGN_NEEDS_VISUALS[position])}"
+        f" WHEN {visual} THEN {sql_literal(V.DESIGN_NEEDS_REFINEMENT[position])}"
+        f" ELSE {sql_literal(V.DESIGN_WEAK[position])} END"
+    )
 
 
-def smart_strengths() -> Column:
-    spread = F.col("max_value") - F.col("min_value")
+def sql_smart_strengths() -> str:
     before, after = V.ACHIEVABLE_STRENGTH.split("{:.1f}")
-    return texts_where(
-        (F.col("is_specific"), V.SPECIFIC_STRENGTH),
-        (F.col("is_measurable"), V.MEASURABLE_STRENGTH),
-        (F.col("is_achievable"), F.concat(F.lit(before), one_decimal(spread), F.lit(after))),
-        (
-            F.col("has_audience"),
-            F.concat(F.lit(V.RELEVANT_STRENGTH.format("")), text("intended_audience")),
-        ),
-        (
-            F.col("has_period"),
-            F.concat(F.lit(V.TIME_BOUND_STRENGTH.format("")), text("time_period")),
-        ),
+    spread = sql_one_decimal("max_value - min_value")
+    audience = sql_literal(V.RELEVANT_STRENGTH.format(""))
+    period = sql_literal(V.TIME_BOUND_STRENGTH.format(""))
+    return sql_texts_where(
+        ("is_specific", said(V.SPECIFIC_STRENGTH)),
+        ("is_measurable", said(V.MEASURABLE_STRENGTH)),
+        ("is_achievable", f"concat({sql_literal(before)}, {spread}, {sql_literal(after)})"),
+        ("has_audience", f"concat({audience}, {sql_text('intended_audience')})"),
+        ("has_period", f"concat({period}, {sql_text('time_period')})"),
     )
 
 
-def smart_issues() -> Column:
-    return texts_where(
-        (~F.col("is_specific"), V.SPECIFIC_ISSUE),
-        (~F.col("is_measurable"), V.MEASURABLE_ISSUE),
-        (~F.col("is_achievable"), V.ACHIEVABLE_ISSUE),
-        (~F.col("has_audience"), V.RELEVANT_ISSUE),
-        (~F.col("has_period"), V.TIME_BOUND_ISSUE),
+def sql_smart_issues() -> str:
+    return sql_texts_where(
+        ("NOT is_specific", said(V.SPECIFIC_ISSUE)),
+        ("NOT is_measurable", said(V.MEASURABLE_ISSUE)),
+        ("NOT is_achievable", said(V.ACHIEVABLE_ISSUE)),
+        ("NOT has_audience", said(V.RELEVANT_ISSUE)),
+        ("NOT has_period", said(V.TIME_BOUND_ISSUE)),
     )
 
 
-def visual_strengths() -> Column:
-    owned = F.col("has_owner") & F.col("has_audience")
-
-    def pair(base: Column, extra: str, with_extra: str, alone: str) -> tuple[Column, Column]:
-        return base, F.when(F.col(extra), with_extra).otherwise(alone)
-
-    return texts_where(
-        pair(F.col("has_ratio"), "has_trend", V.RATIO_AND_TREND, V.RATIO_ONLY),
-        pair(F.col("has_units"), "has_direction", V.UNITS_AND_DIRECTION, V.UNITS_ONLY),
-        pair(
-            F.col("has_comparison"), "has_variation", V.COMPARISON_AND_VARIATION,
-            V.COMPARISON_ONLY,
-        ),
-        (F.col("has_segments"), V.SEGMENTS_READY),
-        pair(owned, "has_direction", V.NARRATIVE_DIRECTED, V.NARRATIVE_OWNED),
-    )
+def _either(fact: str, when_true: str, otherwise: str) -> str:
+    return f"if({fact}, {sql_literal(when_true)}, {sql_literal(otherwise)})"
 
 
-def visual_issues() -> Column:
-    return texts_where(
+def sql_visual_strengths() -> str:
+    return sql_texts_where(
+        ("has_ratio", _either("has_trend", V.RATIO_AND_TREND, V.RATIO_ONLY)),
+        ("has_units", _either("has_direction", V.UNITS_AND_DIRECTION, V.UNITS_ONLY)),
         (
-            ~F.col("has_ratio"),
-            F.when(F.col("has_trend"), V.TREND_ONLY).otherwise(V.NO_RATIO_NO_TREND),
+            "has_comparison",
+            _either("has_variation", V.COMPARISON_AND_VARIATION, V.COMPARISON_ONLY),
         ),
-        (~F.col("has_units"), V.UNITS_UNCLEAR),
-        (
-            ~F.col("has_comparison"),
-            F.when(F.col("has_variation"), V.VARIATION_ONLY).otherwise(V.NO_COMPARISON),
-        ),
-        (~F.col("has_segments"), V.SEGMENTS_MISSING),
-        (~(F.col("has_owner") & F.col("has_audience")), V.NARRATIVE_MISSING),
+        ("has_segments", said(V.SEGMENTS_READY)),
+        ("is_owned", _either("has_direction", V.NARRATIVE_DIRECTED, V.NARRATIVE_OWNED)),
     )
 
 
-def design_recommendations() -> Column:
-    return texts_where(
-        (~F.col("names_segment"), V.ADVISE_SEGMENTS),
-        (~F.col("names_goal"), V.ADVISE_GOAL),
-        (F.col("has_trend"), V.ADVISE_TREND),
-        (~F.col("has_comparison"), V.ADVISE_COMPARISON),
-        (~F.col("has_direction"), V.ADVISE_DIRECTION),
-        (~F.col("has_ratio") & ~F.col("has_trend"), V.ADVISE_RATIO),
-    )
-
-
-def actionability() -> Column:
-    return F.when(F.col("has_owner") & F.col("has_audience"), "High").otherwise("Medium")
-
-
-def _by_scores(position: int) -> Column:
-    smart_good = F.col("smart_met") >= V.GOOD_DESIGN_SCORE
-    visual_good = F.col("visual_met") >= V.GOOD_DESIGN_SCORE
-    return (
-        F.when(smart_good & visual_good, V.DESIGN_STRONG[position])
-        .when(smart_good, V.DESIGN_NEEDS_VISUALS[position])
-        .when(visual_good, V.DESIGN_NEEDS_REFINEMENT[position])
-        .otherwise(V.DESIGN_WEAK[position])
+def sql_visual_issues() -> str:
+    return sql_texts_where(
+        ("NOT has_ratio", _either("has_trend", V.TREND_ONLY, V.NO_RATIO_NO_TREND)),
+        ("NOT has_units", said(V.UNITS_UNCLEAR)),
+        ("NOT has_comparison", _either("has_variation", V.VARIATION_ONLY, V.NO_COMPARISON)),
+        ("NOT has_segments", said(V.SEGMENTS_MISSING)),
+        ("NOT is_owned", said(V.NARRATIVE_MISSING)),
     )
 
 
-def design_status() -> Column:
-    return _by_scores(0)
-
-
-def design_notes() -> Column:
-    return F.concat(
-        F.lit("SMART: "),
-        smart_score(),
-        F.lit(", Tufte: "),
-        visual_score(),
-        F.lit(" ("),
-        F.col("visual_percent"),
-        F.lit("%). "),
-        _by_scores(1),
+def sql_design_recommendations() -> str:
+    return sql_texts_where(
+        ("NOT names_segment", said(V.ADVISE_SEGMENTS)),
+        ("NOT names_goal", said(V.ADVISE_GOAL)),
+        ("has_trend", said(V.ADVISE_TREND)),
+        ("NOT has_comparison", said(V.ADVISE_COMPARISON)),
+        ("NOT has_direction", said(V.ADVISE_DIRECTION)),
+        ("NOT has_ratio AND NOT has_trend", said(V.ADVISE_RATIO)),
     )
 
 
-def _named(columns: dict[str, Column]) -> Column:
-    return F.struct(*[column.alias(name) for name, column in columns.items()])
-
-
 def design_step() -> Column:
     """The full step as one nested column."""
-    return _named(
-        {
-            "status": design_status(),
-            "notes": design_notes(),
-            "details": _named(
-                {
-                    "smart_framework": _named(
-                        {
-                            "score": smart_score(),
-                            "criteria": _named(smart_criteria()),
-                            "strengths": smart_strengths(),
-                            "issues": smart_issues(),
-                        }
-                    ),
-                    "tufte_principles": _named(
-                        {
-                            "score": visual_score(),
-                            "percentage": F.concat(F.col("visual_percent"), F.lit("%")),
-                            "criteria": _named(visual_criteria()),
-                            "strengths": visual_strengths(),
-                            "issues": visual_issues(),
-                            "reference": F.lit(V.VISUAL_SOURCE),
-                        }
-                    ),
-                    "actionability": actionability(),
-                    "recommendations": design_recommendations(),
-                }
+    return F.expr(
+        sql_struct(
+            status="design_status",
+            notes="design_notes",
+            details=sql_struct(
+                smart_framework=sql_struct(
+                    score=SQL_SMART_SCORE,
+                    criteria=sql_struct(**SMART),
+                    strengths=sql_smart_strengths(),
+                    issues=sql_smart_issues(),
+                ),
+                tufte_principles=sql_struct(
+                    score=SQL_VISUAL_SCORE,
+                    percentage=SQL_VISUAL_PERCENT,
+                    criteria=sql_struct(**VISUAL),
+                    strengths=sql_visual_strengths(),
+                    issues=sql_visual_issues(),
+                    reference=sql_literal(V.VISUAL_SOURCE),
+                ),
+                actionability=SQL_ACTIONABILITY,
+                recommendations=sql_design_recommendations(),
             ),
-        }
+        )
     )
-
-
-def skipped_design_step() -> Column:
-    return _named({"status": F.lit(V.DESIGN_SKIPPED[0]), "notes": F.lit(V.DESIGN_SKIPPED[1])})

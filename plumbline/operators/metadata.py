@@ -1,153 +1,202 @@
 """Rules over the registry alone (steps 1, 2, 3, 5, 6) and the publish decision (step 7).
 
-Every rule is a column built from the registry's own columns, so all steps of a report are
-one projection over one scan.
+Every rule is an expression over the registry's own columns, so all steps of a report are
+projections over one scan.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
 from plumbline.functions.text import (
-    EMPTY_LIST,
-    any_of,
-    blank,
-    mentions,
-    strip,
-    text,
-    text_list,
-    texts_where,
+    SQL_EMPTY_LIST,
+    said,
+    sql_blank,
+    sql_contains_any,
+    sql_list,
+    sql_literal,
+    sql_mentions,
+    sql_strip,
+    sql_struct,
+    sql_text,
+    sql_texts,
+    sql_texts_where,
 )
 
-
-def step(good: Column, when_good: tuple, otherwise: tuple, **details: Column) -> Column:
-    """A check result: status and notes by one condition, plus typed details."""
-    return F.struct(
-        F.when(good, when_good[0]).otherwise(otherwise[0]).alias("status"),
-        F.when(good, when_good[1]).otherwise(otherwise[1]).alias("notes"),
-        F.struct(*[column.alias(name) for name, column in details.items()]).alias("details"),
-    )
-
-
-def list_of(name: str) -> Column:
-    return F.coalesce(F.col(name), EMPTY_LIST)
+_SYSTEMS = sql_list("source_systems_in_join")
 
 
-def joins_required() -> Column:
-    return F.size(list_of("source_systems_in_join")) > 1
+def sql_shows_operator(operators: list[str]) -> str:
+    return sql_contains_any(sql_text("formula"), operators)
 
 
-def register_step() -> Column:
+def _missing_fields() -> str:
     """Registered fields that are empty. NULL texts are not counted, nor is the sign-off."""
-    missing = texts_where(
+    return sql_texts_where(
         *[
             (
-                F.size(list_of(field)) == 0
+                f"size({sql_list(field)}) = 0"
                 if field in V.LIST_FIELDS
-                else F.col(field).isNotNull() & blank(F.col(field)),
-                field,
+                else f"{field} IS NOT NULL AND {sql_blank(field)}",
+                said(field),
             )
             for field in V.REGISTER_FIELDS
         ]
     )
-    return step(F.size(missing) == 0, V.REGISTER_PASS, V.REGISTER_GAP, missing_fields=missing)
 
 
-def shows_operator(operators: list[str]) -> Column:
-    return text("formula").rlike(any_of(operators))
+def _definition_issues() -> str:
+    short = f"length({sql_strip(sql_text('definition'))}) < {V.MIN_DEFINITION_LENGTH}"
+    return sql_texts_where(
+        (short, said(V.DEFINITION_SHORT)),
+        (f"NOT {sql_shows_operator(V.FORMULA_OPERATORS)}", said(V.FORMULA_NO_OPERATOR)),
+        (sql_blank("time_period"), said(V.TIME_PERIOD_MISSING)),
+    )
 
 
-def definition_step() -> Column:
-    issues = texts_where(
-        (F.length(strip(text("definition"))) < V.MIN_DEFINITION_LENGTH, V.DEFINITION_SHORT),
-        (~shows_operator(V.FORMULA_OPERATORS), V.FORMULA_NO_OPERATOR),
-        (blank(F.col("time_period")), V.TIME_PERIOD_MISSING),
+def _entity_issues() -> str:
+    return sql_texts_where(
+        (
+            f"joins_required AND size({sql_list('identifier_fields')}) = 0",
+            said(V.JOIN_WITHOUT_IDENTIFIERS),
+        ),
+        (
+            f"joins_required AND size(array_distinct({_SYSTEMS})) <> size({_SYSTEMS})",
+            said(V.JOIN_DUPLICATES),
+        ),
+    )
+
+
+def _missing_elements() -> str:
+    return sql_texts_where(
+        *[(sql_blank(field), said(field)) for field in V.GOVERNANCE_TEXT_FIELDS],
+        ("NOT (human_signoff_required <=> true)", said(V.SIGNOFF_MISSING)),
+    )
+
+
+def with_findings(registry: DataFrame) -> DataFrame:
+    """Add what the steps are decided on, each worked out once."""
+    comments = sql_mentions(
+        f"concat_ws(' ', {sql_text('definition')}, {sql_text('known_limitations')})",
+        V.SURVEY_TERMS,
+    )
+    return registry.withColumns(
+        {
+            "missing_fields": F.expr(_missing_fields()),
+            "definition_issues": F.expr(_definition_issues()),
+            "joins_required": F.expr(f"size({_SYSTEMS}) > 1"),
+            "has_survey_comments": F.expr(comments),
+            "missing_elements": F.expr(_missing_elements()),
+        }
+    ).withColumn("entity_issues", F.expr(_entity_issues())).withColumn(
+        "entity_risk_level",
+        F.expr(
+            "CASE WHEN NOT joins_required THEN 'Low'"
+            " WHEN size(entity_issues) = 0 THEN 'Moderate' ELSE 'High' END"
+        ),
     )
-    clear = F.size(issues) == 0
-    return step(
+
+
+def _step(good: str, when_good: tuple, otherwise: tuple, **details: str) -> Column:
+    """A check result: status and notes by one condition, plus typed details."""
+
+    def choose(position: int) -> str:
+        if when_good == otherwise:
+            return sql_literal(when_good[position])
+        return (
+            f"if({good}, {sql_literal(when_good[position])}, {sql_literal(otherwise[position])})"
+        )
+
+    return F.expr(
+        sql_struct(status=choose(0), notes=choose(1), details=sql_struct(**details))
+    )
+
+
+def register_step() -> Column:
+    return _step(
+        "size(missing_fields) = 0",
+        V.REGISTER_PASS,
+        V.REGISTER_GAP,
+        missing_fields="missing_fields",
+    )
+
+
+def definition_step() -> Column:
+    clear = "size(definition_issues) = 0"
+    return _step(
         clear,
         V.DEFINITION_CLEAR,
         V.DEFINITION_AMBIGUOUS,
-        issues=issues,
-        follow_up_prompts=F.when(clear, EMPTY_LIST).otherwise(text_list(V.FOLLOW_UP_PROMPTS)),
+        issues="definition_issues",
+        follow_up_prompts=f"if({clear}, {SQL_EMPTY_LIST}, {sql_texts(V.FOLLOW_UP_PROMPTS)})",
     )
 
 
 def entity_step() -> Column:
-    systems = list_of("source_systems_in_join")
-    required = joins_required()
-    issues = texts_where(
-        (required & (F.size(list_of("identifier_fields")) == 0), V.JOIN_WITHOUT_IDENTIFIERS),
-        (required & (F.size(F.array_distinct(systems)) != F.size(systems)), V.JOIN_DUPLICATES),
-    )
-    risk = (
-        F.when(~required, "Low").when(F.size(issues) == 0, "Moderate").otherwise("High")
+    recommendation = (
+        f"if(joins_required, {sql_literal(V.RESOLUTION_YES)}, {sql_literal(V.RESOLUTION_NO)})"
     )
-    return step(
-        risk != "High",
+    return _step(
+        "entity_risk_level <> 'High'",
         V.ENTITY_PASS,
         V.ENTITY_FAIL,
-        joins_required=required,
-        entity_risk_level=risk,
-        identifier_fields=list_of("identifier_fields"),
-        recommendation=F.when(required, V.RESOLUTION_YES).otherwise(V.RESOLUTION_NO),
-        issues=issues,
+        joins_required="joins_required",
+        entity_risk_level="entity_risk_level",
+        identifier_fields=sql_list("identifier_fields"),
+        recommendation=recommendation,
+        issues="entity_issues",
     )
 
 
 def ai_use_step() -> Column:
-    always = F.lit(True)
-    has_comments = mentions(
-        F.concat_ws(" ", text("definition"), text("known_limitations")), V.SURVEY_TERMS
-    )
-    return step(
-        always,
+    return _step(
+        "true",
         V.AI_USE,
         V.AI_USE,
-        permitted_ai_techniques=texts_where(
-            (joins_required(), V.LINKAGE_TECHNIQUE),
-            (always, V.SCREENING_TECHNIQUE),
-            (has_comments, V.COMMENT_TECHNIQUE),
+        permitted_ai_techniques=sql_texts_where(
+            ("joins_required", said(V.LINKAGE_TECHNIQUE)),
+            ("true", said(V.SCREENING_TECHNIQUE)),
+            ("has_survey_comments", said(V.COMMENT_TECHNIQUE)),
         ),
-        excluded_ai_techniques=text_list(V.EXCLUDED_TECHNIQUES),
-        rationale=texts_where(
-            (joins_required(), V.LINKAGE_RATIONALE),
-            (always, V.SCREENING_RATIONALE),
-            (has_comments, V.COMMENT_RATIONALE),
+        excluded_ai_techniques=sql_texts(V.EXCLUDED_TECHNIQUES),
+        rationale=sql_texts_where(
+            ("joins_required", said(V.LINKAGE_RATIONALE)),
+            ("true", said(V.SCREENING_RATIONALE)),
+            ("has_survey_comments", said(V.COMMENT_RATIONALE)),
         ),
     )
 
 
 def governance_step() -> Column:
-    missing = texts_where(
-        *[(blank(F.col(field)), field) for field in V.GOVERNANCE_TEXT_FIELDS],
-        (~F.col("human_signoff_required").eqNullSafe(F.lit(True)), V.SIGNOFF_MISSING),
-    )
-    return step(
-        F.size(missing) == 0,
+    return _step(
+        "size(missing_elements) = 0",
         V.GOVERNANCE_COMPLETE,
         V.GOVERNANCE_INCOMPLETE,
-        missing_elements=missing,
-        guardrails=text_list(V.GUARDRAILS),
+        missing_elements="missing_elements",
+        guardrails=sql_texts(V.GUARDRAILS),
     )
 
 
-def readiness_step(definition: str, entity: str, quality: str, governance: str) -> Column:
-    """The publish decision, from the names of four status columns."""
-    blockers = texts_where(
-        (F.col(definition) != V.DEFINITION_CLEAR[0], V.BLOCKER_DEFINITION),
-        (F.col(entity) == V.ENTITY_FAIL[0], V.BLOCKER_ENTITY),
-        (F.col(quality) == V.QUALITY_REVIEW[0], V.BLOCKER_QUALITY),
-        (F.col(governance) != V.GOVERNANCE_COMPLETE[0], V.BLOCKER_GOVERNANCE),
+def with_readiness(findings: DataFrame) -> DataFrame:
+    """Add the blockers and the publish decision; needs the findings and ``quality_status``."""
+    blockers = sql_texts_where(
+        ("size(definition_issues) > 0", said(V.BLOCKER_DEFINITION)),
+        ("entity_risk_level = 'High'", said(V.BLOCKER_ENTITY)),
+        (f"quality_status = {sql_literal(V.QUALITY_REVIEW[0])}", said(V.BLOCKER_QUALITY)),
+        ("size(missing_elements) > 0", said(V.BLOCKER_GOVERNANCE)),
     )
-    ready = F.size(blockers) == 0
-    return step(
-        ready,
-        V.READY,
-        V.NOT_READY,
-        blockers=blockers,
-        next_actions=F.when(ready, text_list(V.NEXT_ACTIONS_READY)).otherwise(
-            text_list(V.NEXT_ACTIONS_BLOCKED)
+    ready = "size(blockers) = 0"
+    return findings.withColumn("blockers", F.expr(blockers)).withColumn(
+        "step_7_readiness",
+        _step(
+            ready,
+            V.READY,
+            V.NOT_READY,
+            blockers="blockers",
+            next_actions=(
+                f"if({ready}, {sql_texts(V.NEXT_ACTIONS_READY)},"
+                f" {sql_texts(V.NEXT_ACTIONS_BLOCKED)})"
+            ),
+            note=sql_literal(V.READINESS_NOTE),
         ),
-        note=F.lit(V.READINESS_NOTE),
     )

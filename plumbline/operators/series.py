@@ -7,109 +7,106 @@ window over those few rows and joined back to the points. Both uses of the shuff
 read the same exchange.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.numbers import half_even, is_real
+from plumbline.functions.numbers import sql_is_real
+from plumbline.functions.text import sql_literal
 
 CHUNK_POINTS = 100_000
 
 # Order of the anomaly kinds within a KPI; (kind_order, ord) sorts a KPI's anomalies.
 KINDS = ["NonNumeric", "Outlier", "StepChange"]
 
+_Z_SCORE = "bround(z, 2)"
+_PCT_CHANGE = "bround(change * 100, 1)"
+
+# Range below its allowed share of the maximum; NULL when it cannot be assessed.
+SQL_STABLE_RANGE = (
+    f"if(n_points >= {V.MIN_POINTS_FOR_TREND},"
+    f" max_value - min_value < max_value * {V.STABLE_RANGE_SHARE}D, NULL)"
+)
+SQL_VARIATION = (
+    f"if({sql_is_real('mean')} AND mean > 0, try_divide(stdev, mean), 0D)"
+)
+# Coefficient of variation above its floor, for a positive mean and enough points.
+SQL_HAS_VARIATION = (
+    f"coalesce(n_points >= {V.MIN_POINTS_FOR_TREND} AND {sql_is_real(SQL_VARIATION)}"
+    f" AND {SQL_VARIATION} > {V.VARIATION_FLOOR}D, false)"
+)
+
 
 def series_stats(series: DataFrame) -> DataFrame:
     """Count, mean and population deviation of the numeric points, one row per KPI."""
-    constant = F.min("value") == F.max("value")
     return series.groupBy("kpi_id").agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.count("value").alias("n_numeric"),
-        F.when(constant, F.min("value")).otherwise(F.avg("value")).alias("mean"),
-        F.when(constant, F.lit(0.0)).otherwise(F.stddev_pop("value")).alias("stdev"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    )
-
-
-def stable_range() -> Column:
-    """Range below its allowed share of the maximum; NULL when it cannot be assessed."""
-    spread = F.col("max_value") - F.col("min_value")
-    return F.when(
-        F.col("n_points") >= V.MIN_POINTS_FOR_TREND,
-        spread < F.col("max_value") * F.lit(V.STABLE_RANGE_SHARE),
-    )
-
-
-def has_variation() -> Column:
-    """Coefficient of variation above its floor, for a positive mean and enough points."""
-    variation = F.when(
-        is_real(F.col("mean")) & (F.col("mean") > 0),
-        F.try_divide(F.col("stdev"), F.col("mean")),
-    ).otherwise(F.lit(0.0))
-    return F.coalesce(
-        (F.col("n_points") >= V.MIN_POINTS_FOR_TREND)
-        & is_real(variation)
-        & (variation > V.VARIATION_FLOOR),
-        F.lit(False),
+        F.expr("count(1) AS n_points"),
+        F.expr("count(value) AS n_numeric"),
+        F.expr("if(min(value) = max(value), min(value), avg(value)) AS mean"),
+        F.expr("if(min(value) = max(value), 0D, stddev_pop(value)) AS stdev"),
+        F.expr("min(value) AS min_value"),
+        F.expr("max(value) AS max_value"),
     )
 
 
 def series_spread(series: DataFrame) -> DataFrame:
     """Range and coefficient of variation per KPI with the two tests built on them."""
-    stats = series_stats(series)
-    return stats.select(
+    return series_stats(series).selectExpr(
         "kpi_id",
         "n_points",
         "min_value",
         "max_value",
-        (F.col("max_value") - F.col("min_value")).alias("spread"),
-        F.when(F.col("mean") > 0, F.try_divide(F.col("stdev"), F.col("mean")))
-        .otherwise(F.lit(0.0))
-        .alias("variation"),
-        stable_range().alias("stable_range"),
-        has_variation().alias("has_variation"),
+        "max_value - min_value AS spread",
+        f"{SQL_VARIATION} AS variation",
+        f"{SQL_STABLE_RANGE} AS stable_range",
+        f"{SQL_HAS_VARIATION} AS has_variation",
     )
 
 
 def _chunk_summaries(points: DataFrame) -> DataFrame:
     """One row per KPI and chunk, carrying what later chunks and the whole KPI need."""
-    numeric_ord = F.when(F.col("value").isNotNull(), F.col("ord"))
     parts = points.groupBy("kpi_id", "chunk").agg(
-        F.count("value").alias("part_n"),
-        F.avg("value").alias("part_mean"),
-        F.var_pop("value").alias("part_var"),
-        F.min("value").alias("part_min"),
-        F.max("value").alias("part_max"),
-        F.max_by(F.struct("period", "value"), numeric_ord).alias("part_last"),
+        F.expr("count(value) AS part_n"),
+        F.expr("avg(value) AS part_mean"),
+        F.expr("var_pop(value) AS part_var"),
+        F.expr("min(value) AS part_min"),
+        F.expr("max(value) AS part_max"),
+        F.expr("max_by(value, numeric_ord) AS last_value"),
+        F.expr("max_by(period, numeric_ord) AS last_period"),
     )
-    whole = Window.partitionBy("kpi_id")
-    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    merged = parts.select(
-        "*",
-        F.last("part_last", ignorenulls=True).over(earlier).alias("carried"),
-        F.sum("part_n").over(whole).alias("n_numeric"),
-        F.min("part_min").over(whole).alias("min_value"),
-        F.max("part_max").over(whole).alias("max_value"),
-        F.try_divide(
-            F.sum(F.col("part_n") * F.col("part_mean")).over(whole),
-            F.sum("part_n").over(whole),
-        ).alias("merged_mean"),
+    whole = "OVER (PARTITION BY kpi_id)"
+    earlier = (
+        "OVER (PARTITION BY kpi_id ORDER BY chunk"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    merged = parts.selectExpr(
+        "kpi_id AS at_kpi",
+        "chunk AS at_chunk",
+        "part_n",
+        "part_mean",
+        "part_var",
+        f"last(last_value, true) {earlier} AS carried_value",
+        # An absent period cannot be told from an absent point, so the label is boxed.
+        f"last(if(part_n > 0, array(last_period), NULL), true) {earlier}[0] AS carried_period",
+        f"sum(part_n) {whole} AS n_numeric",
+        f"min(part_min) {whole} AS min_value",
+        f"max(part_max) {whole} AS max_value",
+        f"try_divide(sum(part_n * part_mean) {whole}, sum(part_n) {whole}) AS merged_mean",
     )
-    shift = F.col("part_mean") - F.col("merged_mean")
-    squares = F.col("part_n") * (F.col("part_var") + shift * shift)
-    constant = F.col("min_value") == F.col("max_value")
-    return merged.select(
-        F.col("kpi_id").alias("at_kpi"),
-        F.col("chunk").alias("at_chunk"),
-        "carried",
+    squares = (
+        "sum(part_n * (part_var + (part_mean - merged_mean) * (part_mean - merged_mean)))"
+        " OVER (PARTITION BY at_kpi)"
+    )
+    return merged.selectExpr(
+        "at_kpi",
+        "at_chunk",
+        "carried_value",
+        "carried_period",
         "n_numeric",
         "min_value",
         "max_value",
-        F.when(constant, F.col("min_value")).otherwise(F.col("merged_mean")).alias("mean"),
-        F.when(constant, F.lit(0.0))
-        .otherwise(F.sqrt(F.try_divide(F.sum(squares).over(whole), F.col("n_numeric"))))
-        .alias("stdev"),
+        "if(min_value = max_value, min_value, merged_mean) AS mean",
+        f"if(min_value = max_value, 0D, sqrt(try_divide({squares}, n_numeric))) AS stdev",
     )
 
 
@@ -123,44 +120,30 @@ def screen_points(
 
     ``chunk_points`` only sets how a long series is divided among tasks, never the result.
     """
-    points = series.select(
+    points = series.selectExpr(
         "kpi_id",
         "ord",
         "period",
         "value",
-        F.expr(f"ord div {int(chunk_points)}").alias("chunk"),
+        "if(value IS NULL, NULL, ord) AS numeric_ord",
+        f"ord div {int(chunk_points)} AS chunk",
     ).repartition("kpi_id", "chunk")
     before = (
-        Window.partitionBy("kpi_id", "chunk")
-        .orderBy("ord")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        "OVER (PARTITION BY kpi_id, chunk ORDER BY ord"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    numeric = F.when(F.col("value").isNotNull(), F.struct("period", "value"))
-    followed = points.withColumn("in_chunk", F.last(numeric, ignorenulls=True).over(before))
-    together = (F.col("kpi_id") == F.col("at_kpi")) & (F.col("chunk") == F.col("at_chunk"))
-    linked = followed.join(_chunk_summaries(points), together).select(
+    followed = points.selectExpr(
         "kpi_id",
+        "chunk",
         "ord",
         "period",
         "value",
-        "n_numeric",
-        "mean",
-        "stdev",
-        "min_value",
-        "max_value",
-        F.coalesce("in_chunk", "carried").alias("previous"),
-    )
-    distance = F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("stdev")))
-    change = F.try_divide(
-        F.col("value") - F.col("previous.value"), F.col("previous.value")
-    )
-    measured = linked.select(
-        "*",
-        F.when((F.col("n_numeric") >= V.MIN_POINTS_FOR_TREND) & (F.col("stdev") > 0), distance)
-        .alias("z"),
-        F.when(F.col("value").isNotNull(), change).alias("change"),
+        f"last(value, true) {before} AS previous_value",
+        f"last(if(value IS NULL, NULL, array(period)), true) {before}[0] AS previous_period",
     )
-    return measured.select(
+    linked = followed.join(
+        _chunk_summaries(points), F.expr("kpi_id = at_kpi AND chunk = at_chunk")
+    ).selectExpr(
         "kpi_id",
         "ord",
         "period",
@@ -170,19 +153,26 @@ def screen_points(
         "stdev",
         "min_value",
         "max_value",
-        "z",
-        "change",
-        F.col("previous.period").alias("from_period"),
-        F.col("previous.value").alias("from_value"),
-        F.col("value").isNull().alias("is_non_numeric"),
-        (is_real(F.col("z")) & (F.col("z") >= z_threshold)).alias("is_outlier"),
-        (is_real(F.col("change")) & (F.abs("change") >= step_threshold)).alias("is_step_change"),
+        "coalesce(previous_value, carried_value) AS from_value",
+        "if(previous_value IS NULL, carried_period, previous_period) AS from_period",
+    )
+    measured = linked.selectExpr(
+        "*",
+        f"if(n_numeric >= {V.MIN_POINTS_FOR_TREND} AND stdev > 0,"
+        " abs(try_divide(value - mean, stdev)), NULL) AS z",
+        "try_divide(value - from_value, from_value) AS change",
+    )
+    return measured.selectExpr(
+        "*",
+        "value IS NULL AS is_non_numeric",
+        f"{sql_is_real('z')} AND z >= {float(z_threshold)}D AS is_outlier",
+        f"{sql_is_real('change')} AND abs(change) >= {float(step_threshold)}D AS is_step_change",
     )
 
 
 def non_numeric_points(series: DataFrame) -> DataFrame:
     """Points whose value is missing or not a number. No shuffle."""
-    return series.where(F.col("value").isNull()).select(
+    return series.where("value IS NULL").select(
         "kpi_id", "ord", "period", "value_raw", F.lit(V.NON_NUMERIC_NOTE).alias("note")
     )
 
@@ -191,14 +181,14 @@ def outliers(series: DataFrame, **options) -> DataFrame:
     return (
         screen_points(series, **options)
         .where("is_outlier")
-        .select(
+        .selectExpr(
             "kpi_id",
             "ord",
             "period",
             "value",
             "z",
-            half_even(F.col("z"), 2).alias("z_score"),
-            F.lit(V.OUTLIER_NOTE).alias("note"),
+            f"{_Z_SCORE} AS z_score",
+            f"{sql_literal(V.OUTLIER_NOTE)} AS note",
         )
     )
 
@@ -207,123 +197,112 @@ def step_changes(series: DataFrame, **options) -> DataFrame:
     return (
         screen_points(series, **options)
         .where("is_step_change")
-        .select(
+        .selectExpr(
             "kpi_id",
             "ord",
             "from_period",
-            F.col("period").alias("to_period"),
+            "period AS to_period",
             "from_value",
-            F.col("value").alias("to_value"),
+            "value AS to_value",
             "change",
-            half_even(F.col("change") * 100, 1).alias("pct_change"),
-            F.lit(V.STEP_CHANGE_NOTE).alias("note"),
+            f"{_PCT_CHANGE} AS pct_change",
+            f"{sql_literal(V.STEP_CHANGE_NOTE)} AS note",
         )
     )
 
 
-_ANOMALY_FIELDS = [
-    ("kind_order", "int"),
-    ("type", "string"),
-    ("period", "string"),
-    ("value_raw", "string"),
-    ("value", "double"),
-    ("z_score", "double"),
-    ("from_period", "string"),
-    ("to_period", "string"),
-    ("from_value", "double"),
-    ("to_value", "double"),
-    ("pct_change", "double"),
-    ("note", "string"),
-]
+_ANOMALY_FIELDS = {
+    "kind_order": "int",
+    "type": "string",
+    "period": "string",
+    "value_raw": "string",
+    "value": "double",
+    "z_score": "double",
+    "from_period": "string",
+    "to_period": "string",
+    "from_value": "double",
+    "to_value": "double",
+    "pct_change": "double",
+    "note": "string",
+}
 
 
-def _anomaly(kind: str, note: str, **fields: Column) -> Column:
+def _anomaly(kind: str, note: str, **fields: str) -> str:
     values = {
-        "kind_order": F.lit(KINDS.index(kind) + 1),
-        "type": F.lit(kind),
-        "note": F.lit(note),
+        "kind_order": str(KINDS.index(kind) + 1),
+        "type": sql_literal(kind),
+        "note": sql_literal(note),
         **fields,
     }
-    return F.struct(
-        *[
-            values.get(name, F.lit(None)).cast(kind_type).alias(name)
-            for name, kind_type in _ANOMALY_FIELDS
-        ]
-    )
+    columns = [
+        f"{sql_literal(name)}, cast({values.get(name, 'NULL')} AS {kind_type})"
+        for name, kind_type in _ANOMALY_FIELDS.items()
+    ]
+    return f"named_struct({', '.join(columns)})"
 
 
 def anomalies(series: DataFrame, **options) -> DataFrame:
     """All anomalies in one long table, sorted within a KPI by (kind_order, ord)."""
     outlier = _anomaly(
-        "Outlier",
-        V.OUTLIER_NOTE,
-        period=F.col("period"),
-        value=F.col("value"),
-        z_score=half_even(F.col("z"), 2),
+        "Outlier", V.OUTLIER_NOTE, period="period", value="value", z_score=_Z_SCORE
     )
     step = _anomaly(
         "StepChange",
         V.STEP_CHANGE_NOTE,
-        from_period=F.col("from_period"),
-        to_period=F.col("period"),
-        from_value=F.col("from_value"),
-        to_value=F.col("value"),
-        pct_change=half_even(F.col("change") * 100, 1),
+        from_period="from_period",
+        to_period="period",
+        from_value="from_value",
+        to_value="value",
+        pct_change=_PCT_CHANGE,
     )
-    flagged = screen_points(series, **options).where("is_outlier OR is_step_change")
-    found = flagged.select(
-        "kpi_id",
-        "ord",
-        F.explode(
-            F.when(F.col("is_outlier") & F.col("is_step_change"), F.array(outlier, step))
-            .when(F.col("is_outlier"), F.array(outlier))
-            .otherwise(F.array(step))
-        ).alias("anomaly"),
+    found = (
+        screen_points(series, **options)
+        .where("is_outlier OR is_step_change")
+        .selectExpr(
+            "kpi_id",
+            "ord",
+            f"inline(CASE WHEN NOT is_step_change THEN array({outlier})"
+            f" WHEN NOT is_outlier THEN array({step}) ELSE array({outlier}, {step}) END)",
+        )
     )
-    unread = series.where(F.col("value").isNull()).select(
-        "kpi_id",
-        "ord",
-        _anomaly(
-            "NonNumeric",
-            V.NON_NUMERIC_NOTE,
-            period=F.col("period"),
-            value_raw=F.col("value_raw"),
-        ).alias("anomaly"),
+    unread = _anomaly(
+        "NonNumeric", V.NON_NUMERIC_NOTE, period="period", value_raw="value_raw"
+    )
+    return found.unionByName(
+        series.where("value IS NULL").selectExpr("kpi_id", "ord", f"inline(array({unread}))")
     )
-    return found.unionByName(unread).select("kpi_id", "ord", "anomaly.*")
 
 
 def quality_rollup(series: DataFrame, **options) -> DataFrame:
     """One row per KPI: statistics, last value and the number of anomalies of each kind."""
     constant_over_kpi = ["n_numeric", "mean", "stdev", "min_value", "max_value"]
-    numeric_ord = F.when(F.col("value").isNotNull(), F.col("ord"))
     return (
         screen_points(series, **options)
         .groupBy("kpi_id")
         .agg(
-            F.count(F.lit(1)).alias("n_points"),
-            *[F.max(name).alias(name) for name in constant_over_kpi],
-            F.max_by("value", numeric_ord).alias("latest_value"),
-            F.count_if("is_non_numeric").alias("non_numeric_count"),
-            F.count_if("is_outlier").alias("outlier_count"),
-            F.count_if("is_step_change").alias("step_change_count"),
+            F.expr("count(1) AS n_points"),
+            *[F.expr(f"max({name}) AS {name}") for name in constant_over_kpi],
+            F.expr("max_by(value, if(value IS NULL, NULL, ord)) AS latest_value"),
+            F.expr("count_if(is_non_numeric) AS non_numeric_count"),
+            F.expr("count_if(is_outlier) AS outlier_count"),
+            F.expr("count_if(is_step_change) AS step_change_count"),
         )
     )
 
 
 def quality_columns() -> dict[str, Column]:
     """Status columns derived from a (possibly missing) row of ``quality_rollup``."""
-    count = F.coalesce(
-        F.col("non_numeric_count") + F.col("outlier_count") + F.col("step_change_count"),
-        F.lit(0),
-    )
-    clean = count == 0
+    count = "coalesce(non_numeric_count + outlier_count + step_change_count, 0)"
+
+    def choose(clean: str, otherwise: str) -> Column:
+        return F.expr(f"if({count} = 0, {sql_literal(clean)}, {sql_literal(otherwise)})")
+
     return {
-        "n_points": F.coalesce("n_points", F.lit(0)),
-        "anomaly_count": count,
-        "anomalies_detected": F.when(clean, "No").otherwise("Yes"),
-        "quality_status": F.when(clean, V.QUALITY_PASS[0]).otherwise(V.QUALITY_REVIEW[0]),
-        "quality_notes": F.when(clean, V.QUALITY_PASS[1]).otherwise(V.QUALITY_REVIEW[1]),
+        "n_points": F.expr("coalesce(n_points, 0)"),
+        "anomaly_count": F.expr(count),
+        "anomalies_detected": choose("No", "Yes"),
+        "quality_status": choose(V.QUALITY_PASS[0], V.QUALITY_REVIEW[0]),
+        "quality_notes": choose(V.QUALITY_PASS[1], V.QUALITY_REVIEW[1]),
     }
 
 
@@ -344,50 +323,40 @@ def chart_points(series: DataFrame, match: str = "label", **options) -> DataFram
         raise ValueError("match must be 'label' or 'position'")
     screened = screen_points(series, **options)
     if match == "position":
-        return screened.select(
+        return screened.selectExpr(
             "kpi_id",
             "ord",
             "period",
             "value",
-            F.col("is_outlier").cast("bigint").alias("outlier_marks"),
-            F.when(F.col("is_outlier"), half_even(F.col("z"), 2)).alias("z_score"),
-            F.col("is_step_change").cast("bigint").alias("step_marks"),
-            F.when(F.col("is_step_change"), half_even(F.col("change") * 100, 1)).alias(
-                "pct_change"
-            ),
+            "cast(is_outlier AS bigint) AS outlier_marks",
+            f"if(is_outlier, {_Z_SCORE}, NULL) AS z_score",
+            "cast(is_step_change AS bigint) AS step_marks",
+            f"if(is_step_change, {_PCT_CHANGE}, NULL) AS pct_change",
         )
-    outlier_ord = F.when(F.col("is_outlier"), F.col("ord"))
-    step_ord = F.when(F.col("is_step_change"), F.col("ord"))
     marks = (
         screened.where("is_outlier OR is_step_change")
         .groupBy("kpi_id", "period")
         .agg(
-            F.count_if("is_outlier").alias("outlier_marks"),
-            F.min_by(half_even(F.col("z"), 2), outlier_ord).alias("z_score"),
-            F.count_if("is_step_change").alias("step_marks"),
-            F.min_by(half_even(F.col("change") * 100, 1), step_ord).alias("pct_change"),
+            F.expr("count_if(is_outlier) AS outlier_marks"),
+            F.expr(f"min_by({_Z_SCORE}, if(is_outlier, ord, NULL)) AS z_score"),
+            F.expr("count_if(is_step_change) AS step_marks"),
+            F.expr(f"min_by({_PCT_CHANGE}, if(is_step_change, ord, NULL)) AS pct_change"),
         )
     )
     points = series.select("kpi_id", "ord", "period", "value")
-    placed = (
-        points.join(marks, ["kpi_id", "period"])
+    first_of_label = (
+        points.join(marks.select("kpi_id", "period"), ["kpi_id", "period"], "left_semi")
         .groupBy("kpi_id", "period")
-        .agg(
-            F.min("ord").alias("ord"),
-            *[
-                F.first(name).alias(name)
-                for name in ["outlier_marks", "z_score", "step_marks", "pct_change"]
-            ],
-        )
-        .drop("period")
+        .agg(F.min("ord").alias("ord"))
     )
-    return points.join(placed, ["kpi_id", "ord"], "left").select(
+    placed = first_of_label.join(marks, ["kpi_id", "period"]).drop("period")
+    return points.join(placed, ["kpi_id", "ord"], "left").selectExpr(
         "kpi_id",
         "ord",
         "period",
         "value",
-        F.coalesce("outlier_marks", F.lit(0)).alias("outlier_marks"),
+        "coalesce(outlier_marks, 0) AS outlier_marks",
         "z_score",
-        F.coalesce("step_marks", F.lit(0)).alias("step_marks"),
+        "coalesce(step_marks, 0) AS step_marks",
         "pct_change",
     )

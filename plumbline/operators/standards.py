@@ -4,24 +4,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.text import filled, mentions, text, texts_where
-
-
-def standard_checks() -> dict[str, Column]:
+from plumbline.functions.text import (
+    said,
+    sql_filled,
+    sql_literal,
+    sql_mentions,
+    sql_struct,
+    sql_text,
+    sql_texts_where,
+)
+
+CHECKS = [check for _, check, _, _ in V.STANDARDS]
+SQL_TOTAL_SCORE = f"concat(standards_met, '/{len(V.STANDARDS)}')"
+SQL_PERCENT = f"concat(cast(round(standards_met * 100 / {len(V.STANDARDS)}) AS int), '%')"
+
+
+def standard_checks() -> dict[str, str]:
     """Check name to its test, in the order of the table of standards."""
-    definition = text("definition")
-    trend = F.coalesce("n_points", F.lit(0)) >= V.MIN_POINTS_FOR_TREND
+    definition = sql_text("definition")
+    source = sql_text("primary_source_system")
+    trend = f"coalesce(n_points, 0) >= {V.MIN_POINTS_FOR_TREND}"
     return {
-        "data_governance": filled("data_owner") & filled("data_steward"),
-        "equity_consideration": filled("bias_or_equity_risks"),
-        "limitations_documented": filled("known_limitations"),
-        "board_appropriate": mentions(text("intended_audience"), V.BOARD_TERMS),
+        "data_governance": f"{sql_filled('data_owner')} AND {sql_filled('data_steward')}",
+        "equity_consideration": sql_filled("bias_or_equity_risks"),
+        "limitations_documented": sql_filled("known_limitations"),
+        "board_appropriate": sql_mentions(sql_text("intended_audience"), V.BOARD_TERMS),
         "multi_year_trend": trend,
-        "contextualized": mentions(definition, V.CONTEXT_TERMS),
-        "standard_definitions": text("primary_source_system").contains(V.STANDARD_SOURCE)
-        | mentions(definition, V.STANDARD_TERMS),
+        "contextualized": sql_mentions(definition, V.CONTEXT_TERMS),
+        "standard_definitions": f"contains({source}, {sql_literal(V.STANDARD_SOURCE)})"
+        f" OR {sql_mentions(definition, V.STANDARD_TERMS)}",
         "multi_year_data": trend,
-        "auditable": filled("formula") & filled("primary_source_system"),
+        "auditable": f"{sql_filled('formula')} AND {sql_filled('primary_source_system')}",
     }
 
 
@@ -33,116 +46,92 @@ def met_name(organization: str) -> str:
     return f"{organization.lower()}_met"
 
 
-def _count(checks: list[str]) -> Column:
-    counts = [F.col(check).cast("int") for check in checks]
-    return sum(counts[1:], counts[0])
-
-
-def with_standard_scores(kpis: DataFrame) -> DataFrame:
-    checked = kpis.withColumns(standard_checks())
-    scored = checked.withColumns(
-        {met_name(org): _count(checks_of(org)) for org in V.ORGANIZATIONS}
-    )
-    total = sum([F.col(met_name(org)) for org in V.ORGANIZATIONS[1:]],
-                F.col(met_name(V.ORGANIZATIONS[0])))
-    return scored.withColumn("standards_met", total)
+def _count(checks: list[str]) -> str:
+    return " + ".join(f"cast({check} AS int)" for check in checks)
 
 
-def standards_percent() -> Column:
-    return F.round(F.col("standards_met") * 100 / len(V.STANDARDS)).cast("int")
-
-
-def total_score() -> Column:
-    return F.concat(F.col("standards_met"), F.lit(f"/{len(V.STANDARDS)}"))
-
-
-def _by_alignment(position: int) -> Column:
-    percent = F.col("standards_met") * 100 / len(V.STANDARDS)
+def _by_alignment(position: int) -> str:
+    percent = f"standards_met * 100 / {len(V.STANDARDS)}"
     return (
-        F.when(percent >= V.STRONG_ALIGNMENT_PERCENT, V.ALIGNMENT_STRONG[position])
-        .when(percent >= V.PARTIAL_ALIGNMENT_PERCENT, V.ALIGNMENT_PARTIAL[position])
-        .otherwise(V.ALIGNMENT_WEAK[position])
+        f"CASE WHEN {percent} >= {V.STRONG_ALIGNMENT_PERCENT}"
+        f" THEN {sql_literal(V.ALIGNMENT_STRONG[position])}"
+        f" WHEN {percent} >= {V.PARTIAL_ALIGNMENT_PERCENT}"
+        f" THEN {sql_literal(V.ALIGNMENT_PARTIAL[position])}"
+        f" ELSE {sql_literal(V.ALIGNMENT_WEAK[position])} END"
     )
 
 
-def standards_status() -> Column:
-    return _by_alignment(0)
+def with_standards(kpis: DataFrame) -> DataFrame:
+    """Checks, scores, status and notes of step 10."""
+    checked = kpis.withColumns(
+        {check: F.expr(test) for check, test in standard_checks().items()}
+    )
+    scored = checked.withColumns(
+        {
+            **{met_name(org): F.expr(_count(checks_of(org))) for org in V.ORGANIZATIONS},
+            "standards_met": F.expr(_count(CHECKS)),
+        }
+    )
+    notes = f"concat({_by_alignment(1)}, ' (', {SQL_TOTAL_SCORE}, ' met, ', {SQL_PERCENT}, ')')"
+    return scored.withColumns(
+        {"standards_status": F.expr(_by_alignment(0)), "standards_notes": F.expr(notes)}
+    )
 
 
-def standards_notes() -> Column:
-    return F.concat(
-        _by_alignment(1),
-        F.lit(" ("),
-        total_score(),
-        F.lit(" met, "),
-        standards_percent(),
-        F.lit("%)"),
+def without_standards(kpis: DataFrame) -> DataFrame:
+    return kpis.withColumns(
+        {
+            "standards_status": F.lit(V.STANDARDS_SKIPPED[0]),
+            "standards_notes": F.lit(V.STANDARDS_SKIPPED[1]),
+        }
     )
 
 
-def standards_recommendations() -> Column:
-    return texts_where(
-        *[(~F.col(check), f"{org}: {standard}") for org, check, standard, _ in V.STANDARDS]
+def sql_standards_recommendations() -> str:
+    return sql_texts_where(
+        *[(f"NOT {check}", said(f"{org}: {standard}")) for org, check, standard, _ in V.STANDARDS]
     )
 
 
-def _organization(organization: str) -> Column:
+def _organization(organization: str) -> str:
     rows = [row for row in V.STANDARDS if row[0] == organization]
-    return F.struct(
-        F.concat(F.col(met_name(organization)), F.lit(f"/{len(rows)}")).alias("score"),
-        F.struct(
-            *[
-                F.struct(
-                    F.lit(standard).alias("standard"),
-                    F.col(check).alias("met"),
-                    F.lit(reference).alias("reference"),
-                ).alias(check)
+    return sql_struct(
+        score=f"concat({met_name(organization)}, '/{len(rows)}')",
+        checks=sql_struct(
+            **{
+                check: sql_struct(
+                    standard=sql_literal(standard), met=check, reference=sql_literal(reference)
+                )
                 for _, check, standard, reference in rows
-            ]
-        ).alias("checks"),
+            }
+        ),
     )
 
 
 def standards_step() -> Column:
     """The full step as one nested column."""
-    return F.struct(
-        standards_status().alias("status"),
-        standards_notes().alias("notes"),
-        F.struct(
-            *[_organization(org).alias(f"{org.lower()}_standards") for org in V.ORGANIZATIONS],
-            F.struct(
-                total_score().alias("total_score"),
-                F.concat(standards_percent(), F.lit("%")).alias("percentage"),
-                standards_status().alias("status"),
-            ).alias("overall"),
-            standards_recommendations().alias("recommendations"),
-        ).alias("details"),
-    )
-
-
-def skipped_standards_step() -> Column:
-    return F.struct(
-        F.lit(V.STANDARDS_SKIPPED[0]).alias("status"),
-        F.lit(V.STANDARDS_SKIPPED[1]).alias("notes"),
+    return F.expr(
+        sql_struct(
+            status="standards_status",
+            notes="standards_notes",
+            details=sql_struct(
+                **{f"{org.lower()}_standards": _organization(org) for org in V.ORGANIZATIONS},
+                overall=sql_struct(
+                    total_score=SQL_TOTAL_SCORE,
+                    percentage=SQL_PERCENT,
+                    status="standards_status",
+                ),
+                recommendations=sql_standards_recommendations(),
+            ),
+        )
     )
 
 
 def standards_scores(scored: DataFrame) -> DataFrame:
     """Scores in long form: one row per KPI and organization, and one overall. No shuffle."""
-    rows = [
-        F.struct(
-            F.lit(org).alias("organization"),
-            F.col(met_name(org)).alias("met"),
-            F.lit(len(checks_of(org))).alias("total"),
-        )
-        for org in V.ORGANIZATIONS
-    ] + [
-        F.struct(
-            F.lit("OVERALL").alias("organization"),
-            F.col("standards_met").alias("met"),
-            F.lit(len(V.STANDARDS)).alias("total"),
-        )
-    ]
-    return scored.select("kpi_id", F.inline(F.array(*rows))).select(
-        "*", F.round(F.col("met") * 100 / F.col("total")).cast("int").alias("percentage")
-    )
+    rows = [(org, met_name(org), len(checks_of(org))) for org in V.ORGANIZATIONS]
+    rows.append(("OVERALL", "standards_met", len(V.STANDARDS)))
+    listed = ", ".join(f"{sql_literal(org)}, {met}, {total}" for org, met, total in rows)
+    return scored.select(
+        "kpi_id", F.expr(f"stack({len(rows)}, {listed}) AS (organization, met, total)")
+    ).select("*", F.expr("cast(round(met * 100 / total) AS int) AS percentage"))

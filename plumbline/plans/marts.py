@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.numbers import one_decimal
+from plumbline.functions.numbers import sql_one_decimal
 from plumbline.functions.text import joined
 
 
@@ -49,7 +49,7 @@ def dashboard_mart(reports: DataFrame, series_facts: DataFrame) -> DataFrame:
         F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"),
         F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic"),
         has_chart.alias("has_chart"),
-        F.when(has_chart & F.col("latest_value").isNotNull(), one_decimal(F.col("latest_value")))
+        F.when(has_chart & F.col("latest_value").isNotNull(), F.expr(sql_one_decimal("latest_value")))
         .otherwise(V.NOT_AVAILABLE)
         .alias("latest_value"),
         F.when(

@@ -4,16 +4,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.text import joined, safe_name, text
+from plumbline.functions.text import (
+    joined,
+    safe_name,
+    sql_list,
+    sql_literal,
+    sql_struct,
+    sql_text,
+)
 from plumbline.operators import design, standards
 from plumbline.operators.metadata import (
     ai_use_step,
     definition_step,
     entity_step,
     governance_step,
-    list_of,
-    readiness_step,
     register_step,
+    with_findings,
+    with_readiness,
 )
 from plumbline.operators.series import registry_left_series
 
@@ -32,95 +39,91 @@ STEPS = [
 ]
 
 
-def _named(**columns: Column) -> Column:
-    return F.struct(*[column.alias(name) for name, column in columns.items()])
-
-
 def _quality_step(z_threshold: float, step_threshold: float) -> Column:
-    return _named(
-        status=F.col("quality_status"),
-        notes=F.col("quality_notes"),
-        details=_named(
-            anomalies_detected=F.col("anomalies_detected"),
-            anomaly_count=F.col("anomaly_count"),
-            stats=_named(
-                count=F.coalesce("n_numeric", F.lit(0)),
-                mean=F.col("mean"),
-                stdev=F.col("stdev"),
-            ),
-            rule_notes=_named(
-                outlier_rule=F.lit(V.OUTLIER_RULE.format(z_threshold)),
-                step_change_rule=F.lit(V.STEP_CHANGE_RULE.format(int(step_threshold * 100))),
-                human_review=F.lit(V.REVIEW_RULE),
+    rules = sql_struct(
+        outlier_rule=sql_literal(V.OUTLIER_RULE.format(z_threshold)),
+        step_change_rule=sql_literal(V.STEP_CHANGE_RULE.format(int(step_threshold * 100))),
+        human_review=sql_literal(V.REVIEW_RULE),
+    )
+    return F.expr(
+        sql_struct(
+            status="quality_status",
+            notes="quality_notes",
+            details=sql_struct(
+                anomalies_detected="anomalies_detected",
+                anomaly_count="anomaly_count",
+                stats=sql_struct(
+                    count="coalesce(n_numeric, 0L)", mean="mean", stdev="stdev"
+                ),
+                rule_notes=rules,
             ),
-        ),
+        )
     )
 
 
 def _summary_step() -> Column:
-    ai = F.col("step_5_ai.details")
-    readiness = F.col("step_7_readiness")
-    return _named(
-        status=F.lit(V.SUMMARY_GENERATED[0]),
-        notes=F.lit(V.SUMMARY_GENERATED[1]),
-        details=_named(
-            summary=_named(
-                kpi_name=F.col("name"),
-                definition=F.col("definition"),
-                formula=F.col("formula"),
-                time_period=F.col("time_period"),
-                intended_audience=F.col("intended_audience"),
-                sources=_named(
-                    primary=F.col("primary_source_system"),
-                    secondary=list_of("secondary_source_systems"),
-                    systems_in_join=list_of("source_systems_in_join"),
-                    identifier_fields=list_of("identifier_fields"),
-                ),
-                risks=_named(
-                    definition_status=F.col("step_2_definition.status"),
-                    entity_risk_level=F.col("step_3_entity.details.entity_risk_level"),
-                    anomalies_detected=F.col("anomalies_detected"),
-                    governance_status=F.col("step_6_governance.status"),
-                ),
-                ai_guidance=_named(
-                    permitted=ai["permitted_ai_techniques"],
-                    excluded=ai["excluded_ai_techniques"],
-                ),
-                governance=_named(
-                    data_owner=F.col("data_owner"),
-                    data_steward=F.col("data_steward"),
-                    known_limitations=F.col("known_limitations"),
-                    bias_or_equity_risks=F.col("bias_or_equity_risks"),
-                    human_signoff_required=F.col("human_signoff_required"),
-                ),
-                readiness_status=readiness["status"],
-                readiness_notes=readiness["notes"],
-                blockers=readiness["details"]["blockers"],
-            )
+    summary = sql_struct(
+        kpi_name="name",
+        definition="definition",
+        formula="formula",
+        time_period="time_period",
+        intended_audience="intended_audience",
+        sources=sql_struct(
+            primary="primary_source_system",
+            secondary=sql_list("secondary_source_systems"),
+            systems_in_join=sql_list("source_systems_in_join"),
+            identifier_fields=sql_list("identifier_fields"),
         ),
+        risks=sql_struct(
+            definition_status="step_2_definition.status",
+            entity_risk_level="entity_risk_level",
+            anomalies_detected="anomalies_detected",
+            governance_status="step_6_governance.status",
+        ),
+        ai_guidance=sql_struct(
+            permitted="step_5_ai.details.permitted_ai_techniques",
+            excluded="step_5_ai.details.excluded_ai_techniques",
+        ),
+        governance=sql_struct(
+            data_owner="data_owner",
+            data_steward="data_steward",
+            known_limitations="known_limitations",
+            bias_or_equity_risks="bias_or_equity_risks",
+            human_signoff_required="human_signoff_required",
+        ),
+        readiness_status="step_7_readiness.status",
+        readiness_notes="step_7_readiness.notes",
+        blockers="blockers",
+    )
+    return F.expr(
+        sql_struct(
+            status=sql_literal(V.SUMMARY_GENERATED[0]),
+            notes=sql_literal(V.SUMMARY_GENERATED[1]),
+            details=sql_struct(summary=summary),
+        )
     )
 
 
-def assess(
+def assess_core(
     registry: DataFrame,
     series: DataFrame,
-    include_design: bool = True,
-    include_standards: bool = True,
     z_threshold: float = V.Z_SCORE_THRESHOLD,
     step_threshold: float = V.STEP_CHANGE_THRESHOLD,
     **options,
 ) -> DataFrame:
-    """Run all ten steps: one row per KPI, a nested column per step, facts alongside.
+    """Steps 1 to 8: one row per KPI, a nested column per step, findings alongside.
 
-    Everything but the series roll-up is one projection over the registry; a caller that
-    selects a few columns pays for those only.
+    Everything but the series roll-up is a projection over the registry; a caller that selects
+    a few columns pays for those only.
     """
     kpis = registry_left_series(
-        registry, series, z_threshold=z_threshold, step_threshold=step_threshold, **options
+        with_findings(registry),
+        series,
+        z_threshold=z_threshold,
+        step_threshold=step_threshold,
+        **options,
     )
-    facts = design.with_design_scores(design.with_design_facts(kpis))
-    scored = standards.with_standard_scores(facts)
-    checked = scored.withColumns(
+    checked = kpis.withColumns(
         {
             "step_1_register": register_step(),
             "step_2_definition": definition_step(),
@@ -128,99 +131,115 @@ def assess(
             "step_4_quality": _quality_step(z_threshold, step_threshold),
             "step_5_ai": ai_use_step(),
             "step_6_governance": governance_step(),
+        }
+    )
+    return with_readiness(checked).withColumn("step_8_summary", _summary_step())
+
+
+def assess(
+    registry: DataFrame,
+    series: DataFrame,
+    include_design: bool = True,
+    include_standards: bool = True,
+    **options,
+) -> DataFrame:
+    """All ten steps. Steps 9 and 10 may be left out; they never affect readiness."""
+    core = assess_core(registry, series, **options)
+    designed = design.with_design(core) if include_design else design.without_design(core)
+    return (
+        standards.with_standards(designed)
+        if include_standards
+        else standards.without_standards(designed)
+    )
+
+
+def _with_nested_steps(assessed: DataFrame) -> DataFrame:
+    """Add steps 9 and 10 as nested columns; skipped ones have no details."""
+
+    def skipped(kind: str) -> Column:
+        return F.expr(sql_struct(status=f"{kind}_status", notes=f"{kind}_notes"))
+
+    return assessed.withColumns(
+        {
             "step_9_design_quality": (
-                design.design_step() if include_design else design.skipped_design_step()
+                design.design_step() if "smart_met" in assessed.columns else skipped("design")
             ),
             "step_10_best_practices": (
                 standards.standards_step()
-                if include_standards
-                else standards.skipped_standards_step()
+                if "standards_met" in assessed.columns
+                else skipped("standards")
             ),
         }
     )
-    decided = checked.withColumn(
-        "step_7_readiness",
-        readiness_step(
-            "step_2_definition.status",
-            "step_3_entity.status",
-            "quality_status",
-            "step_6_governance.status",
-        ),
-    )
-    return decided.withColumn("step_8_summary", _summary_step())
 
 
 def readiness_report(assessed: DataFrame) -> DataFrame:
     """One flat row per KPI with the outcome of every step."""
-    return assessed.select(
+    return assessed.selectExpr(
         "kpi_id",
-        F.col("name").alias("kpi_name"),
-        F.col("step_1_register.status").alias("register_status"),
-        joined(F.col("step_1_register.details.missing_fields")).alias("missing_fields"),
-        F.col("step_2_definition.status").alias("definition_status"),
-        joined(F.col("step_2_definition.details.issues")).alias("definition_issues"),
-        F.col("step_3_entity.status").alias("entity_status"),
-        F.col("step_3_entity.details.entity_risk_level").alias("entity_risk_level"),
+        "name AS kpi_name",
+        "step_1_register.status AS register_status",
+        "array_join(missing_fields, '; ') AS missing_fields",
+        "step_2_definition.status AS definition_status",
+        "array_join(definition_issues, '; ') AS definition_issues",
+        "step_3_entity.status AS entity_status",
+        "entity_risk_level",
         "quality_status",
         "n_points",
-        F.col("anomaly_count"),
-        F.round("mean", 4).alias("mean"),
-        F.round("stdev", 4).alias("stdev"),
-        joined(F.col("step_5_ai.details.permitted_ai_techniques")).alias("permitted_ai"),
-        F.col("step_6_governance.status").alias("governance_status"),
-        joined(F.col("step_6_governance.details.missing_elements")).alias("missing_elements"),
-        F.col("step_7_readiness.status").alias("readiness_status"),
-        joined(F.col("step_7_readiness.details.blockers")).alias("blockers"),
-        F.col("step_9_design_quality.status").alias("design_status"),
-        F.col("step_9_design_quality.notes").alias("design_notes"),
-        F.col("step_10_best_practices.status").alias("standards_status"),
-        F.col("step_10_best_practices.notes").alias("standards_notes"),
+        "anomaly_count",
+        "round(mean, 4) AS mean",
+        "round(stdev, 4) AS stdev",
+        "array_join(step_5_ai.details.permitted_ai_techniques, '; ') AS permitted_ai",
+        "step_6_governance.status AS governance_status",
+        "array_join(missing_elements, '; ') AS missing_elements",
+        "step_7_readiness.status AS readiness_status",
+        "array_join(blockers, '; ') AS blockers",
+        "design_status",
+        "design_notes",
+        "standards_status",
+        "standards_notes",
     )
 
 
 def report_long(assessed: DataFrame) -> DataFrame:
     """One row per KPI and step: status and notes."""
     rows = [
-        F.struct(
-            F.lit(number).alias("step_number"),
-            F.lit(step).alias("step"),
-            F.col(step)["status"].alias("status"),
-            F.col(step)["notes"].alias("notes"),
-        )
-        for number, step in enumerate(STEPS, start=1)
+        f"{number}, {sql_literal(step)}, {step}.status, {step}.notes"
+        for number, step in enumerate(STEPS[:8], start=1)
     ]
-    return assessed.select("kpi_id", F.col("name").alias("kpi_name"), F.inline(F.array(*rows)))
+    rows.append(f"9, {sql_literal(STEPS[8])}, design_status, design_notes")
+    rows.append(f"10, {sql_literal(STEPS[9])}, standards_status, standards_notes")
+    return assessed.selectExpr(
+        "kpi_id",
+        "name AS kpi_name",
+        f"stack({len(rows)}, {', '.join(rows)}) AS (step_number, step, status, notes)",
+    )
 
 
-def step8_summary(assessed: DataFrame) -> DataFrame:
+def step8_summary(core: DataFrame) -> DataFrame:
     """The one-page summary, flattened."""
-    summary = F.col("step_8_summary.details.summary")
-    return assessed.select(
+    summary = core.selectExpr(
+        "kpi_id", "step_8_summary.status AS status", "step_8_summary.details.summary AS page"
+    )
+    return summary.selectExpr(
         "kpi_id",
-        summary["kpi_name"].alias("kpi_name"),
-        F.col("step_8_summary.status").alias("status"),
-        summary["definition"].alias("definition"),
-        summary["formula"].alias("formula"),
-        summary["time_period"].alias("time_period"),
-        summary["intended_audience"].alias("intended_audience"),
-        summary["sources"]["primary"].alias("primary_source"),
-        joined(summary["sources"]["secondary"]).alias("secondary_sources"),
-        joined(summary["sources"]["systems_in_join"]).alias("systems_in_join"),
-        joined(summary["sources"]["identifier_fields"]).alias("identifier_fields"),
-        summary["risks"]["definition_status"].alias("definition_status"),
-        summary["risks"]["entity_risk_level"].alias("entity_risk_level"),
-        summary["risks"]["anomalies_detected"].alias("anomalies_detected"),
-        summary["risks"]["governance_status"].alias("governance_status"),
-        joined(summary["ai_guidance"]["permitted"]).alias("permitted"),
-        joined(summary["ai_guidance"]["excluded"]).alias("excluded"),
-        summary["governance"]["data_owner"].alias("data_owner"),
-        summary["governance"]["data_steward"].alias("data_steward"),
-        summary["governance"]["known_limitations"].alias("known_limitations"),
-        summary["governance"]["bias_or_equity_risks"].alias("bias_or_equity_risks"),
-        summary["governance"]["human_signoff_required"].alias("human_signoff_required"),
-        summary["readiness_status"].alias("readiness_status"),
-        summary["readiness_notes"].alias("readiness_notes"),
-        joined(summary["blockers"]).alias("blockers"),
+        "status",
+        "page.kpi_name",
+        "page.definition",
+        "page.formula",
+        "page.time_period",
+        "page.intended_audience",
+        "page.sources.primary AS primary_source",
+        "array_join(page.sources.secondary, '; ') AS secondary_sources",
+        "array_join(page.sources.systems_in_join, '; ') AS systems_in_join",
+        "array_join(page.sources.identifier_fields, '; ') AS identifier_fields",
+        "page.risks.*",
+        "array_join(page.ai_guidance.permitted, '; ') AS permitted",
+        "array_join(page.ai_guidance.excluded, '; ') AS excluded",
+        "page.governance.*",
+        "page.readiness_status",
+        "page.readiness_notes",
+        "array_join(page.blockers, '; ') AS blockers",
     )
 
 
@@ -244,7 +263,7 @@ def report_json(assessed: DataFrame) -> DataFrame:
         "bias_or_equity_risks",
         "human_signoff_required",
     ]
-    return assessed.select(
+    return _with_nested_steps(assessed).select(
         "kpi_id",
         F.col("name").alias("kpi_name"),
         F.concat(safe_name(F.col("name")), F.lit("_report")).alias("output_name"),
@@ -253,130 +272,113 @@ def report_json(assessed: DataFrame) -> DataFrame:
     )
 
 
-def _python_bool(column: Column) -> Column:
-    return F.when(column, "True").when(~column, "False")
-
-
 def summary_long(assessed: DataFrame) -> DataFrame:
     """The executive summary as (section, label, value) rows, in reading order."""
-    blockers = F.col("step_7_readiness.details.blockers")
-
-    def line(section: str, label: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(section).alias("section"), F.lit(label).alias("label"), value.alias("value")
-        )
-
-    secondary = list_of("secondary_source_systems")
+    secondary = sql_list("secondary_source_systems")
+    named_secondary = (
+        f"if(size({secondary}) = 0, {sql_literal(V.NO_SECONDARY)}, array_join({secondary}, ', '))"
+    )
     head = [
-        line(V.SUMMARY_IDENTITY, "KPI Name", text("name")),
-        line(V.SUMMARY_IDENTITY, "Definition", text("definition")),
-        line(V.SUMMARY_IDENTITY, "Formula", text("formula")),
-        line(V.SUMMARY_IDENTITY, "Time Period", text("time_period")),
-        line(V.SUMMARY_IDENTITY, "Primary Source System", text("primary_source_system")),
-        line(
-            V.SUMMARY_IDENTITY,
-            "Secondary Source Systems",
-            F.when(F.size(secondary) == 0, V.NO_SECONDARY).otherwise(joined(secondary, ", ")),
-        ),
-        line(V.SUMMARY_IDENTITY, "Intended Audience", text("intended_audience")),
-        line(V.SUMMARY_RESULTS, "Readiness Status", F.col("step_7_readiness.status")),
-        line(V.SUMMARY_RESULTS, "Definition Status", F.col("step_2_definition.status")),
-        line(
-            V.SUMMARY_RESULTS,
-            "Entity Risk Level",
-            F.col("step_3_entity.details.entity_risk_level"),
-        ),
-        line(V.SUMMARY_RESULTS, "Anomalies Detected", F.col("anomalies_detected")),
-        line(V.SUMMARY_RESULTS, "Governance Status", F.col("step_6_governance.status")),
-        line(V.SUMMARY_RESULTS, "Design Quality", F.col("step_9_design_quality.status")),
-        line(V.SUMMARY_RESULTS, "Industry Standards", F.col("step_10_best_practices.status")),
+        (V.SUMMARY_IDENTITY, "KPI Name", sql_text("name")),
+        (V.SUMMARY_IDENTITY, "Definition", sql_text("definition")),
+        (V.SUMMARY_IDENTITY, "Formula", sql_text("formula")),
+        (V.SUMMARY_IDENTITY, "Time Period", sql_text("time_period")),
+        (V.SUMMARY_IDENTITY, "Primary Source System", sql_text("primary_source_system")),
+        (V.SUMMARY_IDENTITY, "Secondary Source Systems", named_secondary),
+        (V.SUMMARY_IDENTITY, "Intended Audience", sql_text("intended_audience")),
+        (V.SUMMARY_RESULTS, "Readiness Status", "step_7_readiness.status"),
+        (V.SUMMARY_RESULTS, "Definition Status", "step_2_definition.status"),
+        (V.SUMMARY_RESULTS, "Entity Risk Level", "entity_risk_level"),
+        (V.SUMMARY_RESULTS, "Anomalies Detected", "anomalies_detected"),
+        (V.SUMMARY_RESULTS, "Governance Status", "step_6_governance.status"),
+        (V.SUMMARY_RESULTS, "Design Quality", "design_status"),
+        (V.SUMMARY_RESULTS, "Industry Standards", "standards_status"),
     ]
-    blocks = F.transform(
-        F.when(F.size(blockers) == 0, F.array(F.lit(V.NO_BLOCKERS))).otherwise(blockers),
-        lambda blocker: line(V.SUMMARY_BLOCKERS, "", blocker),
-    )
+    signoff = "if(coalesce(human_signoff_required, false), 'True', 'False')"
     tail = [
-        line(V.SUMMARY_GOVERNANCE, "Data Owner", text("data_owner")),
-        line(V.SUMMARY_GOVERNANCE, "Data Steward", text("data_steward")),
-        line(V.SUMMARY_GOVERNANCE, "Known Limitations", text("known_limitations")),
-        line(V.SUMMARY_GOVERNANCE, "Bias or Equity Risks", text("bias_or_equity_risks")),
-        line(
-            V.SUMMARY_GOVERNANCE,
-            "Human Signoff Required",
-            _python_bool(F.coalesce("human_signoff_required", F.lit(False))),
-        ),
+        (V.SUMMARY_GOVERNANCE, "Data Owner", sql_text("data_owner")),
+        (V.SUMMARY_GOVERNANCE, "Data Steward", sql_text("data_steward")),
+        (V.SUMMARY_GOVERNANCE, "Known Limitations", sql_text("known_limitations")),
+        (V.SUMMARY_GOVERNANCE, "Bias or Equity Risks", sql_text("bias_or_equity_risks")),
+        (V.SUMMARY_GOVERNANCE, "Human Signoff Required", signoff),
     ]
-    lines = F.concat(F.array(*head), blocks, F.array(*tail))
-    return assessed.select(
-        "kpi_id", F.posexplode(lines).alias("line_number", "line")
-    ).select("kpi_id", (F.col("line_number") + 1).alias("line_number"), "line.*")
+
+    def line(section: str, label: str, value: str) -> str:
+        return sql_struct(section=sql_literal(section), label=sql_literal(label), value=value)
+
+    def lines(rows: list[tuple[str, str, str]]) -> str:
+        return f"array({', '.join(line(*row) for row in rows)})"
+
+    shown = f"if(size(blockers) = 0, array({sql_literal(V.NO_BLOCKERS)}), blockers)"
+    middle = f"transform({shown}, b -> {line(V.SUMMARY_BLOCKERS, '', 'b')})"
+    return assessed.selectExpr(
+        "kpi_id",
+        f"posexplode(concat({lines(head)}, {middle}, {lines(tail)})) AS (pos, line)",
+    ).selectExpr("kpi_id", "pos + 1 AS line_number", "line.*")
 
 
 def batch_summary(assessed: DataFrame) -> DataFrame:
     """Nine columns per KPI, blockers in one cell."""
-    return assessed.select(
+    return assessed.selectExpr(
         "kpi_id",
-        F.col("name").alias("kpi_name"),
-        F.col("step_7_readiness.status").alias("readiness_status"),
-        F.col("step_2_definition.status").alias("definition_status"),
-        F.col("step_3_entity.details.entity_risk_level").alias("entity_risk"),
+        "name AS kpi_name",
+        "step_7_readiness.status AS readiness_status",
+        "step_2_definition.status AS definition_status",
+        "entity_risk_level AS entity_risk",
         "anomalies_detected",
-        F.col("step_6_governance.status").alias("governance_status"),
-        F.col("step_9_design_quality.status").alias("design_quality"),
-        F.col("step_10_best_practices.status").alias("industry_standards"),
-        joined(F.col("step_7_readiness.details.blockers")).alias("blockers"),
+        "step_6_governance.status AS governance_status",
+        "design_status AS design_quality",
+        "standards_status AS industry_standards",
+        "array_join(blockers, '; ') AS blockers",
     )
 
 
-def batch_counts(assessed: DataFrame) -> DataFrame:
+def batch_counts(core: DataFrame) -> DataFrame:
     """How many KPIs were assessed, are ready and are blocked."""
-    status = F.col("step_7_readiness.status")
-    return assessed.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(status == V.READY[0]).alias("ready"),
-        F.count_if(status == V.NOT_READY[0]).alias("blocked"),
+    return core.agg(
+        F.expr("count(1) AS total"),
+        F.expr(f"count_if(step_7_readiness.status = {sql_literal(V.READY[0])}) AS ready"),
+        F.expr(f"count_if(step_7_readiness.status = {sql_literal(V.NOT_READY[0])}) AS blocked"),
     )
 
 
-def batch_listing(assessed: DataFrame) -> DataFrame:
+def batch_listing(core: DataFrame) -> DataFrame:
     """Ready KPIs, and blocked KPIs with one row per blocker."""
-    status = F.col("step_7_readiness.status")
-    return assessed.select(
+    ready = f"step_7_readiness.status = {sql_literal(V.READY[0])}"
+    return core.selectExpr(
         "kpi_id",
-        F.col("name").alias("kpi_name"),
-        F.when(status == V.READY[0], "Ready").otherwise("Blocked").alias("section"),
-        F.explode_outer("step_7_readiness.details.blockers").alias("blocker"),
+        "name AS kpi_name",
+        f"if({ready}, 'Ready', 'Blocked') AS section",
+        "explode_outer(blockers) AS blocker",
     )
 
 
-def all_criteria() -> list[tuple[str, str, Column]]:
-    """(framework, criterion, met) of the nineteen criteria of steps 9 and 10."""
+def all_criteria() -> list[tuple[str, str, str]]:
+    """(framework, criterion, fact) of the nineteen criteria of steps 9 and 10."""
     return (
-        [("SMART", name, met) for name, met in design.smart_criteria().items()]
-        + [("Visualization", name, met) for name, met in design.visual_criteria().items()]
-        + [(org, check, F.col(check)) for org, check, _, _ in V.STANDARDS]
+        [("SMART", name, fact) for name, fact in design.SMART.items()]
+        + [("Visualization", name, fact) for name, fact in design.VISUAL.items()]
+        + [(org, check, check) for org, check, _, _ in V.STANDARDS]
     )
 
 
-def criterion_prevalence(assessed: DataFrame) -> DataFrame:
+def criterion_prevalence(scored: DataFrame) -> DataFrame:
     """How many KPIs meet, miss or cannot be assessed on each criterion.
 
     All counts are taken in one aggregation to one row, which is then turned into rows.
     """
     criteria = all_criteria()
-    counted = assessed.agg(
-        *[F.count_if(met).alias(f"met_{i}") for i, (_, _, met) in enumerate(criteria)],
-        *[F.count_if(~met).alias(f"missed_{i}") for i, (_, _, met) in enumerate(criteria)],
-        F.count(F.lit(1)).alias("kpis"),
+    counted = scored.agg(
+        F.expr("count(1) AS kpis"),
+        *[F.expr(f"count_if({fact}) AS met_{i}") for i, (_, _, fact) in enumerate(criteria)],
+        *[F.expr(f"count_if(NOT {fact}) AS missed_{i}") for i, (_, _, fact) in enumerate(criteria)],
     )
     rows = [
-        F.struct(
-            F.lit(framework).alias("framework"),
-            F.lit(name).alias("criterion"),
-            F.col(f"met_{i}").alias("met"),
-            F.col(f"missed_{i}").alias("missed"),
-            (F.col("kpis") - F.col(f"met_{i}") - F.col(f"missed_{i}")).alias("not_assessed"),
-        )
+        f"{sql_literal(framework)}, {sql_literal(name)}, met_{i}, missed_{i},"
+        f" kpis - met_{i} - missed_{i}"
         for i, (framework, name, _) in enumerate(criteria)
     ]
-    return counted.select(F.inline(F.array(*rows)))
+    return counted.selectExpr(
+        f"stack({len(rows)}, {', '.join(rows)})"
+        " AS (framework, criterion, met, missed, not_assessed)"
+    )

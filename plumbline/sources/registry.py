@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
 from plumbline.functions.numbers import to_number
-from plumbline.functions.text import EMPTY_LIST, list_cell
+from plumbline.functions.text import SQL_EMPTY_LIST, list_cell
 from plumbline.schema import PARSED_KPI, REGISTRY
 
 _REQUIRED_CSV_FIELDS = [
@@ -66,7 +66,7 @@ def with_parsed_defaults(records: DataFrame) -> DataFrame:
     return records.withColumns(
         {
             "kpi_id": F.coalesce("kpi_id", F.xxhash64("name")),
-            **{field: F.coalesce(field, EMPTY_LIST) for field in V.LIST_FIELDS},
+            **{field: F.coalesce(field, F.expr(SQL_EMPTY_LIST)) for field in V.LIST_FIELDS},
             "human_signoff_required": F.coalesce("human_signoff_required", F.lit(True)),
             "historical_aggregates": F.coalesce("historical_aggregates", no_points),
         }

@@ -34,15 +34,30 @@ def _assessed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     )
 
 
+def _core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.assess_core(
+        B.supplier_registry(spark, sf_dir), B.supplier_year_series(spark, sf_dir)
+    )
+
+
+def _with_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.registry_left_series(
+        B.supplier_registry(spark, sf_dir), B.supplier_year_series(spark, sf_dir)
+    )
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.with_findings(B.supplier_registry(spark, sf_dir))
+
+
 def _step(rows: DataFrame, step: Column, **details: bool) -> DataFrame:
-    return rows.withColumn("s", step).select(
+    """A step's status, notes and details; details marked True are lists."""
+    return rows.select("kpi_id", step.alias("s")).selectExpr(
         "kpi_id",
-        F.col("s.status").alias("status"),
-        F.col("s.notes").alias("notes"),
+        "s.status",
+        "s.notes",
         *[
-            (joined(F.col(f"s.details.{name}")) if is_list else F.col(f"s.details.{name}")).alias(
-                name
-            )
+            f"array_join(s.details.{name}, '; ') AS {name}" if is_list else f"s.details.{name}"
             for name, is_list in details.items()
         ],
     )
@@ -53,15 +68,13 @@ def _step(rows: DataFrame, step: Column, **details: bool) -> DataFrame:
 
 @query
 def step1_register(spark, sf_dir):
-    return _step(
-        B.supplier_registry(spark, sf_dir), metadata.register_step(), missing_fields=True
-    )
+    return _step(_findings(spark, sf_dir), metadata.register_step(), missing_fields=True)
 
 
 @query
 def step2_definition(spark, sf_dir):
     return _step(
-        B.supplier_registry(spark, sf_dir),
+        _findings(spark, sf_dir),
         metadata.definition_step(),
         issues=True,
         follow_up_prompts=True,
@@ -71,7 +84,7 @@ def step2_definition(spark, sf_dir):
 @query
 def step3_entity(spark, sf_dir):
     return _step(
-        B.supplier_registry(spark, sf_dir),
+        _findings(spark, sf_dir),
         metadata.entity_step(),
         joins_required=False,
         entity_risk_level=False,
@@ -84,7 +97,7 @@ def step3_entity(spark, sf_dir):
 @query
 def step5_ai_use(spark, sf_dir):
     return _step(
-        B.supplier_registry(spark, sf_dir),
+        _findings(spark, sf_dir),
         metadata.ai_use_step(),
         permitted_ai_techniques=True,
         excluded_ai_techniques=True,
@@ -95,7 +108,7 @@ def step5_ai_use(spark, sf_dir):
 @query
 def step6_governance(spark, sf_dir):
     return _step(
-        B.supplier_registry(spark, sf_dir),
+        _findings(spark, sf_dir),
         metadata.governance_step(),
         missing_elements=True,
         guardrails=True,
@@ -105,7 +118,7 @@ def step6_governance(spark, sf_dir):
 @query
 def step7_readiness(spark, sf_dir):
     return _step(
-        _assessed(spark, sf_dir),
+        _core(spark, sf_dir),
         F.col("step_7_readiness"),
         blockers=True,
         next_actions=True,
@@ -115,80 +128,78 @@ def step7_readiness(spark, sf_dir):
 
 @query
 def step8_summary(spark, sf_dir):
-    return R.step8_summary(_assessed(spark, sf_dir))
+    return R.step8_summary(_core(spark, sf_dir))
 
 
 @query
 def step9_smart(spark, sf_dir):
-    return _assessed(spark, sf_dir).select(
+    return design.with_design(_with_series(spark, sf_dir)).selectExpr(
         "kpi_id",
-        *[
-            met.alias(name.lower().replace("-", "_"))
-            for name, met in design.smart_criteria().items()
-        ],
-        design.smart_score().alias("score"),
-        joined(design.smart_strengths()).alias("strengths"),
-        joined(design.smart_issues()).alias("issues"),
+        *[f"{fact} AS {name.lower().replace('-', '_')}" for name, fact in design.SMART.items()],
+        f"{design.SQL_SMART_SCORE} AS score",
+        f"array_join({design.sql_smart_strengths()}, '; ') AS strengths",
+        f"array_join({design.sql_smart_issues()}, '; ') AS issues",
     )
 
 
 @query
 def step9_tufte(spark, sf_dir):
-    return _assessed(spark, sf_dir).select(
+    return design.with_design(_with_series(spark, sf_dir)).selectExpr(
         "kpi_id",
-        *[met.alias(name) for name, met in design.visual_criteria().items()],
-        design.visual_score().alias("score"),
-        F.concat(F.col("visual_percent"), F.lit("%")).alias("percentage"),
-        joined(design.visual_strengths()).alias("strengths"),
-        joined(design.visual_issues()).alias("issues"),
+        *[f"{fact} AS {name}" for name, fact in design.VISUAL.items()],
+        f"{design.SQL_VISUAL_SCORE} AS score",
+        f"{design.SQL_VISUAL_PERCENT} AS percentage",
+        f"array_join({design.sql_visual_strengths()}, '; ') AS strengths",
+        f"array_join({design.sql_visual_issues()}, '; ') AS issues",
     )
 
 
 @query
 def step9_recommendations(spark, sf_dir):
-    return _assessed(spark, sf_dir).select(
-        "kpi_id", joined(design.design_recommendations()).alias("recommendations")
+    return design.with_design(_with_series(spark, sf_dir)).selectExpr(
+        "kpi_id", f"array_join({design.sql_design_recommendations()}, '; ') AS recommendations"
     )
 
 
 @query
 def step9_status(spark, sf_dir):
-    return _assessed(spark, sf_dir).select(
+    return design.with_design(_with_series(spark, sf_dir)).selectExpr(
         "kpi_id",
-        design.design_status().alias("status"),
-        design.design_notes().alias("notes"),
-        design.actionability().alias("actionability"),
+        "design_status AS status",
+        "design_notes AS notes",
+        f"{design.SQL_ACTIONABILITY} AS actionability",
     )
 
 
 @query
 def step10_standards(spark, sf_dir):
-    checks = [check for _, check, _, _ in V.STANDARDS]
-    return _assessed(spark, sf_dir).select(
+    return standards.with_standards(_with_series(spark, sf_dir)).selectExpr(
         "kpi_id",
-        *checks,
-        standards.standards_status().alias("status"),
-        standards.standards_notes().alias("notes"),
-        standards.total_score().alias("total_score"),
-        joined(standards.standards_recommendations()).alias("recommendations"),
+        *standards.CHECKS,
+        "standards_status AS status",
+        "standards_notes AS notes",
+        f"{standards.SQL_TOTAL_SCORE} AS total_score",
+        f"array_join({standards.sql_standards_recommendations()}, '; ') AS recommendations",
     )
 
 
 @query
 def standards_scores(spark, sf_dir):
-    return standards.standards_scores(_assessed(spark, sf_dir))
+    return standards.standards_scores(
+        standards.with_standards(_with_series(spark, sf_dir))
+    )
 
 
 @query
 def optional_steps(spark, sf_dir):
     assessed = _assessed(spark, sf_dir, include_design=False, include_standards=False)
-    return assessed.select(
+    return assessed.selectExpr(
         "kpi_id",
-        F.col("step_7_readiness.status").alias("readiness_status"),
-        F.col("step_9_design_quality.status").alias("design_status"),
-        F.col("step_9_design_quality.notes").alias("design_notes"),
-        F.col("step_10_best_practices.status").alias("standards_status"),
-        F.col("step_10_best_practices.notes").alias("standards_notes"),
+        "step_7_readiness.status AS readiness_status",
+        "design_status",
+        "design_notes",
+        "standards_status",
+        "standards_notes",
     )
 
 
@@ -207,12 +218,12 @@ def batch_summary(spark, sf_dir):
 
 @query
 def batch_counts(spark, sf_dir):
-    return R.batch_counts(_assessed(spark, sf_dir))
+    return R.batch_counts(_core(spark, sf_dir))
 
 
 @query
 def batch_listing(spark, sf_dir):
-    return R.batch_listing(_assessed(spark, sf_dir))
+    return R.batch_listing(_core(spark, sf_dir))
 
 
 @query
@@ -227,7 +238,9 @@ def report_long(spark, sf_dir):
 
 @query
 def criterion_prevalence(spark, sf_dir):
-    return R.criterion_prevalence(_assessed(spark, sf_dir))
+    return R.criterion_prevalence(
+        standards.with_standards(design.with_design(_with_series(spark, sf_dir)))
+    )
 
 
 @query
