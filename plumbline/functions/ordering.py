@@ -1,7 +1,5 @@
 """Positions inside groups, without ever sorting a whole group in one task."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ def with_position(
     numbered within (group, bucket) and shifted by the number of rows in earlier buckets,
     which is a running sum over one small row per bucket. ``bucket`` must be the leading part
     of the sort order and small enough each to sort in a task, e.g. a label plus the number of
-    the scan partition (bounded by the split size).
+    the scan partition (bounded by the split size). Group and bucket must not be NULL.
     """
     keys = group + bucket
     earlier = (
@@ -26,15 +24,10 @@ def with_position(
     offsets = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(*[F.col(key).alias(f"_at_{key}") for key in keys], "_shift")
+        .select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = rows.withColumn("_row", F.row_number().over(inside))
-    same = reduce(
-        lambda left, right: left & right,
-        [F.col(key).eqNullSafe(F.col(f"_at_{key}")) for key in keys],
-    )
-    return numbered.join(offsets, same).select(
+    return numbered.join(offsets, keys).select(
         *rows.columns, (F.col("_shift") + F.col("_row") - 1).cast("bigint").alias(name)
     )

@@ -36,9 +36,13 @@ def categorize_comments(
 
 def comment_category_counts(categorized: DataFrame) -> DataFrame:
     """Comments per category, the uncategorized, and the totals with the whole percentage."""
-    counts = categorized.rollup("category").agg(
-        F.count(F.lit(1)).alias("comments"),
-        F.count("category").alias("categorized"),
+    # Counted per category first: the roll-up then only sees one row per category.
+    per_category = categorized.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.count("category").alias("found")
+    )
+    counts = per_category.rollup("category").agg(
+        F.sum("n").alias("comments"),
+        F.sum("found").alias("categorized"),
         F.grouping("category").alias("is_total"),
     )
     label = (

@@ -2,9 +2,10 @@
 
 The layout is chosen for series of any length. Points are shuffled once, by KPI and by chunk
 of the series, so that one very long series spreads over many tasks. Each chunk yields one
-summary row (counts, moments, last numeric point); the summaries of a KPI are merged with a
-window over those few rows and joined back to the points. Both uses of the shuffled points
-read the same exchange.
+summary row (counts, moments, last numeric point), combined on the map side before it is
+shuffled; the summaries of a KPI are merged with windows over those few rows and joined back
+to the points on the keys these are partitioned by already. Points without a kpi_id belong to
+no series and are left out.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -71,8 +72,8 @@ def _chunk_summaries(points: DataFrame) -> DataFrame:
         F.expr("var_pop(value) AS part_var"),
         F.expr("min(value) AS part_min"),
         F.expr("max(value) AS part_max"),
-        F.expr("max_by(value, numeric_ord) AS last_value"),
-        F.expr("max_by(period, numeric_ord) AS last_period"),
+        F.expr("max_by(value, if(value IS NULL, NULL, ord)) AS last_value"),
+        F.expr("max_by(period, if(value IS NULL, NULL, ord)) AS last_period"),
     )
     whole = "OVER (PARTITION BY kpi_id)"
     earlier = (
@@ -80,8 +81,8 @@ def _chunk_summaries(points: DataFrame) -> DataFrame:
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     merged = parts.selectExpr(
-        "kpi_id AS at_kpi",
-        "chunk AS at_chunk",
+        "kpi_id",
+        "chunk",
         "part_n",
         "part_mean",
         "part_var",
@@ -95,11 +96,11 @@ def _chunk_summaries(points: DataFrame) -> DataFrame:
     )
     squares = (
         "sum(part_n * (part_var + (part_mean - merged_mean) * (part_mean - merged_mean)))"
-        " OVER (PARTITION BY at_kpi)"
+        f" {whole}"
     )
     return merged.selectExpr(
-        "at_kpi",
-        "at_chunk",
+        "kpi_id",
+        "chunk",
         "carried_value",
         "carried_period",
         "n_numeric",
@@ -120,14 +121,15 @@ def screen_points(
 
     ``chunk_points`` only sets how a long series is divided among tasks, never the result.
     """
-    points = series.selectExpr(
+    # Neither key can be NULL here, which keeps the join from adding filters to one of the two
+    # uses of the source; a series that is itself an aggregation is then computed only once.
+    points = series.where("kpi_id IS NOT NULL").selectExpr(
         "kpi_id",
         "ord",
         "period",
         "value",
-        "if(value IS NULL, NULL, ord) AS numeric_ord",
-        f"ord div {int(chunk_points)} AS chunk",
-    ).repartition("kpi_id", "chunk")
+        f"coalesce(ord div {int(chunk_points)}, 0) AS chunk",
+    )
     before = (
         "OVER (PARTITION BY kpi_id, chunk ORDER BY ord"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -141,9 +143,7 @@ def screen_points(
         f"last(value, true) {before} AS previous_value",
         f"last(if(value IS NULL, NULL, array(period)), true) {before}[0] AS previous_period",
     )
-    linked = followed.join(
-        _chunk_summaries(points), F.expr("kpi_id = at_kpi AND chunk = at_chunk")
-    ).selectExpr(
+    linked = followed.join(_chunk_summaries(points), ["kpi_id", "chunk"]).selectExpr(
         "kpi_id",
         "ord",
         "period",
@@ -344,11 +344,8 @@ def chart_points(series: DataFrame, match: str = "label", **options) -> DataFram
         )
     )
     points = series.select("kpi_id", "ord", "period", "value")
-    first_of_label = (
-        points.join(marks.select("kpi_id", "period"), ["kpi_id", "period"], "left_semi")
-        .groupBy("kpi_id", "period")
-        .agg(F.min("ord").alias("ord"))
-    )
+    # Combined on the map side first, so that a label repeated very often stays one row.
+    first_of_label = points.groupBy("kpi_id", "period").agg(F.min("ord").alias("ord"))
     placed = first_of_label.join(marks, ["kpi_id", "period"]).drop("period")
     return points.join(placed, ["kpi_id", "ord"], "left").selectExpr(
         "kpi_id",
