@@ -6,7 +6,7 @@ The rules follow the bindings of FIXTURES.md section 4, over whole tables.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import list_cell, sql_literal
+from plumbline.functions.text import sql_list_cell, sql_literal
 from plumbline.schema import PARSED_KPI, REGISTRY
 from plumbline.sources.series import series_from_numbers, series_from_text
 
@@ -65,8 +65,8 @@ def registry_text_rows(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 def as_registry(text_rows: DataFrame) -> DataFrame:
     lists = ["secondary_source_systems", "identifier_fields", "source_systems_in_join"]
-    return text_rows.withColumns({name: list_cell(F.col(name)) for name in lists}).select(
-        *REGISTRY.names
+    return text_rows.selectExpr(
+        *[f"{sql_list_cell(name)} AS {name}" if name in lists else name for name in REGISTRY.names]
     )
 
 
@@ -84,9 +84,13 @@ def customer_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cents(column: str) -> str:
+    """Amounts with two decimals as whole cents: their sums do not depend on the order of rows."""
+    return f"sum(cast(rint({column} * 100) AS bigint))"
+
+
 def _exact_sum(column: str) -> Column:
-    """Sums that do not depend on the order of rows."""
-    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double").alias("total")
+    return F.expr(f"{_cents(column)} / 100 AS total")
 
 
 def supplier_year_series(
@@ -168,13 +172,13 @@ def nation_year_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = (
         table(spark, sf_dir, "orders")
         .groupBy("o_custkey", F.year("o_orderdate").alias("year"))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("part"))
+        .agg(F.expr(f"{_cents('o_totalprice')} AS part"))
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return (
         yearly.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "year")
-        .agg(F.sum("part").cast("double").alias("total"))
+        .agg(F.expr("sum(part) / 100 AS total"))
     )
 
 

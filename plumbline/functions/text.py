@@ -10,10 +10,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators; Spark's trim() only knows spaces.
-_SPACE = r"[\s\x1c-\x1f]"
-_BLANK = f"(?U)^{_SPACE}*$"
-_ENDS = f"(?U)^{_SPACE}+|{_SPACE}+$"
+# What counts as white space at the ends of a text. Spark's plain trim() only knows spaces.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(code) for code in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 SQL_EMPTY_LIST = "cast(array() AS array<string>)"
 
@@ -28,8 +28,12 @@ def sql_text(name: str) -> str:
     return f"coalesce({name}, '')"
 
 
+def sql_strip(expression: str) -> str:
+    return f"btrim({expression}, {sql_literal(_SPACES)})"
+
+
 def sql_blank(name: str) -> str:
-    return f"({name} IS NULL OR {name} RLIKE {sql_literal(_BLANK)})"
+    return f"({sql_strip(sql_text(name))} = '')"
 
 
 def sql_filled(name: str) -> str:
@@ -37,10 +41,6 @@ def sql_filled(name: str) -> str:
     return f"({sql_text(name)} <> '')"
 
 
-def sql_strip(expression: str) -> str:
-    return f"regexp_replace({expression}, {sql_literal(_ENDS)}, '')"
-
-
 def sql_contains_any(expression: str, terms: list[str]) -> str:
     pattern = "|".join(re.escape(term) for term in terms)
     return f"({expression} RLIKE {sql_literal(pattern)})"
@@ -79,16 +79,15 @@ def sql_struct(**fields: str) -> str:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, _ENDS, "")
+    return F.btrim(column, F.lit(_SPACES))
 
 
-def list_cell(column: Column) -> Column:
+def sql_list_cell(name: str) -> str:
     """A comma-joined cell as a list: items stripped, empty items left out."""
-    tidy = F.regexp_replace(
-        F.coalesce(column, F.lit("")), f"(?U){_SPACE}*(,{_SPACE}*)+", ","
-    )
-    bare = F.regexp_replace(strip(tidy), "^,|,$", "")
-    return F.when(bare == "", F.expr(SQL_EMPTY_LIST)).otherwise(F.split(bare, ","))
+    ends = sql_literal(_SPACES + ",")
+    bare = f"btrim({sql_text(name)}, {ends})"
+    between = sql_literal(f"[{_SPACES}]*,[{_SPACES},]*")
+    return f"if({bare} = '', {SQL_EMPTY_LIST}, split({bare}, {between}))"
 
 
 def joined(items: Column | str, separator: str = "; ") -> Column:

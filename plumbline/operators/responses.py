@@ -4,18 +4,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
-from plumbline.functions.text import strip
+from plumbline.functions.text import sql_strip
 from plumbline.schema import PARSED_KPI, SURVEY_ANALYSIS
 
 _FENCE = "```"
 
 
-def without_fences(raw: Column) -> Column:
-    """Strip the text; if it opens with a code fence, drop that line and a closing fence line."""
-    bare = strip(raw)
-    opened = F.regexp_replace(bare, r"\A[^\n]*(\n|\z)", "")
-    closed = F.regexp_replace(opened, r"(?:\A|\n)[^\S\n]*```[^\n]*\z", "")
-    return F.when(bare.startswith(_FENCE), strip(closed)).otherwise(bare)
+def with_body(responses: DataFrame) -> DataFrame:
+    """Add ``body``: the text without white space at its ends and without code fences.
+
+    Where the text opens with a fence, its first line goes, and its last line if that is a
+    fence too. Plain text functions only; a text without a fence is passed on untouched.
+    """
+    rest = "if(instr(body, '\\n') = 0, '', substring(body, instr(body, '\\n') + 1))"
+    last_line = "substring_index(rest, '\\n', -1)"
+    closed = (
+        f"if(startswith({sql_strip(last_line)}, '{_FENCE}'),"
+        f" substring(rest, 1, length(rest) - length({last_line})), rest)"
+    )
+    return (
+        responses.withColumn("body", F.expr(sql_strip("raw")))
+        .withColumn("rest", F.expr(f"if(startswith(body, '{_FENCE}'), {rest}, NULL)"))
+        .withColumn("body", F.expr(f"if(rest IS NULL, body, {sql_strip(closed)})"))
+        .drop("rest")
+    )
 
 
 def is_json_object(body: Column) -> Column:
@@ -30,9 +42,7 @@ def is_json_object(body: Column) -> Column:
 
 def read_responses(responses: DataFrame) -> DataFrame:
     """Add the unfenced text and whether it is a JSON object."""
-    return responses.withColumn("body", without_fences(F.col("raw"))).withColumn(
-        "is_valid", is_json_object(F.col("body"))
-    )
+    return with_body(responses).withColumn("is_valid", is_json_object(F.col("body")))
 
 
 def first_valid_attempt(
@@ -102,10 +112,17 @@ def parse_survey_responses(responses: DataFrame) -> DataFrame:
 
 
 def survey_categories(analyses: DataFrame) -> DataFrame:
-    """One row per category of each analysis, in the order given."""
-    return analyses.select(
-        "request_id", "is_fallback", F.posexplode("analysis.categories").alias("pos", "item")
-    ).select(
+    """One row per category of each analysis, in the order given.
+
+    The outer form plus a test on the position: for a plain explode Spark would first filter on
+    the size of the list, and so read the JSON twice.
+    """
+    listed = analyses.select(
+        "request_id",
+        "is_fallback",
+        F.posexplode_outer("analysis.categories").alias("pos", "item"),
+    )
+    return listed.where("pos IS NOT NULL").select(
         "request_id",
         "is_fallback",
         (F.col("pos") + 1).alias("category_number"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
 from plumbline.functions.numbers import to_number
-from plumbline.functions.text import SQL_EMPTY_LIST, list_cell
+from plumbline.functions.text import SQL_EMPTY_LIST, sql_list_cell
 from plumbline.schema import PARSED_KPI, REGISTRY
 
 _REQUIRED_CSV_FIELDS = [
@@ -41,8 +41,8 @@ def _csv_field(rows: DataFrame, field: str) -> Column:
         key = F.col("kpi_id").try_cast("bigint") if "kpi_id" in rows.columns else F.xxhash64("name")
         return key.alias(field)
     if field in V.LIST_FIELDS:
-        cell = F.col(field) if field in rows.columns else F.lit("")
-        return list_cell(cell).alias(field)
+        cell = sql_list_cell(field) if field in rows.columns else SQL_EMPTY_LIST
+        return F.expr(cell).alias(field)
     if field == "human_signoff_required":
         return (F.lower(F.coalesce(field, F.lit(""))) == "true").alias(field)
     return F.coalesce(field, F.lit("")).alias(field)
