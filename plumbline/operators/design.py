@@ -88,7 +88,8 @@ def with_design(kpis: DataFrame) -> DataFrame:
 
 
 def without_design(kpis: DataFrame) -> DataFrame:
-    return kpis.withColumns(
+    """The same columns with the step marked as skipped; its details then read NULL."""
+    return with_design(kpis).withColumns(
         {
             "design_status": F.lit(V.DESIGN_SKIPPED[0]),
             "design_notes": F.lit(V.DESIGN_SKIPPED[1]),
@@ -177,27 +178,29 @@ def sql_design_recommendations() -> str:
 
 def design_step() -> Column:
     """The full step as one nested column."""
+    details = sql_struct(
+        smart_framework=sql_struct(
+            score=SQL_SMART_SCORE,
+            criteria=sql_struct(**SMART),
+            strengths=sql_smart_strengths(),
+            issues=sql_smart_issues(),
+        ),
+        tufte_principles=sql_struct(
+            score=SQL_VISUAL_SCORE,
+            percentage=SQL_VISUAL_PERCENT,
+            criteria=sql_struct(**VISUAL),
+            strengths=sql_visual_strengths(),
+            issues=sql_visual_issues(),
+            reference=sql_literal(V.VISUAL_SOURCE),
+        ),
+        actionability=SQL_ACTIONABILITY,
+        recommendations=sql_design_recommendations(),
+    )
+    skipped = f"design_status = {sql_literal(V.DESIGN_SKIPPED[0])}"
     return F.expr(
         sql_struct(
             status="design_status",
             notes="design_notes",
-            details=sql_struct(
-                smart_framework=sql_struct(
-                    score=SQL_SMART_SCORE,
-                    criteria=sql_struct(**SMART),
-                    strengths=sql_smart_strengths(),
-                    issues=sql_smart_issues(),
-                ),
-                tufte_principles=sql_struct(
-                    score=SQL_VISUAL_SCORE,
-                    percentage=SQL_VISUAL_PERCENT,
-                    criteria=sql_struct(**VISUAL),
-                    strengths=sql_visual_strengths(),
-                    issues=sql_visual_issues(),
-                    reference=sql_literal(V.VISUAL_SOURCE),
-                ),
-                actionability=SQL_ACTIONABILITY,
-                recommendations=sql_design_recommendations(),
-            ),
+            details=f"if({skipped}, NULL, {details})",
         )
     )

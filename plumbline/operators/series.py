@@ -119,7 +119,9 @@ def screen_points(
 ) -> DataFrame:
     """Every point with its series' statistics, its z score and the change from the last number.
 
-    ``chunk_points`` only sets how a long series is divided among tasks, never the result.
+    ``chunk_points`` only sets how a long series is divided among tasks, never the result. It
+    counts in units of ``ord``, which should therefore be near to a dense position;
+    ``functions.ordering.with_position`` makes one from a timestamp or any other sort key.
     """
     # Neither key can be NULL here, which keeps the join from adding filters to one of the two
     # uses of the source; a series that is itself an aggregation is then computed only once.

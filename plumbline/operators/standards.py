@@ -79,7 +79,8 @@ def with_standards(kpis: DataFrame) -> DataFrame:
 
 
 def without_standards(kpis: DataFrame) -> DataFrame:
-    return kpis.withColumns(
+    """The same columns with the step marked as skipped; its details then read NULL."""
+    return with_standards(kpis).withColumns(
         {
             "standards_status": F.lit(V.STANDARDS_SKIPPED[0]),
             "standards_notes": F.lit(V.STANDARDS_SKIPPED[1]),
@@ -110,19 +111,19 @@ def _organization(organization: str) -> str:
 
 def standards_step() -> Column:
     """The full step as one nested column."""
+    details = sql_struct(
+        **{f"{org.lower()}_standards": _organization(org) for org in V.ORGANIZATIONS},
+        overall=sql_struct(
+            total_score=SQL_TOTAL_SCORE, percentage=SQL_PERCENT, status="standards_status"
+        ),
+        recommendations=sql_standards_recommendations(),
+    )
+    skipped = f"standards_status = {sql_literal(V.STANDARDS_SKIPPED[0])}"
     return F.expr(
         sql_struct(
             status="standards_status",
             notes="standards_notes",
-            details=sql_struct(
-                **{f"{org.lower()}_standards": _organization(org) for org in V.ORGANIZATIONS},
-                overall=sql_struct(
-                    total_score=SQL_TOTAL_SCORE,
-                    percentage=SQL_PERCENT,
-                    status="standards_status",
-                ),
-                recommendations=sql_standards_recommendations(),
-            ),
+            details=f"if({skipped}, NULL, {details})",
         )
     )
 

@@ -153,26 +153,6 @@ def assess(
     )
 
 
-def _with_nested_steps(assessed: DataFrame) -> DataFrame:
-    """Add steps 9 and 10 as nested columns; skipped ones have no details."""
-
-    def skipped(kind: str) -> Column:
-        return F.expr(sql_struct(status=f"{kind}_status", notes=f"{kind}_notes"))
-
-    return assessed.withColumns(
-        {
-            "step_9_design_quality": (
-                design.design_step() if "smart_met" in assessed.columns else skipped("design")
-            ),
-            "step_10_best_practices": (
-                standards.standards_step()
-                if "standards_met" in assessed.columns
-                else skipped("standards")
-            ),
-        }
-    )
-
-
 def readiness_report(assessed: DataFrame) -> DataFrame:
     """One flat row per KPI with the outcome of every step."""
     return assessed.selectExpr(
@@ -263,7 +243,13 @@ def report_json(assessed: DataFrame) -> DataFrame:
         "bias_or_equity_risks",
         "human_signoff_required",
     ]
-    return _with_nested_steps(assessed).select(
+    nested = assessed.withColumns(
+        {
+            "step_9_design_quality": design.design_step(),
+            "step_10_best_practices": standards.standards_step(),
+        }
+    )
+    return nested.select(
         "kpi_id",
         F.col("name").alias("kpi_name"),
         F.concat(safe_name(F.col("name")), F.lit("_report")).alias("output_name"),

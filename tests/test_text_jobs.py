@@ -248,9 +248,20 @@ def test_dashboard(spark, registry, retention_series):
     assert (blocked.data_owner, blocked.human_signoff) == ("Not specified", "Not set")
 
 
-def test_skipped_steps_show_as_not_available(registry, retention_series):
-    assessed = R.assess(registry({}), retention_series, include_design=True, include_standards=True)
-    assert R.report_json(assessed).count() == 1
+def test_skipped_steps_show_as_not_available(spark, registry, retention_series):
+    assessed = R.assess(
+        registry({}), retention_series, include_design=False, include_standards=False
+    )
+    reports = R.report_json(assessed)
+    facts = spark.createDataFrame(
+        [],
+        "kpi_id long, n_points long, latest_value double, min_value double, max_value double,"
+        " anomaly_count long, is_synthetic boolean",
+    )
+    row = marts.dashboard_mart(reports, facts).first()
+    assert {row.smart_score, row.visual_percent, row.standards_score} == {"N/A"}
+    assert (row.standards_status, row.standards_light) == ("Skipped", "red")
+    assert "\nSMART Issues: None\n" in P.refinement_prompts(reports).first().prompt
 
 
 def test_intake_to_report(spark):
