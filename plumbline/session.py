@@ -13,6 +13,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Hash instead of sort-merge joins where every build partition is known to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         # Recording the Python call site of every column doubles the time to build a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
