@@ -35,18 +35,17 @@ VISUAL = dict(
 )
 
 
-def with_design_facts(kpis: DataFrame) -> DataFrame:
-    """Add the plain yes/no facts the criteria are made of, each worked out once."""
+def _facts() -> dict[str, str]:
+    """The plain yes/no facts the criteria are made of."""
     definition = sql_text("definition")
     risks = sql_text("bias_or_equity_risks")
-    audience = sql_filled("intended_audience")
-    facts = {
+    return {
         "is_specific": f"length({definition}) > {V.SPECIFIC_DEFINITION_LENGTH}",
         "is_measurable": sql_shows_operator(V.FORMULA_OPERATORS),
         "is_achievable": SQL_STABLE_RANGE,
-        "has_audience": audience,
+        "has_audience": sql_filled("intended_audience"),
         "has_period": sql_filled("time_period"),
-        "is_owned": f"{sql_filled('data_owner')} AND {audience}",
+        "is_owned": f"{sql_filled('data_owner')} AND has_audience",
         "has_ratio": sql_shows_operator(V.RATIO_OPERATORS),
         "has_trend": f"coalesce(n_points, 0) >= {V.MIN_POINTS_FOR_TREND}",
         "has_units": sql_mentions(definition, V.UNIT_TERMS),
@@ -57,34 +56,32 @@ def with_design_facts(kpis: DataFrame) -> DataFrame:
         "names_segment": sql_mentions(risks, V.SEGMENT_ADVICE_TERMS),
         "names_goal": sql_mentions(definition, V.GOAL_TERMS),
     }
-    return kpis.withColumns({name: F.expr(test) for name, test in facts.items()})
 
 
-def with_design_scores(facts: DataFrame) -> DataFrame:
-    met = {
-        name: " + ".join(f"coalesce(cast({fact} AS int), 0)" for fact in criteria.values())
-        for name, criteria in (("smart", SMART), ("visual", VISUAL))
+def _scores() -> dict[str, str]:
+    def met(criteria: dict[str, str]) -> str:
+        return " + ".join(f"coalesce(cast({fact} AS int), 0)" for fact in criteria.values())
+
+    return {
+        "smart_met": met(SMART),
+        "smart_total": " + ".join(f"cast({fact} IS NOT NULL AS int)" for fact in SMART.values()),
+        "visual_met": met(VISUAL),
     }
-    assessed = " + ".join(f"cast({fact} IS NOT NULL AS int)" for fact in SMART.values())
-    return facts.withColumns(
-        {
-            "smart_met": F.expr(met["smart"]),
-            "smart_total": F.expr(assessed),
-            "visual_met": F.expr(met["visual"]),
-        }
-    )
 
 
 def with_design(kpis: DataFrame) -> DataFrame:
-    """Facts, scores, status and notes of step 9."""
-    scored = with_design_scores(with_design_facts(kpis))
+    """Facts, scores, status and notes of step 9; each column may use the ones before it."""
     notes = (
         f"concat('SMART: ', {SQL_SMART_SCORE}, ', Tufte: ', {SQL_VISUAL_SCORE},"
         f" ' (', {SQL_VISUAL_PERCENT}, '). ', {_by_scores(1)})"
     )
-    return scored.withColumns(
-        {"design_status": F.expr(_by_scores(0)), "design_notes": F.expr(notes)}
-    )
+    columns = {
+        **_facts(),
+        **_scores(),
+        "design_status": _by_scores(0),
+        "design_notes": notes,
+    }
+    return kpis.selectExpr("*", *[f"{test} AS {name}" for name, test in columns.items()])
 
 
 def without_design(kpis: DataFrame) -> DataFrame:
@@ -93,6 +90,7 @@ def without_design(kpis: DataFrame) -> DataFrame:
         {
             "design_status": F.lit(V.DESIGN_SKIPPED[0]),
             "design_notes": F.lit(V.DESIGN_SKIPPED[1]),
+            "design_skipped": F.lit(True),
         }
     )
 
@@ -176,8 +174,8 @@ def sql_design_recommendations() -> str:
     )
 
 
-def design_step() -> Column:
-    """The full step as one nested column."""
+def design_step(skipped: bool = False) -> Column:
+    """The full step as one nested column; a skipped one has the same type, without details."""
     details = sql_struct(
         smart_framework=sql_struct(
             score=SQL_SMART_SCORE,
@@ -196,11 +194,10 @@ def design_step() -> Column:
         actionability=SQL_ACTIONABILITY,
         recommendations=sql_design_recommendations(),
     )
-    skipped = f"design_status = {sql_literal(V.DESIGN_SKIPPED[0])}"
     return F.expr(
         sql_struct(
             status="design_status",
             notes="design_notes",
-            details=f"if({skipped}, NULL, {details})",
+            details=f"if(true, NULL, {details})" if skipped else details,
         )
     )

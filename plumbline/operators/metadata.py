@@ -75,58 +75,100 @@ def _missing_elements() -> str:
 
 
 def with_findings(registry: DataFrame) -> DataFrame:
-    """Add what the steps are decided on, each worked out once."""
+    """Add what the steps are decided on, each worked out once. Later ones use earlier ones."""
     comments = sql_mentions(
         f"concat_ws(' ', {sql_text('definition')}, {sql_text('known_limitations')})",
         V.SURVEY_TERMS,
     )
-    return registry.withColumns(
-        {
-            "missing_fields": F.expr(_missing_fields()),
-            "definition_issues": F.expr(_definition_issues()),
-            "joins_required": F.expr(f"size({_SYSTEMS}) > 1"),
-            "has_survey_comments": F.expr(comments),
-            "missing_elements": F.expr(_missing_elements()),
-        }
-    ).withColumn("entity_issues", F.expr(_entity_issues())).withColumn(
-        "entity_risk_level",
-        F.expr(
-            "CASE WHEN NOT joins_required THEN 'Low'"
-            " WHEN size(entity_issues) = 0 THEN 'Moderate' ELSE 'High' END"
-        ),
+    risk = (
+        "CASE WHEN NOT joins_required THEN 'Low'"
+        " WHEN size(entity_issues) = 0 THEN 'Moderate' ELSE 'High' END"
+    )
+    return registry.selectExpr(
+        "*",
+        f"{_missing_fields()} AS missing_fields",
+        f"{_definition_issues()} AS definition_issues",
+        f"size({_SYSTEMS}) > 1 AS joins_required",
+        f"{comments} AS has_survey_comments",
+        f"{_missing_elements()} AS missing_elements",
+        f"{_entity_issues()} AS entity_issues",
+        f"{risk} AS entity_risk_level",
     )
 
 
-def _step(good: str, when_good: tuple, otherwise: tuple, **details: str) -> Column:
-    """A check result: status and notes by one condition, plus typed details."""
+# Per step: the condition on the findings, and status and notes when it holds and when not.
+OUTCOMES = {
+    "register": ("size(missing_fields) = 0", V.REGISTER_PASS, V.REGISTER_GAP),
+    "definition": ("size(definition_issues) = 0", V.DEFINITION_CLEAR, V.DEFINITION_AMBIGUOUS),
+    "entity": ("entity_risk_level <> 'High'", V.ENTITY_PASS, V.ENTITY_FAIL),
+    "ai": ("true", V.AI_USE, V.AI_USE),
+    "governance": (
+        "size(missing_elements) = 0",
+        V.GOVERNANCE_COMPLETE,
+        V.GOVERNANCE_INCOMPLETE,
+    ),
+    "readiness": ("size(blockers) = 0", V.READY, V.NOT_READY),
+}
+_STEP_OF_BLOCKER = [
+    ("definition", V.BLOCKER_DEFINITION),
+    ("entity", V.BLOCKER_ENTITY),
+    ("quality", V.BLOCKER_QUALITY),
+    ("governance", V.BLOCKER_GOVERNANCE),
+]
+
+
+def _outcome(step: str, position: int) -> str:
+    good, when_good, otherwise = OUTCOMES[step]
+    return (
+        f"if({good}, {sql_literal(when_good[position])}, {sql_literal(otherwise[position])})"
+    )
+
+
+def with_decision(findings: DataFrame) -> DataFrame:
+    """Add status and notes of every step, the blockers and the publish decision.
+
+    Needs the findings, ``quality_status`` and ``anomaly_count``.
+    """
+    blocked_by = {
+        step: f"NOT ({OUTCOMES[step][0]})" if step in OUTCOMES else "anomaly_count > 0"
+        for step, _ in _STEP_OF_BLOCKER
+    }
+    blockers = sql_texts_where(
+        *[(blocked_by[step], said(text)) for step, text in _STEP_OF_BLOCKER]
+    )
+    outcomes = [
+        f"{_outcome(step, position)} AS {step}_{name}"
+        for step in OUTCOMES
+        for position, name in enumerate(("status", "notes"))
+    ]
+    return findings.selectExpr("*", f"{blockers} AS blockers", *outcomes)
+
+
+SQL_PERMITTED = sql_texts_where(
+    ("joins_required", said(V.LINKAGE_TECHNIQUE)),
+    ("true", said(V.SCREENING_TECHNIQUE)),
+    ("has_survey_comments", said(V.COMMENT_TECHNIQUE)),
+)
+SQL_EXCLUDED = sql_texts(V.EXCLUDED_TECHNIQUES)
 
-    def choose(position: int) -> str:
-        if when_good == otherwise:
-            return sql_literal(when_good[position])
-        return (
-            f"if({good}, {sql_literal(when_good[position])}, {sql_literal(otherwise[position])})"
-        )
 
+def _step(step: str, **details: str) -> Column:
+    """A check result: status and notes, plus typed details."""
     return F.expr(
-        sql_struct(status=choose(0), notes=choose(1), details=sql_struct(**details))
+        sql_struct(
+            status=_outcome(step, 0), notes=_outcome(step, 1), details=sql_struct(**details)
+        )
     )
 
 
 def register_step() -> Column:
-    return _step(
-        "size(missing_fields) = 0",
-        V.REGISTER_PASS,
-        V.REGISTER_GAP,
-        missing_fields="missing_fields",
-    )
+    return _step("register", missing_fields="missing_fields")
 
 
 def definition_step() -> Column:
-    clear = "size(definition_issues) = 0"
+    clear = OUTCOMES["definition"][0]
     return _step(
-        clear,
-        V.DEFINITION_CLEAR,
-        V.DEFINITION_AMBIGUOUS,
+        "definition",
         issues="definition_issues",
         follow_up_prompts=f"if({clear}, {SQL_EMPTY_LIST}, {sql_texts(V.FOLLOW_UP_PROMPTS)})",
     )
@@ -137,9 +179,7 @@ def entity_step() -> Column:
         f"if(joins_required, {sql_literal(V.RESOLUTION_YES)}, {sql_literal(V.RESOLUTION_NO)})"
     )
     return _step(
-        "entity_risk_level <> 'High'",
-        V.ENTITY_PASS,
-        V.ENTITY_FAIL,
+        "entity",
         joins_required="joins_required",
         entity_risk_level="entity_risk_level",
         identifier_fields=sql_list("identifier_fields"),
@@ -150,15 +190,9 @@ def entity_step() -> Column:
 
 def ai_use_step() -> Column:
     return _step(
-        "true",
-        V.AI_USE,
-        V.AI_USE,
-        permitted_ai_techniques=sql_texts_where(
-            ("joins_required", said(V.LINKAGE_TECHNIQUE)),
-            ("true", said(V.SCREENING_TECHNIQUE)),
-            ("has_survey_comments", said(V.COMMENT_TECHNIQUE)),
-        ),
-        excluded_ai_techniques=sql_texts(V.EXCLUDED_TECHNIQUES),
+        "ai",
+        permitted_ai_techniques=SQL_PERMITTED,
+        excluded_ai_techniques=SQL_EXCLUDED,
         rationale=sql_texts_where(
             ("joins_required", said(V.LINKAGE_RATIONALE)),
             ("true", said(V.SCREENING_RATIONALE)),
@@ -169,34 +203,18 @@ def ai_use_step() -> Column:
 
 def governance_step() -> Column:
     return _step(
-        "size(missing_elements) = 0",
-        V.GOVERNANCE_COMPLETE,
-        V.GOVERNANCE_INCOMPLETE,
-        missing_elements="missing_elements",
-        guardrails=sql_texts(V.GUARDRAILS),
+        "governance", missing_elements="missing_elements", guardrails=sql_texts(V.GUARDRAILS)
     )
 
 
-def with_readiness(findings: DataFrame) -> DataFrame:
-    """Add the blockers and the publish decision; needs the findings and ``quality_status``."""
-    blockers = sql_texts_where(
-        ("size(definition_issues) > 0", said(V.BLOCKER_DEFINITION)),
-        ("entity_risk_level = 'High'", said(V.BLOCKER_ENTITY)),
-        (f"quality_status = {sql_literal(V.QUALITY_REVIEW[0])}", said(V.BLOCKER_QUALITY)),
-        ("size(missing_elements) > 0", said(V.BLOCKER_GOVERNANCE)),
-    )
-    ready = "size(blockers) = 0"
-    return findings.withColumn("blockers", F.expr(blockers)).withColumn(
-        "step_7_readiness",
-        _step(
-            ready,
-            V.READY,
-            V.NOT_READY,
-            blockers="blockers",
-            next_actions=(
-                f"if({ready}, {sql_texts(V.NEXT_ACTIONS_READY)},"
-                f" {sql_texts(V.NEXT_ACTIONS_BLOCKED)})"
-            ),
-            note=sql_literal(V.READINESS_NOTE),
+def readiness_step() -> Column:
+    """The publish decision as a step, from ``blockers``."""
+    return _step(
+        "readiness",
+        blockers="blockers",
+        next_actions=(
+            f"if(size(blockers) = 0, {sql_texts(V.NEXT_ACTIONS_READY)},"
+            f" {sql_texts(V.NEXT_ACTIONS_BLOCKED)})"
         ),
+        note=sql_literal(V.READINESS_NOTE),
     )

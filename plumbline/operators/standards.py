@@ -63,19 +63,15 @@ def _by_alignment(position: int) -> str:
 
 def with_standards(kpis: DataFrame) -> DataFrame:
     """Checks, scores, status and notes of step 10."""
-    checked = kpis.withColumns(
-        {check: F.expr(test) for check, test in standard_checks().items()}
-    )
-    scored = checked.withColumns(
-        {
-            **{met_name(org): F.expr(_count(checks_of(org))) for org in V.ORGANIZATIONS},
-            "standards_met": F.expr(_count(CHECKS)),
-        }
-    )
     notes = f"concat({_by_alignment(1)}, ' (', {SQL_TOTAL_SCORE}, ' met, ', {SQL_PERCENT}, ')')"
-    return scored.withColumns(
-        {"standards_status": F.expr(_by_alignment(0)), "standards_notes": F.expr(notes)}
-    )
+    columns = {
+        **standard_checks(),
+        **{met_name(org): _count(checks_of(org)) for org in V.ORGANIZATIONS},
+        "standards_met": _count(CHECKS),
+        "standards_status": _by_alignment(0),
+        "standards_notes": notes,
+    }
+    return kpis.selectExpr("*", *[f"{test} AS {name}" for name, test in columns.items()])
 
 
 def without_standards(kpis: DataFrame) -> DataFrame:
@@ -84,6 +80,7 @@ def without_standards(kpis: DataFrame) -> DataFrame:
         {
             "standards_status": F.lit(V.STANDARDS_SKIPPED[0]),
             "standards_notes": F.lit(V.STANDARDS_SKIPPED[1]),
+            "standards_skipped": F.lit(True),
         }
     )
 
@@ -109,8 +106,8 @@ def _organization(organization: str) -> str:
     )
 
 
-def standards_step() -> Column:
-    """The full step as one nested column."""
+def standards_step(skipped: bool = False) -> Column:
+    """The full step as one nested column; a skipped one has the same type, without details."""
     details = sql_struct(
         **{f"{org.lower()}_standards": _organization(org) for org in V.ORGANIZATIONS},
         overall=sql_struct(
@@ -118,12 +115,11 @@ def standards_step() -> Column:
         ),
         recommendations=sql_standards_recommendations(),
     )
-    skipped = f"standards_status = {sql_literal(V.STANDARDS_SKIPPED[0])}"
     return F.expr(
         sql_struct(
             status="standards_status",
             notes="standards_notes",
-            details=f"if({skipped}, NULL, {details})",
+            details=f"if(true, NULL, {details})" if skipped else details,
         )
     )
 

@@ -14,13 +14,16 @@ from plumbline.functions.text import (
 )
 from plumbline.operators import design, standards
 from plumbline.operators.metadata import (
+    SQL_EXCLUDED,
+    SQL_PERMITTED,
     ai_use_step,
     definition_step,
     entity_step,
     governance_step,
+    readiness_step,
     register_step,
+    with_decision,
     with_findings,
-    with_readiness,
 )
 from plumbline.operators.series import registry_left_series
 
@@ -75,14 +78,14 @@ def _summary_step() -> Column:
             identifier_fields=sql_list("identifier_fields"),
         ),
         risks=sql_struct(
-            definition_status="step_2_definition.status",
+            definition_status="definition_status",
             entity_risk_level="entity_risk_level",
             anomalies_detected="anomalies_detected",
-            governance_status="step_6_governance.status",
+            governance_status="governance_status",
         ),
         ai_guidance=sql_struct(
-            permitted="step_5_ai.details.permitted_ai_techniques",
-            excluded="step_5_ai.details.excluded_ai_techniques",
+            permitted=SQL_PERMITTED,
+            excluded=SQL_EXCLUDED,
         ),
         governance=sql_struct(
             data_owner="data_owner",
@@ -91,8 +94,8 @@ def _summary_step() -> Column:
             bias_or_equity_risks="bias_or_equity_risks",
             human_signoff_required="human_signoff_required",
         ),
-        readiness_status="step_7_readiness.status",
-        readiness_notes="step_7_readiness.notes",
+        readiness_status="readiness_status",
+        readiness_notes="readiness_notes",
         blockers="blockers",
     )
     return F.expr(
@@ -104,36 +107,13 @@ def _summary_step() -> Column:
     )
 
 
-def assess_core(
-    registry: DataFrame,
-    series: DataFrame,
-    z_threshold: float = V.Z_SCORE_THRESHOLD,
-    step_threshold: float = V.STEP_CHANGE_THRESHOLD,
-    **options,
-) -> DataFrame:
-    """Steps 1 to 8: one row per KPI, a nested column per step, findings alongside.
+def assess_core(registry: DataFrame, series: DataFrame, **options) -> DataFrame:
+    """Steps 1 to 7: one row per KPI with the findings and outcomes as plain columns.
 
     Everything but the series roll-up is a projection over the registry; a caller that selects
-    a few columns pays for those only.
+    a few columns pays for those only. Nested records are made by ``report_json`` alone.
     """
-    kpis = registry_left_series(
-        with_findings(registry),
-        series,
-        z_threshold=z_threshold,
-        step_threshold=step_threshold,
-        **options,
-    )
-    checked = kpis.withColumns(
-        {
-            "step_1_register": register_step(),
-            "step_2_definition": definition_step(),
-            "step_3_entity": entity_step(),
-            "step_4_quality": _quality_step(z_threshold, step_threshold),
-            "step_5_ai": ai_use_step(),
-            "step_6_governance": governance_step(),
-        }
-    )
-    return with_readiness(checked).withColumn("step_8_summary", _summary_step())
+    return with_decision(registry_left_series(with_findings(registry), series, **options))
 
 
 def assess(
@@ -158,21 +138,21 @@ def readiness_report(assessed: DataFrame) -> DataFrame:
     return assessed.selectExpr(
         "kpi_id",
         "name AS kpi_name",
-        "step_1_register.status AS register_status",
+        "register_status",
         "array_join(missing_fields, '; ') AS missing_fields",
-        "step_2_definition.status AS definition_status",
+        "definition_status",
         "array_join(definition_issues, '; ') AS definition_issues",
-        "step_3_entity.status AS entity_status",
+        "entity_status",
         "entity_risk_level",
         "quality_status",
         "n_points",
         "anomaly_count",
         "round(mean, 4) AS mean",
         "round(stdev, 4) AS stdev",
-        "array_join(step_5_ai.details.permitted_ai_techniques, '; ') AS permitted_ai",
-        "step_6_governance.status AS governance_status",
+        f"array_join({SQL_PERMITTED}, '; ') AS permitted_ai",
+        "governance_status",
         "array_join(missing_elements, '; ') AS missing_elements",
-        "step_7_readiness.status AS readiness_status",
+        "readiness_status",
         "array_join(blockers, '; ') AS blockers",
         "design_status",
         "design_notes",
@@ -183,12 +163,21 @@ def readiness_report(assessed: DataFrame) -> DataFrame:
 
 def report_long(assessed: DataFrame) -> DataFrame:
     """One row per KPI and step: status and notes."""
+    generated = [sql_literal(text) for text in V.SUMMARY_GENERATED]
+    outcomes = [
+        *[
+            (f"{step}_status", f"{step}_notes")
+            for step in ["register", "definition", "entity", "quality", "ai", "governance"]
+        ],
+        ("readiness_status", "readiness_notes"),
+        tuple(generated),
+        ("design_status", "design_notes"),
+        ("standards_status", "standards_notes"),
+    ]
     rows = [
-        f"{number}, {sql_literal(step)}, {step}.status, {step}.notes"
-        for number, step in enumerate(STEPS[:8], start=1)
+        f"{number}, {sql_literal(step)}, {status}, {notes}"
+        for number, (step, (status, notes)) in enumerate(zip(STEPS, outcomes), start=1)
     ]
-    rows.append(f"9, {sql_literal(STEPS[8])}, design_status, design_notes")
-    rows.append(f"10, {sql_literal(STEPS[9])}, standards_status, standards_notes")
     return assessed.selectExpr(
         "kpi_id",
         "name AS kpi_name",
@@ -198,34 +187,44 @@ def report_long(assessed: DataFrame) -> DataFrame:
 
 def step8_summary(core: DataFrame) -> DataFrame:
     """The one-page summary, flattened."""
-    summary = core.selectExpr(
-        "kpi_id", "step_8_summary.status AS status", "step_8_summary.details.summary AS page"
-    )
-    return summary.selectExpr(
+    return core.selectExpr(
         "kpi_id",
-        "status",
-        "page.kpi_name",
-        "page.definition",
-        "page.formula",
-        "page.time_period",
-        "page.intended_audience",
-        "page.sources.primary AS primary_source",
-        "array_join(page.sources.secondary, '; ') AS secondary_sources",
-        "array_join(page.sources.systems_in_join, '; ') AS systems_in_join",
-        "array_join(page.sources.identifier_fields, '; ') AS identifier_fields",
-        "page.risks.*",
-        "array_join(page.ai_guidance.permitted, '; ') AS permitted",
-        "array_join(page.ai_guidance.excluded, '; ') AS excluded",
-        "page.governance.*",
-        "page.readiness_status",
-        "page.readiness_notes",
-        "array_join(page.blockers, '; ') AS blockers",
+        f"{sql_literal(V.SUMMARY_GENERATED[0])} AS status",
+        "name AS kpi_name",
+        "definition",
+        "formula",
+        "time_period",
+        "intended_audience",
+        "primary_source_system AS primary_source",
+        f"array_join({sql_list('secondary_source_systems')}, '; ') AS secondary_sources",
+        f"array_join({sql_list('source_systems_in_join')}, '; ') AS systems_in_join",
+        f"array_join({sql_list('identifier_fields')}, '; ') AS identifier_fields",
+        "definition_status",
+        "entity_risk_level",
+        "anomalies_detected",
+        "governance_status",
+        f"array_join({SQL_PERMITTED}, '; ') AS permitted",
+        f"array_join({SQL_EXCLUDED}, '; ') AS excluded",
+        "data_owner",
+        "data_steward",
+        "known_limitations",
+        "bias_or_equity_risks",
+        "human_signoff_required",
+        "readiness_status",
+        "readiness_notes",
+        "array_join(blockers, '; ') AS blockers",
     )
 
 
-def report_json(assessed: DataFrame) -> DataFrame:
+def report_json(
+    assessed: DataFrame,
+    z_threshold: float = V.Z_SCORE_THRESHOLD,
+    step_threshold: float = V.STEP_CHANGE_THRESHOLD,
+) -> DataFrame:
     """The nested report record: identity and ten steps, ready for a JSON sink.
 
+    The thresholds are those the KPIs were assessed with; they are stated in the record.
+
     Anomalies are a table of their own (``operators.series.anomalies``): a long series may
     have any number of them, and they are never gathered into one row.
     """
@@ -243,18 +242,24 @@ def report_json(assessed: DataFrame) -> DataFrame:
         "bias_or_equity_risks",
         "human_signoff_required",
     ]
-    nested = assessed.withColumns(
-        {
-            "step_9_design_quality": design.design_step(),
-            "step_10_best_practices": standards.standards_step(),
-        }
-    )
-    return nested.select(
+    steps = [
+        register_step(),
+        definition_step(),
+        entity_step(),
+        _quality_step(z_threshold, step_threshold),
+        ai_use_step(),
+        governance_step(),
+        readiness_step(),
+        _summary_step(),
+        design.design_step(skipped="design_skipped" in assessed.columns),
+        standards.standards_step(skipped="standards_skipped" in assessed.columns),
+    ]
+    return assessed.select(
         "kpi_id",
         F.col("name").alias("kpi_name"),
         F.concat(safe_name(F.col("name")), F.lit("_report")).alias("output_name"),
         F.struct(*identity).alias("kpi_identity"),
-        F.struct(*STEPS).alias("steps"),
+        F.struct(*[step.alias(name) for name, step in zip(STEPS, steps)]).alias("steps"),
     )
 
 
@@ -272,11 +277,11 @@ def summary_long(assessed: DataFrame) -> DataFrame:
         (V.SUMMARY_IDENTITY, "Primary Source System", sql_text("primary_source_system")),
         (V.SUMMARY_IDENTITY, "Secondary Source Systems", named_secondary),
         (V.SUMMARY_IDENTITY, "Intended Audience", sql_text("intended_audience")),
-        (V.SUMMARY_RESULTS, "Readiness Status", "step_7_readiness.status"),
-        (V.SUMMARY_RESULTS, "Definition Status", "step_2_definition.status"),
+        (V.SUMMARY_RESULTS, "Readiness Status", "readiness_status"),
+        (V.SUMMARY_RESULTS, "Definition Status", "definition_status"),
         (V.SUMMARY_RESULTS, "Entity Risk Level", "entity_risk_level"),
         (V.SUMMARY_RESULTS, "Anomalies Detected", "anomalies_detected"),
-        (V.SUMMARY_RESULTS, "Governance Status", "step_6_governance.status"),
+        (V.SUMMARY_RESULTS, "Governance Status", "governance_status"),
         (V.SUMMARY_RESULTS, "Design Quality", "design_status"),
         (V.SUMMARY_RESULTS, "Industry Standards", "standards_status"),
     ]
@@ -308,11 +313,11 @@ def batch_summary(assessed: DataFrame) -> DataFrame:
     return assessed.selectExpr(
         "kpi_id",
         "name AS kpi_name",
-        "step_7_readiness.status AS readiness_status",
-        "step_2_definition.status AS definition_status",
+        "readiness_status",
+        "definition_status",
         "entity_risk_level AS entity_risk",
         "anomalies_detected",
-        "step_6_governance.status AS governance_status",
+        "governance_status",
         "design_status AS design_quality",
         "standards_status AS industry_standards",
         "array_join(blockers, '; ') AS blockers",
@@ -323,14 +328,14 @@ def batch_counts(core: DataFrame) -> DataFrame:
     """How many KPIs were assessed, are ready and are blocked."""
     return core.agg(
         F.expr("count(1) AS total"),
-        F.expr(f"count_if(step_7_readiness.status = {sql_literal(V.READY[0])}) AS ready"),
-        F.expr(f"count_if(step_7_readiness.status = {sql_literal(V.NOT_READY[0])}) AS blocked"),
+        F.expr(f"count_if(readiness_status = {sql_literal(V.READY[0])}) AS ready"),
+        F.expr(f"count_if(readiness_status = {sql_literal(V.NOT_READY[0])}) AS blocked"),
     )
 
 
 def batch_listing(core: DataFrame) -> DataFrame:
     """Ready KPIs, and blocked KPIs with one row per blocker."""
-    ready = f"step_7_readiness.status = {sql_literal(V.READY[0])}"
+    ready = f"readiness_status = {sql_literal(V.READY[0])}"
     return core.selectExpr(
         "kpi_id",
         "name AS kpi_name",

@@ -8,9 +8,11 @@ from plumbline import fixed_values as V
 from plumbline.plans.report import batch_summary, report_json, summary_long
 
 
-def write_report_json(assessed: DataFrame, path: str, mode: str = "errorifexists") -> StructType:
+def write_report_json(
+    assessed: DataFrame, path: str, mode: str = "errorifexists", **thresholds: float
+) -> StructType:
     """Nested reports as JSON lines. Returns the schema to read them back with."""
-    reports = report_json(assessed)
+    reports = report_json(assessed, **thresholds)
     reports.write.mode(mode).json(path)
     return reports.schema
 

@@ -119,7 +119,7 @@ def step6_governance(spark, sf_dir):
 def step7_readiness(spark, sf_dir):
     return _step(
         _core(spark, sf_dir),
-        F.col("step_7_readiness"),
+        metadata.readiness_step(),
         blockers=True,
         next_actions=True,
         note=False,
@@ -195,7 +195,7 @@ def optional_steps(spark, sf_dir):
     assessed = _assessed(spark, sf_dir, include_design=False, include_standards=False)
     return assessed.selectExpr(
         "kpi_id",
-        "step_7_readiness.status AS readiness_status",
+        "readiness_status",
         "design_status",
         "design_notes",
         "standards_status",

@@ -68,7 +68,8 @@ def test_skipped_steps_never_affect_readiness(registry, retention_series):
 
 def test_thresholds_reach_the_report(registry, retention_series):
     assessed = R.assess(registry({}), retention_series, step_threshold=0.01, z_threshold=1.5)
-    step = R.report_json(assessed).select("steps.step_4_quality.*").first()
+    reports = R.report_json(assessed, step_threshold=0.01, z_threshold=1.5)
+    step = reports.select("steps.step_4_quality.*").first()
     assert step.status == "Needs Human Review"
     assert step.details.anomaly_count == 4  # three changes of more than 1 %, one z of 1.849
     assert step.details.rule_notes.outlier_rule == "z score at or above 1.5"

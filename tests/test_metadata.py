@@ -118,7 +118,7 @@ def test_readiness_collects_blockers_in_order(registry, series):
         },
     )
     core = R.assess_core(rows, series([10, 10, 10], [10, 20]))
-    steps = [r.step_7_readiness for r in core.orderBy("kpi_id").collect()]
+    steps = [r.s for r in core.orderBy("kpi_id").select(M.readiness_step().alias("s")).collect()]
     assert steps[0].status == "Ready for Dashboard Use"
     assert steps[0].details.next_actions == V.NEXT_ACTIONS_READY
     assert steps[1].details.blockers == [

@@ -82,7 +82,7 @@ def test_known_counts(spark, sf, kpis, clear, high, moderate, anomaly, complete,
         "count_if(readiness_status = 'Ready for Dashboard Use')",
     ).first()
     assert tuple(got) == (kpis, clear, high, moderate, anomaly, complete, ready)
-    stable = D.with_design_facts(registry_left_series(registry, series))
+    stable = D.with_design(registry_left_series(registry, series))
     assert stable.where("is_achievable").count() == achievable
 
 
