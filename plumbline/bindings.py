@@ -272,6 +272,27 @@ def survey_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placeholder_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stand-in series per customer, answered in plain form, in fences, or not at all."""
+    k = F.col("c_custkey")
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(f"Fall {2020 + i}").alias("period"), (k % 30 + 60 + i).alias("value")
+            )
+            for i in range(5)
+        ]
+    )
+    answer = F.to_json(points)
+    return table(spark, sf_dir, "customer").select(
+        k.alias("request_id"),
+        F.when(k % 4 == 0, F.concat(F.lit("Here it is: "), answer))
+        .when(k % 4 == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
+        .otherwise(answer)
+        .alias("raw"),
+    )
+
+
 def document_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("comment_id"), F.col("text").alias("comment")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
+from plumbline.functions.numbers import to_number
 from plumbline.functions.text import sql_strip
 from plumbline.schema import PARSED_KPI, SURVEY_ANALYSIS
 
@@ -30,14 +31,22 @@ def with_body(responses: DataFrame) -> DataFrame:
     )
 
 
-def is_json_object(body: Column) -> Column:
-    """True for exactly one well-formed JSON object and nothing after it.
+def _is_one_json_value(body: Column, opening: str) -> Column:
+    """True for exactly one well-formed JSON value of the kind that opens so, and nothing more.
 
     Spark's JSON readers stop after the first value. Placing the text as the first of two items
     in an array makes anything left over malformed.
     """
     items = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]")))
-    return F.coalesce(body.startswith("{") & (items == 2), F.lit(False))
+    return F.coalesce(body.startswith(opening) & (items == 2), F.lit(False))
+
+
+def is_json_object(body: Column) -> Column:
+    return _is_one_json_value(body, "{")
+
+
+def is_json_array(body: Column) -> Column:
+    return _is_one_json_value(body, "[")
 
 
 def read_responses(responses: DataFrame) -> DataFrame:
@@ -131,3 +140,35 @@ def survey_categories(analyses: DataFrame) -> DataFrame:
         "item.sentiment",
         "item.theme_summary",
     )
+
+
+def parse_placeholder_series(responses: DataFrame) -> DataFrame:
+    """Stand-in series from responses; an unreadable one gives the fixed placeholder, marked.
+
+    Expects ``request_id`` and ``raw``; the request is the KPI the series is for.
+    """
+    fixed = F.array(
+        *[
+            F.struct(F.lit(period).alias("period"), F.lit(str(value)).alias("value"))
+            for period, value in V.PLACEHOLDER_SERIES
+        ]
+    )
+    points = "array<struct<period:string,value:string>>"
+    valid = with_body(responses).withColumn("is_valid", is_json_array(F.col("body")))
+    return (
+        valid.select(
+            F.col("request_id").alias("kpi_id"),
+            (~F.col("is_valid")).alias("is_fallback"),
+            F.posexplode(
+                F.when(F.col("is_valid"), F.from_json("body", points)).otherwise(fixed)
+            ).alias("ord", "point"),
+        )
+        .select(
+            "kpi_id",
+            F.col("ord").cast("bigint").alias("ord"),
+            F.coalesce("point.period", F.lit(V.MISSING_PERIOD)).alias("period"),
+            F.col("point.value").alias("value_raw"),
+            to_number(F.col("point.value")).alias("value"),
+            "is_fallback",
+        )
+    )

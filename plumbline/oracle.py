@@ -885,6 +885,13 @@ FROM d GROUP BY batch_id""",
         "parse_survey_analysis": _with(SURVEY_ANSWERS)
         + "SELECT k AS request_id, is_fallback, pos AS category_number, name, cnt AS count,"
         " cats.sentiment, theme AS theme_summary FROM cats JOIN ans USING (k)",
+        "placeholder_series": f"""SELECT c_custkey AS kpi_id, CAST(i AS BIGINT) AS ord,
+  'Fall ' || (2020 + i) AS period, CAST(c_custkey % 30 + 60 + i AS VARCHAR) AS value_raw,
+  CAST(c_custkey % 30 + 60 + i AS DOUBLE) AS value, false AS is_fallback
+FROM customer, range(5) AS r(i) WHERE c_custkey % 4 <> 0
+UNION ALL
+SELECT c_custkey, CAST(t.ord AS BIGINT), t.period, CAST(t.value AS VARCHAR), t.value, true
+FROM customer, (VALUES {placeholder}) AS t(ord, period, value) WHERE c_custkey % 4 = 0""",
         "survey_section_mart": _with(
             SURVEY_ANSWERS,
             f"""tops AS (

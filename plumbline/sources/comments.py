@@ -1,5 +1,6 @@
 """Survey comments from JSON records, with the sample comments as stand-in."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,13 +9,24 @@ from plumbline.schema import SURVEY_FILE
 
 
 def read_survey_files(
-    spark: SparkSession, path: str | list[str], multi_line: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    missing_as_sample: bool = False,
 ) -> DataFrame:
     """Records with a mode (real, sample or skip) and a list of comments.
 
-    An unreadable record keeps its row with an empty mode, which then counts as sample.
+    An unreadable record keeps its row with an empty mode, which then counts as sample. So does
+    a path that does not exist, if ``missing_as_sample`` is set.
     """
-    return spark.read.schema(SURVEY_FILE).option("multiLine", multi_line).json(path)
+    try:
+        return spark.read.schema(SURVEY_FILE).option("multiLine", multi_line).json(path)
+    except AnalysisException as error:
+        if not (missing_as_sample and error.getCondition() == "PATH_NOT_FOUND"):
+            raise
+        return spark.range(1).select(
+            *[F.lit(None).cast(field.dataType).alias(field.name) for field in SURVEY_FILE]
+        )
 
 
 def survey_comments(surveys: DataFrame) -> DataFrame:

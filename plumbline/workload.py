@@ -600,7 +600,7 @@ def parse_llm_kpi(spark, sf_dir):
         joined(F.col("parsed.source_systems_in_join")).alias("source_systems_in_join"),
         F.col("parsed.data_steward").alias("data_steward"),
         F.col("parsed.human_signoff_required").alias("human_signoff_required"),
-        F.size("parsed.historical_aggregates").alias("n_points"),
+        F.array_size("parsed.historical_aggregates").alias("n_points"),
     )
 
 
@@ -623,6 +623,11 @@ def parse_survey_analysis(spark, sf_dir):
     )
 
 
+@query
+def placeholder_series(spark, sf_dir):
+    return responses.parse_placeholder_series(B.placeholder_responses(spark, sf_dir))
+
+
 @query
 def survey_section_mart(spark, sf_dir):
     return marts.survey_section_mart(

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import RETENTION, RETENTION_POINTS
@@ -205,6 +206,15 @@ def test_survey_comment_modes(spark, tmp_path):
     assert sample == {i: V.SAMPLE_COMMENTS for i in (2, 4, 5, None)}
 
 
+def test_missing_survey_file(spark, tmp_path):
+    gone = f"{tmp_path}/gone.json"
+    with pytest.raises(AnalysisException):
+        comment_source.read_survey_files(spark, gone)
+    surveys = comment_source.read_survey_files(spark, gone, missing_as_sample=True)
+    rows = comment_source.survey_comments(surveys).collect()
+    assert [r.comment for r in rows] == V.SAMPLE_COMMENTS and all(r.is_sample for r in rows)
+
+
 def test_scratch_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")

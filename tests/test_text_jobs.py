@@ -156,6 +156,19 @@ def test_survey_answers_and_fallback(spark):
     assert len(empty) == 1 and empty[0].overall_sentiment == "Mixed"
 
 
+def test_placeholder_series_from_responses(spark):
+    good = '[{"period": "Fall 2020", "value": 71.5}, {"value": "n/a"}]'
+    rows = [(1, f"```\n{good}\n```"), (2, '{"period": "x"}'), (3, good + " done"), (4, None)]
+    df = spark.createDataFrame(rows, "request_id long, raw string")
+    got = {}
+    for r in A.parse_placeholder_series(df).orderBy("kpi_id", "ord").collect():
+        got.setdefault((r.kpi_id, r.is_fallback), []).append((r.period, r.value))
+    assert got == {
+        (1, False): [("Fall 2020", 71.5), ("Unknown", None)],
+        **{(k, True): V.PLACEHOLDER_SERIES for k in (2, 3, 4)},
+    }
+
+
 def test_kpi_prompt_is_self_contained(spark):
     df = spark.createDataFrame([(1, "First-Year Retention Rate, {x}")], "kpi_id long, description string")
     prompt = P.kpi_parse_prompts(df).first().prompt

@@ -109,7 +109,7 @@ def test_plans_are_distributed_and_native(spark, name):
     [
         "step1_register", "step2_definition", "step3_entity", "step5_ai_use", "step6_governance",
         "categorize_comments", "categorize_comments_default", "kpi_parse_prompts",
-        "parse_survey_analysis", "survey_section_mart",
+        "parse_survey_analysis", "survey_section_mart", "placeholder_series",
     ],
 )
 def test_row_wise_queries_do_not_shuffle(spark, name):
