@@ -62,15 +62,21 @@ def first_valid_attempt(
     Attempts beyond the limit are ignored. One aggregation with map-side combining, so that a
     request with very many stored attempts does not gather in one task.
     """
-    usable = F.col("is_valid") & (F.col("attempt") <= max_attempts)
-    valid_at = F.when(usable, F.col("attempt"))
+    counted = F.col("attempt") <= max_attempts
+    usable = F.col("is_valid") & counted
+    # Texts that cannot be chosen are dropped before rows are sorted for the aggregation.
+    candidates = read_responses(responses).select(
+        "request_id",
+        counted.alias("counted"),
+        F.when(usable, F.col("attempt")).alias("valid_at"),
+        F.when(usable, F.col("body")).alias("body"),
+    )
     return (
-        read_responses(responses)
-        .groupBy("request_id")
+        candidates.groupBy("request_id")
         .agg(
-            F.min(valid_at).alias("attempt"),
-            F.min_by("body", valid_at).alias("body"),
-            F.count_if(F.col("attempt") <= max_attempts).alias("attempts_seen"),
+            F.min("valid_at").alias("attempt"),
+            F.min_by("body", "valid_at").alias("body"),
+            F.count_if("counted").alias("attempts_seen"),
         )
         .withColumn("status", F.when(F.col("attempt").isNull(), "failed").otherwise("parsed"))
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
 from plumbline.functions.numbers import sql_one_decimal
-from plumbline.functions.text import joined
+from plumbline.functions.text import joined, sql_literal
 
 
 def dashboard_mart(reports: DataFrame, series_facts: DataFrame) -> DataFrame:
@@ -14,57 +14,50 @@ def dashboard_mart(reports: DataFrame, series_facts: DataFrame) -> DataFrame:
     ``series_facts`` has one row per KPI: n_points, latest_value, min_value, max_value,
     anomaly_count and is_synthetic. The points to draw are ``operators.series.chart_points``.
     """
-    identity = F.col("kpi_identity")
-    design = F.col("steps.step_9_design_quality.details")
-    standards = F.col("steps.step_10_best_practices")
-    readiness = F.col("steps.step_7_readiness.status")
-    blockers = F.col("steps.step_7_readiness.details.blockers")
-    has_chart = F.coalesce("n_points", F.lit(0)) >= V.MIN_CHART_POINTS
-    standing = F.coalesce(standards["status"], F.lit(V.NOT_AVAILABLE))
+    smart = "steps.step_9_design_quality.details.smart_framework"
+    visual = "steps.step_9_design_quality.details.tufte_principles"
+    overall = "steps.step_10_best_practices.details.overall"
+    readiness = "steps.step_7_readiness.status"
+    blockers = "steps.step_7_readiness.details.blockers"
+    standing = f"coalesce(steps.step_10_best_practices.status, {sql_literal(V.NOT_AVAILABLE)})"
+    has_chart = f"coalesce(n_points, 0) >= {V.MIN_CHART_POINTS}"
+    required, not_set = [sql_literal(label) for label in V.SIGNOFF_LABELS]
 
-    def shown(column, default):
-        return F.coalesce(column, F.lit(default))
+    def shown(expression: str, default: str) -> str:
+        return f"coalesce({expression}, {sql_literal(default)})"
 
-    return reports.join(series_facts, "kpi_id", "left").select(
-        "kpi_id",
-        "kpi_name",
-        readiness.alias("readiness"),
-        F.when(readiness == V.READY[0], "green").otherwise("red").alias("readiness_light"),
-        shown(design["smart_framework"]["score"], V.NOT_AVAILABLE).alias("smart_score"),
-        shown(design["tufte_principles"]["score"], V.NOT_AVAILABLE).alias("visual_score"),
-        shown(design["tufte_principles"]["percentage"], V.NOT_AVAILABLE).alias("visual_percent"),
-        shown(standards["details"]["overall"]["total_score"], V.NOT_AVAILABLE).alias(
-            "standards_score"
-        ),
-        shown(standards["details"]["overall"]["percentage"], V.NOT_AVAILABLE).alias(
-            "standards_percent"
-        ),
-        standing.alias("standards_status"),
-        F.when(standing.contains("Strong"), "green")
-        .when(standing.contains("Partial"), "amber")
-        .otherwise("red")
-        .alias("standards_light"),
-        F.when(F.size(blockers) > 0, joined(blockers)).otherwise(V.NO_BLOCKERS).alias("blockers"),
-        F.coalesce("n_points", F.lit(0)).alias("n_points"),
-        F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"),
-        F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic"),
-        has_chart.alias("has_chart"),
-        F.when(has_chart & F.col("latest_value").isNotNull(), F.expr(sql_one_decimal("latest_value")))
-        .otherwise(V.NOT_AVAILABLE)
-        .alias("latest_value"),
-        F.when(
-            has_chart,
-            F.greatest(F.lit(0), F.col("min_value").cast("bigint") - V.AXIS_MARGIN),
-        ).alias("axis_min"),
-        F.when(has_chart, F.col("max_value").cast("bigint") + V.AXIS_MARGIN).alias("axis_max"),
-        shown(identity["primary_source_system"], V.NOT_SPECIFIED).alias("source"),
-        shown(identity["data_owner"], V.NOT_SPECIFIED).alias("data_owner"),
-        shown(identity["data_steward"], V.NOT_SPECIFIED).alias("data_steward"),
-        F.when(shown(identity["human_signoff_required"], True), V.SIGNOFF_LABELS[0])
-        .otherwise(V.SIGNOFF_LABELS[1])
-        .alias("human_signoff"),
-        shown(identity["known_limitations"], V.NOT_SPECIFIED).alias("known_limitations"),
-        shown(identity["bias_or_equity_risks"], V.NOT_SPECIFIED).alias("equity_risks"),
+    columns = {
+        "readiness": readiness,
+        "readiness_light": f"if({readiness} = {sql_literal(V.READY[0])}, 'green', 'red')",
+        "smart_score": shown(f"{smart}.score", V.NOT_AVAILABLE),
+        "visual_score": shown(f"{visual}.score", V.NOT_AVAILABLE),
+        "visual_percent": shown(f"{visual}.percentage", V.NOT_AVAILABLE),
+        "standards_score": shown(f"{overall}.total_score", V.NOT_AVAILABLE),
+        "standards_percent": shown(f"{overall}.percentage", V.NOT_AVAILABLE),
+        "standards_status": standing,
+        "standards_light": f"CASE WHEN contains({standing}, 'Strong') THEN 'green'"
+        f" WHEN contains({standing}, 'Partial') THEN 'amber' ELSE 'red' END",
+        "blockers": f"if(size({blockers}) > 0, array_join({blockers}, '; '),"
+        f" {sql_literal(V.NO_BLOCKERS)})",
+        "n_points": "coalesce(n_points, 0)",
+        "anomaly_count": "coalesce(anomaly_count, 0)",
+        "is_synthetic": "coalesce(is_synthetic, false)",
+        "has_chart": has_chart,
+        "latest_value": f"if({has_chart} AND latest_value IS NOT NULL,"
+        f" {sql_one_decimal('latest_value')}, {sql_literal(V.NOT_AVAILABLE)})",
+        "axis_min": f"if({has_chart},"
+        f" greatest(0, cast(min_value AS bigint) - {V.AXIS_MARGIN}), NULL)",
+        "axis_max": f"if({has_chart}, cast(max_value AS bigint) + {V.AXIS_MARGIN}, NULL)",
+        "source": shown("kpi_identity.primary_source_system", V.NOT_SPECIFIED),
+        "data_owner": shown("kpi_identity.data_owner", V.NOT_SPECIFIED),
+        "data_steward": shown("kpi_identity.data_steward", V.NOT_SPECIFIED),
+        "human_signoff": f"if(coalesce(kpi_identity.human_signoff_required, true),"
+        f" {required}, {not_set})",
+        "known_limitations": shown("kpi_identity.known_limitations", V.NOT_SPECIFIED),
+        "equity_risks": shown("kpi_identity.bias_or_equity_risks", V.NOT_SPECIFIED),
+    }
+    return reports.join(series_facts, "kpi_id", "left").selectExpr(
+        "kpi_id", "kpi_name", *[f"{rule} AS {name}" for name, rule in columns.items()]
     )
 
 
