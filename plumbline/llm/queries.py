@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
-from plumbline.llm.tables import table
+from plumbline.llm import language, quality, toxicity, urls
+from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +34,43 @@ def op2_quality_rules(spark, sf_dir):
 
 
 SQL["op2_quality_rules"] = quality.sql()
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    """Language of every text of ``documents``; a quarter of the documents is never learned from."""
+    held_out = F.coalesce(crc_class("doc_id", 4) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op9_url_filters(spark, sf_dir):
+    """Verdict on every URL of ``pages``."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages.select("page_id", "url"), urls.learn(pages)).select(
+        "page_id", "host", "path", "rule", "verdict", "score"
+    )
+
+
+def toxicity_model(spark, sf_dir):
+    """Learned from ``labels``, a fifth of the documents apart."""
+    learned = F.coalesce(crc_class("doc_id", 5) != 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(learned & F.col("toxic").isNotNull())
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = toxicity.sample(labels.select("doc_id", "toxic"), "toxic", toxicity.PER_CLASS)
+    # At most 2 * PER_CLASS keys are broadcast to the texts.
+    return toxicity.fit(texts.join(F.broadcast(marked), "doc_id"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every text of ``documents``."""
+    held_out = F.coalesce(crc_class("doc_id", 5) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, sf_dir)).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
