@@ -15,6 +15,7 @@ are carried along, columns named like the results are replaced.
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,20 +38,82 @@ def word_grams(word: str, sizes=SIZES) -> list[str]:
     ]
 
 
-def gram_counts(text: str, known: dict, limit: int = 100_000) -> Counter:
-    """Counts of all n-grams of a text; ``known`` remembers the n-grams of words, within a limit."""
-    counts: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        grams = known.get(word)
-        if grams is None:
-            grams = word_grams(word)
-            if len(word) <= 30:
-                if len(known) >= limit:
+class Grams:
+    """Numbers for n-grams, and the n-grams of words seen before, within a limit of memory.
+
+    Numbers are local to a task; ``order`` holds each n-gram's characters as one integer, so that
+    ties are broken alike everywhere.
+    """
+
+    def __init__(self, profiles=None, words: int = 150_000, grams: int = 300_000, size: int = PROFILE):
+        self.profiles, self.size = profiles or {}, size
+        self.words, self.grams = words, grams
+        self.clear()
+
+    def clear(self):
+        self.known, self.number, self.names = {}, {}, []
+        self.order = np.zeros(4096, np.int64)
+        # A gram that a profile lacks is ``size`` out of place wherever it stands.
+        self.ranks = np.full((len(self.profiles), 4096), -1, np.int64)
+
+    def of(self, word: str) -> np.ndarray:
+        found = []
+        for g in word_grams(word):
+            k = self.number.get(g)
+            if k is None:
+                k = self.number[g] = len(self.names)
+                self.names.append(g)
+                if k == len(self.order):
+                    self.order = np.concatenate([self.order, np.zeros_like(self.order)])
+                    self.ranks = np.concatenate([self.ranks, np.full_like(self.ranks, -1)], axis=1)
+                code = 0
+                for c in g.ljust(max(SIZES), chr(0)):
+                    code = code << 21 | ord(c)
+                self.order[k] = code
+                for i, ranks in enumerate(self.profiles.values()):
+                    self.ranks[i, k] = ranks.get(g, -1)
+            found.append(k)
+        return np.array(found, np.int64)
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the n-grams of a whole text, and how often each occurs."""
+        if len(self.names) > self.grams:
+            self.clear()
+        known, arrays, times, sizes = self.known, [], [], []
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            a = known.get(word)
+            if a is None:
+                a = self.of(word)
+                if len(known) >= self.words:
                     known.clear()
-                known[word] = grams
-        for g in grams:
-            counts[g] += n
-    return counts
+                if len(word) <= 30:
+                    known[word] = a
+            arrays.append(a)
+            times.append(n)
+            sizes.append(len(a))
+        if not arrays:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        every = np.bincount(np.concatenate(arrays), np.repeat(times, sizes), len(self.names))
+        present = np.flatnonzero(every)
+        return present, every[present].astype(np.int64)
+
+    def top(self, text: str) -> np.ndarray:
+        """The most frequent n-grams of a text, in order; ties by their characters."""
+        present, n = self.counts(text)
+        if len(n) > self.size:
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            present, n = present[n >= least], n[n >= least]
+        return present[np.lexsort((self.order[present], -n))][: self.size]
+
+    def nearest(self, text: str | None) -> tuple[str, float]:
+        """(language, score): 1 if all ranks agree with the profile's, 0 if none is in it."""
+        top = self.top(text) if text and self.profiles else ()
+        if not len(top):
+            return "und", 0.0
+        ranks = self.ranks[:, top]
+        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top)))).sum(axis=1)
+        best = int(far.argmin())  # profiles are in order of their names
+        return list(self.profiles)[best], 1 - int(far[best]) / (self.size * len(top))
 
 
 def learn(
@@ -77,11 +140,14 @@ def learn(
     sampled = rows.join(F.broadcast(chosen), [key, language], "left_semi")
 
     def counted(batches):
-        known: dict = {}
+        grams = Grams()
         for languages, texts in text_batches(batches, [language, text]):
             sums: dict = {}
             for name, t in zip(languages, texts):
-                sums.setdefault(name, Counter()).update(gram_counts(t, known))
+                numbers, n = grams.counts(t)
+                total = sums.setdefault(name, Counter())
+                for k, x in zip(numbers.tolist(), n.tolist()):
+                    total[grams.names[k]] += x
             out = [(name, g, n) for name, c in sums.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
@@ -102,26 +168,6 @@ def learn(
     return dict(sorted(profiles.items()))
 
 
-def distances(counts: Counter, profiles, size: int = PROFILE) -> dict[str, int]:
-    """The out-of-place distance of a document's profile to each language's."""
-    top = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
-    found = {}
-    for name, ranks in profiles.items():
-        get = ranks.get
-        found[name] = sum(abs(get(g, i + size) - i) for i, g in enumerate(top))
-    return found
-
-
-def nearest(text: str | None, profiles, known: dict, size: int = PROFILE) -> tuple[str, float]:
-    """(language, score); the score is 1 for a document whose ranks all agree, 0 for none."""
-    counts = gram_counts(text, known) if text and profiles else None
-    if not counts:
-        return "und", 0.0
-    far = distances(counts, profiles, size)
-    name = min(far, key=lambda x: (far[x], x))
-    return name, 1 - far[name] / (size * min(size, len(counts)))
-
-
 def identify(docs: DataFrame, profiles, text: str = "text", size: int = PROFILE) -> DataFrame:
     """The documents with ``lang_pred`` and ``score``."""
     kept = docs.drop("lang_pred", "score")
@@ -130,9 +176,9 @@ def identify(docs: DataFrame, profiles, text: str = "text", size: int = PROFILE)
     )
 
     def judged(batches):
-        known: dict = {}
+        grams = Grams(profiles, size=size)
         for b in batches:
-            found = [nearest(t.as_py(), profiles, known, size) for t in b.column(text)]
+            found = [grams.nearest(t.as_py()) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns,

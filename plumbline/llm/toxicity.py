@@ -82,7 +82,7 @@ def fit(
     per_class: int = PER_CLASS,
     features: int = 1_024,
     rank: int = 8,
-    epochs: int = 60,
+    epochs: int = 30,
     seed: int = 7,
 ) -> Model:
     """Fit on a sample of ``labelled`` (key, text, label in 0 and 1).
@@ -90,7 +90,9 @@ def fit(
     ``per_class`` bounds the rows of either class the machine is fitted on. Without rows of both
     classes the model has no features and answers with the base rate.
     """
-    rows = sample(labelled.select(key, text, label).where(F.col(text).isNotNull()), label, per_class, key)
+    given = labelled.where(F.col(text).isNotNull())
+    totals = {r[label]: r["count"] for r in given.groupBy(label).count().collect()}
+    rows = sample(given.select(key, text, label), label, per_class, key)
 
     def presence(batches):
         for texts, labels in _columns(batches, text, label):
@@ -114,9 +116,9 @@ def fit(
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
-    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    base = float(np.log((n1 + 1) / (n0 + 1)))
+    all0, all1 = totals.get(0, 0), totals.get(1, 0)
+    base = float(np.log((all1 + 1) / (all0 + 1)))
+    n0, n1 = min(all0, per_class), min(all1, per_class)
     if not n0 or not n1:
         return Model({}, base, np.zeros(0), np.zeros((0, rank)))
     # How well presence tells the classes apart: the signed root of the likelihood ratio, roughly.
@@ -145,16 +147,17 @@ def fit(
     x = np.zeros((len(matrix), len(index)), np.float32)
     for i, f in enumerate(matrix.features):
         x[i, f] = 1
-    bias, w, v = descend(x, matrix.label.to_numpy(np.float32), rank, epochs, seed)
-    return Model(index, bias, w, v)
+    y = matrix.label.to_numpy(np.float32)
+    bias, w, v = descend(x, y, rank, epochs, seed)
+    # The sample may hold a larger share of a class than the labels do; the bias makes up for it.
+    drawn = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    return Model(index, bias + base - float(drawn), w, v)
 
 
-def descend(x, y, rank, epochs, seed, step=0.05, batch=256, keep=1e-4):
-    """Fit the machine by Adam on the logistic loss, both classes weighing the same."""
+def descend(x, y, rank, epochs, seed, step=0.05, batch=256, keep=1e-3):
+    """Fit the machine by Adam on the logistic loss with decay of weights and vectors."""
     rng = np.random.default_rng(seed)
     n, m = x.shape
-    share = y.mean()
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     params = [np.zeros(1, np.float32), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, rank)).astype(np.float32)]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -166,7 +169,7 @@ def descend(x, y, rank, epochs, seed, step=0.05, batch=256, keep=1e-4):
             xb, (b, w, v) = x[rows], params
             s = xb @ v
             z = b[0] + xb @ w + 0.5 * (s * s - xb @ (v * v)).sum(axis=1)
-            g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
             gx = g @ xb
             grads = [
                 np.array([g.sum()], np.float32),
