@@ -128,14 +128,16 @@ def learn(
     rows = docs.select(key, language, text).where(
         F.col(language).isNotNull() & F.col(text).isNotNull()
     )
-    by_hash = Window.partitionBy(language).orderBy(F.xxhash64(key), key)
-    chosen = (
-        rows.select(key, language)
-        .distinct()
-        .withColumn("__n", F.row_number().over(by_hash))
-        .where(F.col("__n") <= per_language)
-        .select(key, language)
-    )
+    order = [F.xxhash64(key), F.col(key)]
+
+    def first(found, *groups):
+        ranks = F.row_number().over(Window.partitionBy(language, *groups).orderBy(*order))
+        return found.withColumn("__n", ranks).where(F.col("__n") <= per_language)
+
+    # The first of each of many parts of a language, then the first of those: no task sees a
+    # language whole.
+    parts = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(64))
+    chosen = first(first(rows.select(key, language).distinct(), parts)).select(key, language)
     # per_language keys a language: the broadcast is bounded by the number of languages.
     sampled = rows.join(F.broadcast(chosen), [key, language], "left_semi")
 

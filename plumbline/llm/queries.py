@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, quality, toxicity, urls
+from plumbline.llm import language, quality, secrets, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,16 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity_model(spark, sf_dir)).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op5_secret_scans(spark, sf_dir):
+    """Secrets in every text of ``documents``, weak parts where they meet their complements."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("strong", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.listed("strong").cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(secrets.every()).alias("spans"),
+    )
