@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, quality, secrets, toxicity, urls
+from plumbline.llm import language, quality, secrets, simhash, topk, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,24 @@ def op5_secret_scans(spark, sf_dir):
         F.sha2(secrets.listed("strong").cast("binary"), 256).alias("base_sha256"),
         secrets.listed(secrets.every()).alias("spans"),
     )
+
+
+@query
+def op1_topk_search(spark, sf_dir):
+    """The five rows of ``embeddings`` that score highest for every fiftieth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+SQL["op1_topk_search"] = topk.sql()
+
+
+@query
+def op8_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every text of ``documents``."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
