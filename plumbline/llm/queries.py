@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, quality, secrets, simhash, topk, toxicity, urls
+from plumbline.llm import language, packing, quality, secrets, simhash, topk, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,17 @@ def op8_simhash_near_dedup(spark, sf_dir):
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def packed_documents(docs):
+    """Pieces of documents with the digest of their ids, packed."""
+    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    """All ``documents`` packed into sequences of 2048 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
