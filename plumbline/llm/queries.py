@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, packing, quality, secrets, simhash, topk, toxicity, urls
+from plumbline.llm import byte_bpe, language, packing, quality, secrets, simhash, topk, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,16 @@ def op6_best_fit_packing(spark, sf_dir):
     return packed_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    """Token ids of every text of ``documents``, and the bytes they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    return byte_bpe.decode(tokens, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
