@@ -172,10 +172,10 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 10
         room = F.when(F.col("is_gap"), F.col("size") - F.coalesce("other_size", F.lit(0)))
         left = found.agg(
             F.count(rest).alias("n"), F.sum(rest).alias("tokens"), F.min(rest).alias("least"),
-            F.count(F.when(F.col("is_gap") & F.col("other").isNotNull(), 1)).alias("matched"),
-            F.count(room).alias("gaps"),
+            F.count(room).alias("gaps"), F.max(room).alias("widest"),
         ).first()
-        stuck, gaps = not left["matched"], left["gaps"]
+        # With every gap too small for the least piece, the next sweep would match nothing.
+        stuck, gaps = (left["widest"] or 0) < (left["least"] or 0), left["gaps"]
         size = F.when(F.col("is_gap"), room).otherwise(F.col("size"))
         # Gaps too small for anything that is left are closed.
         state = found.where("is_gap OR other IS NULL").select("is_gap", "id", size.alias("size")).where(
