@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, language, packing, quality, secrets, simhash, topk, toxicity, urls
+from plumbline.llm import byte_bpe, language, lines, packing, quality, secrets, simhash, topk, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,10 @@ def op3_byte_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Lines of ``documents`` that repeat an earlier line exactly or nearly, by document."""
+    found = lines.removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
