@@ -63,8 +63,9 @@ def toxicity_model(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(learned & F.col("toxic").isNotNull())
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = toxicity.sample(labels.select("doc_id", "toxic"), "toxic", toxicity.PER_CLASS)
-    # At most 2 * PER_CLASS keys are broadcast to the texts.
-    return toxicity.fit(texts.join(F.broadcast(marked), "doc_id"))
+    # At most 2 * PER_CLASS keys are broadcast to the texts; the base rate is that of all labels.
+    totals = toxicity.class_totals(labels, "toxic")
+    return toxicity.fit(texts.join(F.broadcast(marked), "doc_id"), totals=totals)
 
 
 @query

@@ -74,6 +74,12 @@ def sample(rows: DataFrame, label: str, per_class: int = PER_CLASS, key: str = "
     return rows.join(F.broadcast(picked), [key, label], "left_semi")
 
 
+def class_totals(rows: DataFrame, label: str) -> dict[int, int]:
+    """How many rows either class has."""
+    counts = rows.where(f"{label} IN (0, 1)").groupBy(label).count().collect()
+    return {int(r[label]): r["count"] for r in counts}
+
+
 def fit(
     labelled: DataFrame,
     label: str = "toxic",
@@ -84,15 +90,20 @@ def fit(
     rank: int = 8,
     epochs: int = 30,
     seed: int = 7,
+    totals: dict | None = None,
 ) -> Model:
     """Fit on a sample of ``labelled`` (key, text, label in 0 and 1).
 
     ``per_class`` bounds the rows of either class the machine is fitted on. Without rows of both
-    classes the model has no features and answers with the base rate.
+    classes the model has no features and answers with the base rate. ``totals`` has the rows of
+    each class that the base rate is taken from; it must be given where ``labelled`` is a sample
+    itself, and is otherwise counted over all of ``labelled``.
     """
     given = labelled.where(F.col(text).isNotNull())
-    totals = {r[label]: r["count"] for r in given.groupBy(label).count().collect()}
+    if totals is None:
+        totals = class_totals(given, label)
     rows = sample(given.select(key, text, label), label, per_class, key)
+    held = class_totals(rows, label)
 
     def presence(batches):
         for texts, labels in _columns(batches, text, label):
@@ -118,7 +129,7 @@ def fit(
     )
     all0, all1 = totals.get(0, 0), totals.get(1, 0)
     base = float(np.log((all1 + 1) / (all0 + 1)))
-    n0, n1 = min(all0, per_class), min(all1, per_class)
+    n0, n1 = held.get(0, 0), held.get(1, 0)
     if not n0 or not n1:
         return Model({}, base, np.zeros(0), np.zeros((0, rank)))
     # How well presence tells the classes apart: the signed root of the likelihood ratio, roughly.

@@ -16,6 +16,7 @@ from plumbline.llm import (
     lines,
     packing,
     quality,
+    queries,
     secrets,
     simhash,
     topk,
@@ -192,3 +193,16 @@ def test_toxicity_learns_and_scores_empty_texts(spark):
     assert got[1].predicted == 1 and got[2].predicted == 0
     assert got[3].score == got[4].score and 0 <= got[3].score <= 1
     assert toxicity.fit(df.where("toxic = 0")).index == {}
+
+
+def test_toxicity_keeps_the_base_rate_of_all_labels(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda y: ["calm", "tidy", "moron", "plain"][int(rng.integers(1, 4) if y else rng.choice([0, 1, 1, 2, 3, 3]))]
+    rows = [(i, " ".join(word(i % 20 == 0) for _ in range(3)), int(i % 20 == 0)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(queries.toxicity, "PER_CLASS", 60)
+    scored = toxicity.score(df, queries.toxicity_model(spark, str(tmp_path))).collect()
+    assert 0.02 < np.mean([r.score for r in scored]) < 0.12  # one in twenty is toxic
+    assert np.mean([r.predicted for r in scored if not r.toxic]) < 0.05
