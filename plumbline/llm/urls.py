@@ -15,14 +15,13 @@ named like the results, which are replaced.
 """
 
 import math
-import re
-from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from plumbline.llm.tables import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -77,55 +76,119 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-class Model(NamedTuple):
-    """What scoring needs; its size is bounded by the two vocabulary parameters."""
+#: Log probability of one character of an unknown word.
+UNSEEN = math.log(1e-3)
+#: A natural logarithm in a sum of whole numbers, so that no order of adding changes a score.
+UNIT = 2**40
 
-    words: dict  # word -> log probability, for the segmentation
-    unseen: float  # log probability of one character of an unknown word
-    longest: int
-    weights: dict  # token -> log P(token | block) - log P(token | allow)
+
+class Model(NamedTuple):
+    """What scoring needs. The tables stay in Spark and hold every word and token."""
+
+    words: DataFrame  # (word, n) of all words
+    total: int  # occurrences of all words, the seeds' extra ones included
+    seeds: frozenset
+    extra_words: int
+    hosts: DataFrame  # (host, words) of the pages learned from
+    weights: DataFrame  # (token, weight): log P(token | block) - log P(token | allow), in UNITs
     prior: float
-    absent: float  # weight of a token outside the vocabulary
 
 
-def segment(name: str, model: Model) -> list[str]:
+def segment(name: str, words: dict) -> list[str]:
     """The most likely split of a name into words (Viterbi over unigrams).
 
-    A piece that is no word costs a flat amount a character and one more for itself, so one long
-    unknown piece beats many short ones. Ties go to the longest last word.
+    ``words`` has the log probability of every word that stands in the name. A piece that is no
+    word costs a flat amount a character and one more for itself, so one long unknown piece beats
+    many short ones. Ties go to the longest last word.
     """
-    n = len(name)
+    n, sizes = len(name), sorted({len(w) for w in words}, reverse=True)
     best, cut = [0.0] + [-math.inf] * n, [0] * (n + 1)
     run = [0.0] + [-math.inf] * n  # best score with an unknown piece ending here
     start = [0] * (n + 1)
     for end in range(1, n + 1):
         # An unknown piece goes on from the character before, or starts here.
-        fresh = best[end - 1] + 2 * model.unseen
-        if end > 1 and run[end - 1] + model.unseen >= fresh:
-            run[end], start[end] = run[end - 1] + model.unseen, start[end - 1]
+        fresh = best[end - 1] + 2 * UNSEEN
+        if end > 1 and run[end - 1] + UNSEEN >= fresh:
+            run[end], start[end] = run[end - 1] + UNSEEN, start[end - 1]
         else:
             run[end], start[end] = fresh, end - 1
         best[end], cut[end] = run[end], start[end]
-        for begin in range(max(0, end - model.longest), end):
-            p = model.words.get(name[begin:end])
-            if p is not None and best[begin] + p > best[end]:
-                best[end], cut[end] = best[begin] + p, begin
-    words, end = [], n
+        for size in sizes:
+            p = words.get(name[end - size : end]) if size <= end else None
+            if p is not None and best[end - size] + p > best[end]:
+                best[end], cut[end] = best[end - size] + p, end - size
+    found, end = [], n
     while end:
-        words.append(name[cut[end] : end])
+        found.append(name[cut[end] : end])
         end = cut[end]
-    return words[::-1]
+    return found[::-1]
 
 
-def host_words(host: str, model: Model) -> list[str]:
-    """Words of every label of a host, the top-level label and leading ``www`` apart."""
-    labels = [x for x in re.split(r"[^a-z0-9]+", ".".join(host.split(".")[:-1])) if x]
-    return [w for x in labels if x != "www" for w in segment(x, model)]
+def host_labels(host: str = "host") -> Column:
+    """The labels of a host, the top-level label and ``www`` apart."""
+    named = F.split(F.regexp_extract(host, r"(?s)^(.*)\.", 1), "[^a-z0-9]+")
+    return F.filter(named, lambda x: (x != "") & (x != "www"))
 
 
-def path_words(path: str) -> list[str]:
+def path_words(path: str = "path") -> Column:
     """Words of a path, digits as one token."""
-    return ["0" if w.isdigit() else w for w in re.findall(r"[a-z]+|[0-9]+", path.lower())]
+    found = F.regexp_extract_all(F.lower(path), F.lit("([a-z]+|[0-9]+)"), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.rlike("^[0-9]"), "0").otherwise(x))
+
+
+def segmented(hosts: DataFrame, counts: DataFrame, total: int, seeds, extra_words: int) -> DataFrame:
+    """(host, words) of distinct hosts, split by the whole table of word counts.
+
+    Every distinct label meets the counts of the words that stand in it: its pieces of a length
+    that some word has are joined with the table. A task holds one label's words at a time.
+    """
+    named = stored(
+        hosts.select("host", F.posexplode(host_labels()).alias("pos", "label")), "url-labels"
+    )
+    labels = stored(named.select("label").distinct(), "url-distinct-labels")
+    longest = labels.agg(F.max(F.length("label")).alias("n")).first().n or 0
+    # A short word must be common to be one: it would split any name.
+    lengths = [
+        r.size
+        for r in counts.select(F.length("word").alias("size")).distinct().collect()
+        if 2 < r.size <= longest
+    ]
+    runs = labels.select("label", F.explode(F.array_distinct(F.regexp_extract_all("label", F.lit("([a-z]+)"), F.lit(1)))).alias("run"))
+    sized = runs.select("label", "run", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")).alias("size"))
+    pieces = (
+        sized.where(F.length("run") >= F.col("size"))
+        .select("label", "run", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("at"))
+        .select("label", F.col("run").substr(F.col("at"), F.col("size")).alias("word"))
+    )
+    met = pieces.join(counts, "word").groupBy("label").agg(F.collect_set(F.struct("word", "n")).alias("met"))
+
+    def split(batches):
+        for b in batches:
+            rows = []
+            for label, found in zip(b.column("label").to_pylist(), b.column("met").to_pylist()):
+                known = {x["word"]: x["n"] for x in found or ()}
+                for w in seeds:
+                    if w in label:
+                        known[w] = known.get(w, 0) + extra_words
+                rows.append(segment(label, {w: math.log(n / total) for w, n in known.items() if n}))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("label"), pa.array(rows, pa.list_(pa.string()))], ["label", "words"]
+            )
+
+    cuts = stored(
+        labels.join(met, "label", "left").mapInArrow(split, "label string, words array<string>"),
+        "url-label-words",
+    )
+    by_host = (
+        named.join(cuts, "label")
+        .groupBy("host")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
+        .select("host", F.flatten("w.words").alias("words"))
+    )
+    whole = hosts.select("host").join(by_host, "host", "left")
+    return stored(
+        whole.select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "url-hosts"
+    )
 
 
 def word_counts(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -148,75 +211,47 @@ def learn(
     url: str = "url",
     html: str | None = "html",
     seeds=SEEDS,
-    dictionary: int = 20_000,
-    features: int = 20_000,
     extra_words: int = 1_000,
 ) -> Model:
-    """Learn both models from all pages.
+    """Learn both models from all pages, with the counts of all words and all tokens.
 
-    ``dictionary`` and ``features`` bound what comes to the driver: the commonest words and
-    tokens. Counts behind them cover every page. Seeds are always words of the dictionary.
+    Seeds are always words of the dictionary. To the driver come totals only.
     """
-    counts = {
-        r["word"]: r["n"]
-        for r in word_counts(pages, url, html).orderBy(F.desc("n"), "word").take(dictionary)
-    }
-    total = sum(counts.values()) + extra_words * len(seeds)
-    words = {
-        # A short word must be common to be one: it would split any name.
-        w: math.log(n / total)
-        for w, n in counts.items()
-        if len(w) > 2
-    }
-    for w in seeds:
-        words[w] = math.log((counts.get(w, 0) + extra_words) / total)
-    model = Model(words, math.log(1e-3), max(map(len, words), default=1), {}, 0.0, 0.0)
-
-    # One row per distinct host and path form: a common host is segmented once a batch at most.
-    parts = split_url(pages.select(url), url).groupBy("host", "path").agg(F.count("*").alias("n"))
-
-    def tokens(batches):
-        found = lru_cache(100_000)(lambda host: host_words(host, model))
-        for b in batches:
-            rows = []
-            for host, path, n in zip(*(c.to_pylist() for c in b.columns)):
-                named = found(host)
-                toxic = not seeds.isdisjoint(named)
-                rows += [(t, toxic, n) for t in named + path_words(path)]
-                rows.append((None, toxic, n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64()))],
-                ["token", "block", "n"],
-            )
-
-    seen = (
-        parts.mapInArrow(tokens, "token string, block boolean, n long")
+    counts = stored(word_counts(pages, url, html), "url-word-counts")
+    total = (counts.agg(F.sum("n").alias("n")).first().n or 0) + extra_words * len(seeds)
+    parts = split_url(pages.select(url), url).select("host", "path")
+    hosts = segmented(parts.select("host").distinct(), counts, total, seeds, extra_words)
+    # Stored, so that what follows deals out rows itself and a common host can be split.
+    named = stored(
+        parts.join(hosts, "host").select(
+            F.arrays_overlap("words", F.array(*map(F.lit, sorted(seeds))).cast("array<string>")).alias("block"),
+            F.concat("words", path_words()).alias("tokens"),
+        ),
+        "url-tokens",
+    )
+    classes = {r.block: r["count"] for r in named.groupBy("block").count().collect()}
+    seen = stored(
+        named.select("block", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(
-            F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("block"),
-            F.sum(F.when(F.col("block"), 0).otherwise(F.col("n"))).alias("allow"),
-        )
+            F.sum(F.col("block").cast("long")).alias("block"),
+            F.sum((~F.col("block")).cast("long")).alias("allow"),
+        ),
+        "url-token-counts",
     )
-    # The row without a token counts pages. All of a token's occurrences are in the totals.
-    sums = {
-        r["page"]: (r["b"] or 0, r["a"] or 0)
-        for r in seen.groupBy(F.col("token").isNull().alias("page"))
-        .agg(F.sum("block").alias("b"), F.sum("allow").alias("a"))
-        .collect()
-    }
-    top = (
-        seen.where("token IS NOT NULL")
-        .orderBy(F.desc(F.col("block") + F.col("allow")), "token")
-        .take(features)
+    sums = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b"), F.sum("allow").alias("a")).first()
+    size = sums.n + 1
+    weight = F.log((F.col("block") + 1) / float((sums.b or 0) + size)) - F.log(
+        (F.col("allow") + 1) / float((sums.a or 0) + size)
     )
-    pages_b, pages_a = sums.get(True, (0, 0))
-    tokens_b, tokens_a = sums.get(False, (0, 0))
-    size = len(top) + 1
-    weight = lambda b, a: math.log((b + 1) / (tokens_b + size)) - math.log((a + 1) / (tokens_a + size))
-    return model._replace(
-        weights={r["token"]: weight(r["block"], r["allow"]) for r in top},
-        prior=math.log((pages_b + 1) / (pages_a + 1)),
-        absent=weight(0, 0),
+    return Model(
+        counts,
+        total,
+        frozenset(seeds),
+        extra_words,
+        hosts,
+        seen.select("token", F.round(weight * UNIT).cast("long").alias("weight")),
+        math.log((classes.get(True, 0) + 1) / (classes.get(False, 0) + 1)),
     )
 
 
@@ -225,37 +260,26 @@ def judge(
 ) -> DataFrame:
     """The pages with host, path, rule, ``words`` of the host, ``score`` and ``verdict``.
 
-    ``score`` is the model's probability of block; the verdict is the rule's where one fits.
+    ``score`` is the model's probability of block; the verdict is the rule's where one fits. A
+    token that no page learned from has weighs nothing.
     """
     results = ["host", "path", "rule", "rule_verdict", "words", "score", "verdict"]
     ruled = with_rule(split_url(pages.drop(*results[2:]), url), rules)
-    schema = T.StructType(
-        [*ruled.schema.fields]
-        + [
-            T.StructField("words", T.ArrayType(T.StringType())),
-            T.StructField("score", T.DoubleType()),
-        ]
+    hosts, new = model.hosts, ruled.select("host").distinct().join(model.hosts, "host", "left_anti")
+    if not new.isEmpty():
+        hosts = hosts.unionByName(segmented(new, model.words, model.total, model.seeds, model.extra_words))
+    rows = stored(
+        ruled.join(hosts, "host").withColumn("__row", F.monotonically_increasing_id()), "url-rows"
     )
-
-    def score(batches):
-        found = lru_cache(100_000)(lambda host: host_words(host, model))
-        for b in batches:
-            hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
-            named = [found(h) for h in hosts]
-            scores = []
-            for w, p in zip(named, paths):
-                s = model.prior + sum(
-                    model.weights.get(t, model.absent) for t in w + path_words(p)
-                )
-                scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, s)))))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(named, pa.list_(pa.string())), pa.array(scores, pa.float64())],
-                [*b.schema.names, "words", "score"],
-            )
-
+    tokens = rows.select("__row", F.explode(F.concat("words", path_words())).alias("token"))
+    sums = tokens.join(model.weights, "token").groupBy("__row").agg(F.sum("weight").alias("__sum"))
+    z = F.lit(model.prior) + F.coalesce(F.col("__sum") / float(UNIT), F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
     by_words = F.when(F.col("score") > threshold, "block").otherwise("allow")
+    order = [c for c in ruled.columns if c != "rule_verdict"]
     return (
-        ruled.mapInArrow(score, schema)
+        rows.join(sums, "__row", "left")
+        .withColumn("score", score)
         .withColumn("verdict", F.coalesce("rule_verdict", by_words))
-        .drop("rule_verdict")
+        .select(*order, "words", "score", "verdict")
     )

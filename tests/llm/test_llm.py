@@ -206,3 +206,16 @@ def test_toxicity_keeps_the_base_rate_of_all_labels(spark, tmp_path, monkeypatch
     scored = toxicity.score(df, queries.toxicity_model(spark, str(tmp_path))).collect()
     assert 0.02 < np.mean([r.score for r in scored]) < 0.12  # one in twenty is toxic
     assert np.mean([r.predicted for r in scored if not r.toxic]) < 0.05
+
+
+def test_urls_use_every_word_and_token(spark):
+    filler = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    html = " ".join(f"{filler(i)} {filler(i)}" for i in range(21_000)) + " zyxwvut quetzal"
+    rows = [(0, "http://b.example/a", html), (1, "http://casino.example/zebra", "")]
+    rows += [(2 + i, f"http://a{i}.example/calm", "") for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = urls.learn(df)
+    new = [(1, "http://casino.example/unseen"), (2, "http://casino.example/"), (3, "http://zyxwvutquetzal.example/a")]
+    a, b, c = urls.judge(spark.createDataFrame(new, "page_id long, url string"), model).orderBy("page_id").collect()
+    assert c.words == ["zyxwvut", "quetzal"]  # each seen once, behind 21,000 commoner words
+    assert a.score == b.score and a.words == ["casino"]  # a token never seen weighs nothing
