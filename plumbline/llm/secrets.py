@@ -4,7 +4,8 @@ Three strong patterns (assignments of credentials, access identifiers, long hex
 every whole text and always reported. Weak candidates, each harmless alone, are reported only when
 the parts of a credential meet: an identifier, a secret and an endpoint are linked by an interval
 join within scopes. A part's interval is its span widened by ``reach`` characters; parts of one
-document whose intervals overlap and whose kinds complement each other support one another.
+document whose intervals overlap and whose kinds complement each other support one another. So do
+complements in one block, the lines between two blank ones, at any distance.
 
 One pass over the texts emits the spans, a few short rows a document. The join runs on spans only:
 each part is listed under the cells its interval touches, so a join partition holds one cell of one
@@ -18,6 +19,7 @@ the results are replaced.
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,7 @@ KINDS = ("assign", "access", "hex")
 
 DIGIT = re.compile("[0-9]")
 #: Weak kinds: (kind, role, signs, pattern). A text without one of the signs has no match; they
-#: only save time. The span is that of group 1 where there is one.
+#: only save time. The span is that of the group that matched where there is one.
 WEAK = (
     (
         "account",
@@ -45,7 +47,7 @@ WEAK = (
         ":=",
         re.compile(
             r"(?i:\b(?:user(?:name)?|login|account|client_id|key_id)\b)[\"']?[ ]*[:=][ ]*[\"']?"
-            r"([\w.@+-]{3,64})"
+            r"([\w.@+-]{3,})"
         ),
     ),
     ("email", "identifier", "@", re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+")),
@@ -55,16 +57,20 @@ WEAK = (
         "0123456789",
         re.compile(
             r"(?<![\w+/=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])"
-            r"[A-Za-z0-9+/_=-]{20,128}(?![\w+/=-])"
+            r"[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])"
         ),
     ),
     (
         "short_pass",
         "secret",
         ":=",
-        re.compile(r"(?i:\b(?:pass|pwd|pin|auth)\b)[\"']?[ ]*[:=][ ]*[\"']?([^\s\"']{4,64})"),
+        # A quoted value goes on to its closing quote, at most to the end of the line.
+        re.compile(
+            r"(?i:\b(?:pass|pwd|pin|auth)\b)[\"']?[ ]*[:=][ ]*"
+            r"(?:\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|[\"']?([^\s\"']{4,}))"
+        ),
     ),
-    ("url", "endpoint", ":", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,256}")),
+    ("url", "endpoint", ":", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}")),
     (
         "host_port",
         "endpoint",
@@ -75,6 +81,8 @@ WEAK = (
 #: What a strong span is when it takes part in linking.
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"}
 REACH = 120
+#: What parts the blocks of a text: a blank line.
+BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 
 SPAN = T.ArrayType(
     T.StructType(
@@ -84,6 +92,7 @@ SPAN = T.ArrayType(
             T.StructField("weak", T.BooleanType()),
             T.StructField("start", T.IntegerType()),
             T.StructField("end", T.IntegerType()),
+            T.StructField("block", T.IntegerType()),
         ]
     )
 )
@@ -105,8 +114,7 @@ def weak_spans(text: str) -> list[tuple[str, str, int, int]]:
     digits = DIGIT.search(text) is not None
     for kind, role, signs, pattern in WEAK:
         if digits if signs[0] == "0" else any(x in text for x in signs):
-            group = 1 if pattern.groups else 0
-            found += [(kind, role, m.start(group), m.end(group)) for m in pattern.finditer(text)]
+            found += [(kind, role, *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
     return found
 
 
@@ -117,7 +125,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     arrow = pa.list_(
         pa.struct(
-            [("kind", pa.string()), ("role", pa.string()), ("weak", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]
+            [("kind", pa.string()), ("role", pa.string()), ("weak", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("block", pa.int32())]
         )
     )
 
@@ -127,11 +135,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(text):
                 t = t.as_py() or ""
                 strong = strong_spans(t)
+                blanks = [m.end() for m in BLANK.finditer(t)]
                 taken = {(a, e) for _, a, e in strong}
                 spans.append(
-                    [dict(kind=k, role=ROLES[k], weak=False, start=a, end=e) for k, a, e in strong]
+                    [dict(kind=k, role=ROLES[k], weak=False, start=a, end=e, block=bisect_right(blanks, a)) for k, a, e in strong]
                     + [
-                        dict(kind=k, role=r, weak=True, start=a, end=e)
+                        dict(kind=k, role=r, weak=True, start=a, end=e, block=bisect_right(blanks, a))
                         for k, r, a, e in weak_spans(t)
                         if (a, e) not in taken
                     ]
@@ -146,10 +155,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak parts that a part of another role supports, from (scope, kind, role, weak, start, end).
+    """The weak parts that a part of another role supports, from (scope, kind, role, weak, start, end, block).
 
-    Two parts support each other if their gap is at most ``reach`` and one is a secret and the
-    other an identifier or an endpoint. A part is listed under every cell its widened interval
+    Two parts support each other if one is a secret and the other an identifier or an endpoint, and
+    they stand in one block of the text, however far apart, or their gap is at most ``reach``. A part is listed under every cell its widened interval
     touches; a pair may meet in several cells, so support is a semi-join and no pair is emitted.
     """
     low = F.floor(F.greatest(F.col("start") - reach, F.lit(0)) / reach)
@@ -168,11 +177,17 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
         & (F.col("o.start") <= F.col("w.end") + reach)
         & ((F.col("w.role") == "secret") != (F.col("o.role") == "secret"))
     )
-    return (
-        weak.join(other, meets, "left_semi")
-        .select("scope", "kind", "start", "end")
-        .distinct()
+    columns = ["scope", "kind", "start", "end"]
+    secret = F.col("role") == "secret"
+    blocks = (
+        parts.groupBy("scope", "block")
+        .agg(F.max(secret).alias("with_secret"), F.max(~secret).alias("with_other"))
+        .where("with_secret AND with_other")
     )
+    # Where a block has both sides, each of its parts has a complement.
+    within = parts.where("weak").join(blocks, ["scope", "block"], "left_semi").select(*columns)
+    near = weak.join(other, meets, "left_semi").select(*columns)
+    return near.unionByName(within).distinct()
 
 
 SHAPE = "array<struct<kind:string,start:int,end:int>>"

@@ -219,3 +219,20 @@ def test_urls_use_every_word_and_token(spark):
     a, b, c = urls.judge(spark.createDataFrame(new, "page_id long, url string"), model).orderBy("page_id").collect()
     assert c.words == ["zyxwvut", "quetzal"]  # each seen once, behind 21,000 commoner words
     assert a.score == b.score and a.words == ["casino"]  # a token never seen weighs nothing
+
+
+def test_secrets_take_long_parts_whole_and_blocks_as_scopes(spark):
+    token, word = "aB3" * 70, "x1" * 60
+    url = "https://u:pw@host.example/" + "q" * 300
+    apart = "login: alice\n" + "plain setting of no interest\n" * 8 + "pwd: hunter2x\n"
+    texts = [
+        f"login: alice\n{token}", f"login: alice pwd: {word}!", 'login: alice pwd: "two words here" end',
+        f"pwd: hunter2x {url} end", f"login: {'z' * 100} pwd: hunter2x", apart, apart.replace("\npwd", "\n\npwd"),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    m = "[removed]"
+    assert [cut[i] for i in range(5)] == [
+        f"login: {m}\n{m}", f"login: {m} pwd: {m}", f'login: {m} pwd: "{m}" end', f"pwd: {m} {m} end", f"login: {m} pwd: {m}"
+    ]
+    assert "alice" not in cut[5] and "hunter2x" not in cut[5] and cut[6] == texts[6]
