@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     left = stored(_oriented(edges), "edges")
     total = None
     while not left.isEmpty():
-        parents = _jumped(stored(left.groupBy("a").agg(F.min("b").alias("root")), "parents"))
+        parents = jumped(stored(left.groupBy("a").agg(F.min("b").alias("root")), "parents"))
         up = parents.select(F.col("a").alias("node"), "root")
         if total is None:
             total = up
@@ -55,16 +55,16 @@ def components(edges: DataFrame) -> DataFrame:
     return total
 
 
-def _jumped(parents: DataFrame) -> DataFrame:
+def jumped(parents: DataFrame) -> DataFrame:
     """Pointers (a, root) shortened until every one points at a node without a pointer."""
     while True:
         further = parents.select(F.col("a").alias("root"), F.col("root").alias("next"))
-        jumped = stored(
+        shorter = stored(
             parents.join(further, "root", "left").select(
                 "a", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
             ),
             "parents",
         )
-        parents = jumped.select("a", "root")
-        if jumped.where("moved").isEmpty():
+        parents = shorter.select("a", "root")
+        if shorter.where("moved").isEmpty():
             return parents

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, language, lines, packing, quality, secrets, simhash, topk, toxicity, urls
+from plumbline.llm import byte_bpe, language, lines, packing, prefix_trie, quality, secrets, simhash, spelling, topk, toxicity, urls
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,23 @@ def op4_line_dedup(spark, sf_dir):
     """Lines of ``documents`` that repeat an earlier line exactly or nearly, by document."""
     found = lines.removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Frequent words of ``documents`` with their near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling_variants"] = spelling.sql()
+
+
+@query
+def op11_conversation_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix trie of ``conversations``, rebuilt to begin alike within each hundred."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt = prefix_trie.with_shared_heads(turns)
+    return prefix_trie.nodes(rebuilt, turns.where("pos = 0").select("conv"))
+
+
+SQL["op11_conversation_prefix_trie"] = prefix_trie.sql()

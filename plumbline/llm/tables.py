@@ -31,6 +31,15 @@ def crc_class(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes as a DuckDB expression, a bit at a time."""
+    byte = f"CAST(('0x' || substr(hex(encode({text})), 2 * i - 1, 2)) AS BIGINT)"
+    steps = f"[{byte}, -1, -1, -1, -1, -1, -1, -1, -1]"
+    values = f"flatten(list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {steps}))"
+    step = "CASE WHEN v >= 0 THEN xor(acc, v) ELSE xor(acc >> 1, (acc & 1) * 3988292384) END"
+    return f"xor(list_reduce({values}, lambda acc, v: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 def text_batches(batches, columns, limit_chars: int = 4_000_000):
     """Rows of Arrow batches as lists of Python values, at most about limit_chars of text at a time.
 
