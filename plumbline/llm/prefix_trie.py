@@ -308,17 +308,17 @@ def nodes(
 
     # The root is a node of its own: its digest is zero and no row carries it.
     at_root = (F.col("k1") == 0) & (F.col("k2") == 0)
+    whole = paths.agg(
+        F.min("conv").alias("conv_id"),
+        F.count(F.lit(1)).alias("n_convs"),
+        F.sum("leaf").cast("long").alias("leaves"),
+        F.sum("saves").alias("saved_tokens"),
+    )
     root = (
-        paths.agg(
-            F.min("conv").alias("conv_id"),
-            F.count(F.lit(1)).alias("n_convs"),
-            F.sum("leaf").cast("long").alias("leaves"),
-            F.sum("saves").alias("saved_tokens"),
-        )
+        whole.unionByName(children.where(at_root).select("n_children"), allowMissingColumns=True)
+        .unionByName(digests.where(at_root).select("ends_sha256"), allowMissingColumns=True)
+        .agg(*[F.max(c).alias(c) for c in (*whole.columns, "n_children", "ends_sha256")])
         .where("n_convs > 0")
-        .select("*", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
-        .join(children.where(at_root), KEY, "left")
-        .join(digests.where(at_root), KEY, "left")
         .select(
             "conv_id",
             F.lit(0).cast("long").alias("depth"),

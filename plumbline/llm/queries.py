@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, language, lines, packing, prefix_trie, quality, secrets, simhash, spelling, topk, toxicity, urls
+from plumbline.llm import byte_bpe, language, lines, packing, prefix_trie, quality, secrets, simhash, spelling, topk, toxicity, urls, vector_graph
 from plumbline.llm.tables import crc_class, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,12 @@ def op11_conversation_prefix_trie(spark, sf_dir):
 
 
 SQL["op11_conversation_prefix_trie"] = prefix_trie.sql()
+
+
+@query
+def op12_embedding_near_dedup(spark, sf_dir):
+    """Links and components of all rows of ``embeddings``."""
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_embedding_near_dedup"] = vector_graph.sql()
