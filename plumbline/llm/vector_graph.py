@@ -7,8 +7,9 @@ and what the medoid cannot reach is tied to its nearest reachable node. A node's
 shards are united.
 
 Every vector is then looked up in the shards it may have neighbours in. A greedy search goes from a
-shard's medoid with a beam of the best nodes seen; from all nodes in range, or nearly, it expands
-until no further one is met, so the number of neighbours has no bound. Cosines are computed anew in
+shard's medoids with a beam of the best nodes seen; from all nodes in range, or nearly, it expands
+until no further one is met, so the number of neighbours has no bound. A vector with very many
+neighbours is compared with the whole shard instead, which is what its expansion would come to. Cosines are computed anew in
 double precision before a pair counts. A sample of vectors is compared with all rows by brute force;
 while the recall falls short, the search is repeated with more shards and a wider beam.
 
@@ -48,8 +49,11 @@ SHARD = 4_096  # vectors of a shard, about
 SAMPLE = 20_000  # vectors that centres are fitted on
 MOST_CENTRES = 4_096
 OVERLAP = 2  # shards that a vector is indexed in
-PROBES = 4  # nearest cells that a vector is looked up in
-BEAM = 128
+PROBES = 3  # nearest cells that a vector is looked up in
+BEAM = 48
+MEDOIDS = 64  # of a shard, where searches begin
+ENTRIES = 8  # medoids nearest to the question
+CROWD = 48  # nodes in range from which a question is compared with its whole shard
 DEGREE = 28
 ALPHA = 1.2
 NEAR, RANDOM = 48, 16  # candidates of a node
@@ -161,47 +165,58 @@ def _rows(n: int, a: np.ndarray, b: np.ndarray, x: np.ndarray, width: int) -> np
     return rows
 
 
-def medoid(x: np.ndarray) -> int:
-    return int((x @ x.mean(axis=0)).argmax())
-
-
-def _reachable(x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """The lists, with an edge to every node that the medoid did not reach from the nearest it did."""
-    reached = np.zeros(len(x), bool)
-    front = np.array([medoid(x)])
-    while len(front):
-        reached[front] = True
-        after = np.unique(lists[front])
-        front = after[(after >= 0) & ~reached[after]]
-    lost = np.flatnonzero(~reached)
-    if not len(lost):
-        return lists
-    safe = np.flatnonzero(reached)
-    nearest = np.concatenate([safe[(x[lost[i : i + 512]] @ x[safe].T).argmax(axis=1)] for i in range(0, len(lost), 512)])
-    order = np.argsort(nearest, kind="stable")
-    nearest, lost = nearest[order], lost[order]
-    place = np.arange(len(nearest)) - np.searchsorted(nearest, nearest)
-    more = np.full((len(x), int(place.max()) + 1), -1, np.int64)
-    more[nearest, place] = lost
-    return np.concatenate([lists, more], axis=1)
-
-
-def search(x, lists, questions, threshold: float, beam: int = BEAM, slack: float = SLACK, step: int = 4):
+def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
+    """Nodes nearest to the centres of the shard's clusters, that of the whole first."""
+    k = min(k, len(x))
+    middles = np.concatenate([x.mean(axis=0)[None, :], centres(x, k, rounds=2)[0].astype(x.dtype)])
+    return np.array(list(dict.fromkeys((x @ middles.T).argmax(axis=0).tolist())))
+
+
+def _reachable(x: np.ndarray, lists: np.ndarray, most: int = 4) -> np.ndarray:
+    """The lists, with edges to what the shard's medoid did not reach from the nearest nodes it did.
+
+    A node gets ``most`` such edges at a time, so lists stay short; what is reached takes the rest.
+    """
+    reached, front = np.zeros(len(x), bool), medoids(x, 1)[:1]
+    while True:
+        while len(front):
+            reached[front] = True
+            after = np.unique(lists[front])
+            front = after[(after >= 0) & ~reached[after]]
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return lists
+        safe = np.flatnonzero(reached)
+        near = [(x[lost[i : i + 512]] @ x[safe].T) for i in range(0, len(lost), 512)]
+        nearest = np.concatenate([safe[n.argmax(axis=1)] for n in near])
+        order = np.lexsort((-np.concatenate([n.max(axis=1) for n in near]), nearest))
+        nearest, lost = nearest[order], lost[order]
+        place = np.arange(len(nearest)) - np.searchsorted(nearest, nearest)
+        taken = place < most
+        more = np.full((len(x), most), -1, np.int64)
+        more[nearest[taken], place[taken]] = lost[taken]
+        lists, front = np.concatenate([lists, more], axis=1), lost[taken]
+
+
+def search(x, lists, questions, threshold: float, beam: int = BEAM, slack: float = SLACK, step: int = 4, starts=None):
     """For each question the nodes at a cosine of ``threshold`` or more, as a table of flags."""
     n, q = len(x), len(questions)
     slim, asked = x.astype(np.float32), questions.astype(np.float32)
+    starts = medoids(slim) if starts is None else starts
     seen = np.zeros((q, n), bool)
     near = np.full((q, n), -np.inf, np.float32)
-    turn = np.zeros((q, n), np.int32)
-    start = medoid(slim)
-    rows = np.arange(q)[:, None]
+    turn = np.zeros((q, n), np.int16)
     width = min(beam, n)
-    ids = np.full((q, width), start)
+    # The beam begins with the medoids nearest to the question.
+    first = asked @ slim[starts].T
+    seen[:, starts], near[:, starts] = True, first
+    order = np.argsort(-first, axis=1)[:, : min(ENTRIES, width)]
+    ids = np.zeros((q, width), np.int64)
     score = np.full((q, width), -np.inf, np.float32)
-    score[:, 0] = asked @ slim[start]
-    seen[:, start], near[:, start] = True, score[:, 0]
     fresh = np.zeros((q, width), bool)
-    fresh[:, 0] = True
+    ids[:, : order.shape[1]] = starts[order]
+    score[:, : order.shape[1]] = np.take_along_axis(first, order, 1)
+    fresh[:, : order.shape[1]] = True
     active = np.arange(q)
     while len(active):
         # The best nodes of each beam that were not expanded yet.
@@ -211,7 +226,7 @@ def search(x, lists, questions, threshold: float, beam: int = BEAM, slack: float
         nodes = np.take_along_axis(ids[active], take, 1)
         fresh[active[:, None], take] = False
         after = np.where(chosen[:, :, None], lists[nodes], -1).reshape(len(active), -1)
-        columns = np.arange(after.shape[1], dtype=np.int32)[None, :]
+        columns = np.arange(after.shape[1], dtype=np.int16)[None, :]
         r = np.broadcast_to(active[:, None], after.shape)
         new = (after >= 0) & ~seen[r, after]
         turn[r[new], after[new]] = np.broadcast_to(columns, after.shape)[new]
@@ -227,25 +242,22 @@ def search(x, lists, questions, threshold: float, beam: int = BEAM, slack: float
         ids[active] = np.take_along_axis(np.concatenate([ids[active], after], axis=1), keep, 1)
         fresh[active] = np.take_along_axis(np.concatenate([fresh[active], new], axis=1), keep, 1)
         active = active[fresh[active].any(axis=1)]
-    # Range expansion: all that is in range or nearly, until nothing more is met.
+    # Range expansion: all that is in range or nearly, until nothing more is met. Where that is very
+    # many nodes, expanding them one by one comes to the whole shard, which one product compares.
     least = np.float32(threshold - slack)
-    open_ = near >= least
-    while open_.any():
-        rr, nodes = np.nonzero(open_)
-        open_ = np.zeros((q, n), bool)
-        for lo in range(0, len(rr), 1 << 15):
-            r, after = rr[lo : lo + (1 << 15), None], lists[nodes[lo : lo + (1 << 15)]]
-            r = np.broadcast_to(r, after.shape)
-            new = (after >= 0) & ~seen[r, after]
-            key = np.unique(r[new] * n + after[new])
-            a, b = key // n, key % n
-            seen[a, b] = True
-            near[a, b] = np.concatenate(
-                [np.einsum("ij,ij->i", asked[a[i : i + 65536]], slim[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
-                or [np.zeros(0, np.float32)]
-            )
-            open_[a, b] = near[a, b] >= least
     found = np.zeros((q, n), bool)
+    crowded = (near >= least).sum(axis=1) >= CROWD
+    for i in np.flatnonzero(~crowded):
+        row, asks = near[i], asked[i]
+        open_ = np.flatnonzero(row >= least)
+        while len(open_) and not crowded[i]:
+            after = np.unique(lists[open_])
+            after = after[(after >= 0) & ~seen[i, after]]
+            seen[i, after] = True
+            row[after] = slim[after] @ asks
+            open_ = after[row[after] >= least]
+            crowded[i] = (row >= least).sum() >= CROWD
+    near[crowded] = asked[crowded] @ slim.T
     rr, nodes = np.nonzero(near >= np.float32(threshold - 1e-4))
     for lo in range(0, len(rr), 65536):
         r, b = rr[lo : lo + 65536], nodes[lo : lo + 65536]
@@ -284,9 +296,9 @@ def links_of_shard(held: pa.Table, asks: pa.Table, dim: int, threshold: float, b
     q_ids, q_weight, q_home = (asks[c].to_numpy() for c in ("q_id", "q_weight", "q_home"))
     q = matrix(asks["q_vec"], dim)
     count, q_count = np.zeros(len(ids), np.int64), np.zeros(len(q_ids), np.int64)
-    labels = np.arange(len(ids) + len(q_ids))
+    labels, starts = np.arange(len(ids) + len(q_ids)), medoids(x)
     for lo in range(0, len(q_ids), batch):
-        r, b = np.nonzero(search(x, lists, q[lo : lo + batch], threshold, beam) & own)
+        r, b = np.nonzero(search(x, lists, q[lo : lo + batch], threshold, beam, starts=starts) & own)
         r = r + lo
         key = (q_home[r] >> PART) * len(ids) + b
         place = np.minimum(np.searchsorted(back, key), len(back) - 1)
