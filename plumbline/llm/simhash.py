@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.components import components
-from plumbline.llm.tables import stored
+from plumbline.llm.tables import stored, trimmed
 
 SHINGLE = 4
 BUDGET = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Da
                 [*[b.column(c) for c in names], pa.array(found.view(np.int64))], [*names, "fp"]
             )
 
-    return kept.mapInArrow(hashed, schema)
+    return kept.mapInArrow(trimmed(hashed), schema)
 
 
 class Trie:
@@ -260,17 +260,19 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The document of the smallest key of every component, with all its columns.
+    """One document of every component, with all its columns: that of the smallest key.
 
-    Rows that repeat that key stay once. Rows without a key stay if their component has no key.
+    Rows without a key come last. Rows of one key are told apart by fingerprint and then by place,
+    so one row stays of each component whatever keys repeat or are absent, and no other goes.
     """
-    found = near_duplicates(docs, text, key, size, budget)
-    kept = stored(found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key), "kept-keys")
-    rows = docs.join(kept.where(F.col(key).isNotNull()).distinct(), key, "left_semi")
-    if kept.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        unique = rows
-    else:
-        unique = rows.dropDuplicates([key])
-    if kept.where(F.col(key).isNull()).isEmpty():
-        return unique.select(docs.columns)
-    return unique.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    row = next(name for i in range(len(docs.columns) + 1) if (name := f"row_{i}") not in docs.columns)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    found = near_duplicates(rows.select(row, text), text, row, size, budget)
+    place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "fp", F.col(row).alias("row"))
+    kept = (
+        found.join(rows.select(row, key), row)
+        .groupBy("component_id")
+        .agg(F.min(place).alias("first"))
+        .select(F.col("first.row").alias(row))
+    )
+    return rows.join(kept, row, "left_semi").select(docs.columns)
