@@ -2,8 +2,9 @@
 
 The library normalizes and splits a text and merges each word anew. Here words of texts in plain
 characters (ASCII and Latin letters, which normalization leaves alone but for their case) are cut
-by one expression and merged once, then remembered within a limit. Every other text goes to the
-library whole, so ids are the library's for any text.
+by one expression and merged once, then remembered within a limit. Every other text, and every
+text that holds an added token of the vocabulary, goes to the library whole, so ids are the
+library's for any text.
 """
 
 import json
@@ -31,9 +32,10 @@ def byte_letters() -> dict[str, int]:
 class WordBpe:
     """``encode`` gives a text's ids, four little-endian bytes each."""
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 100_000):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.limit, self.known = words, {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -53,7 +55,7 @@ class WordBpe:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if OTHER.search(text) or self.added.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
         known, out = self.known, []
