@@ -4,7 +4,8 @@
 into words by a unigram Viterbi search and a multinomial naive Bayes model weighs the words of
 host and path. Everything the model needs is learned from the pages:
 
-* word counts for the segmentation come from the words of every page's text and URL;
+* word counts for the segmentation come from the words of every page's text and path. Hosts do not
+  count, nor do host names in texts: a concatenated name is no word, however many pages it has;
 * classes come from seed words (distant supervision): a page is an example of ``block`` if a
   seed is one of its host's words and of ``allow`` otherwise. Naive Bayes then learns which other
   words go with them.
@@ -192,10 +193,10 @@ def segmented(hosts: DataFrame, counts: DataFrame, total: int, seeds, extra_word
 
 
 def word_counts(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
-    """(word, n): how often each word stands in the pages' texts and URLs, all pages counted."""
-    texts = [F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "^[a-z]+://", "")]
+    """(word, n): how often each word stands in the pages' texts and paths, all pages counted."""
+    texts = [F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://[^/?#]*([^?#]*)", 1)]
     if html and html in pages.columns:
-        no_code = r"(?s)<(script|style)\b.*?</\1>|<[^>]*>"
+        no_code = r"(?s)<(script|style)\b.*?</\1>|<[^>]*>|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
         texts.append(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), no_code, " "))
     words = F.split(F.lower(F.concat_ws(" ", *texts)), "[^a-z]+")
     return (
