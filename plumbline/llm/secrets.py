@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import stored
+from plumbline.llm.tables import stored, trimmed
 
 # Fixed values of the contract: the strong kinds in order, their patterns and least lengths.
 ASSIGN = re.compile(
@@ -50,7 +50,7 @@ WEAK = (
             r"([\w.@+-]{3,})"
         ),
     ),
-    ("email", "identifier", "@", re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+")),
+    ("email", "identifier", "@", re.compile(r"(?<![\w.+-])[.+-]*(\w[\w.+-]*@[\w-]+(?:\.[\w-]+)+)")),
     (
         "opaque",
         "secret",
@@ -70,12 +70,12 @@ WEAK = (
             r"(?:\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|[\"']?([^\s\"']{4,}))"
         ),
     ),
-    ("url", "endpoint", ":", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}")),
+    ("url", "endpoint", ":", re.compile(r"(?<![\w+.-])[0-9+.-]*([a-z][a-z0-9+.-]+://[^\s\"'<>]{4,})")),
     (
         "host_port",
         "endpoint",
         ":",
-        re.compile(r"\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:[0-9]{2,5}\b"),
+        re.compile(r"(?<![\w.-])[.-]*([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}:[0-9]{2,5})\b"),
     ),
 )
 #: What a strong span is when it takes part in linking.
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 [*b.schema.names, "scope", "spans"],
             )
 
-    return docs.mapInArrow(scanned, schema)
+    return docs.mapInArrow(trimmed(scanned), schema)
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
@@ -292,4 +292,4 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str =
             columns = [pa.array(texts, pa.string()) if n == text else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(trimmed(cut), schema)
