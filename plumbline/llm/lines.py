@@ -1,22 +1,23 @@
 """Fuzzy line dedup by MinHash, in native DataFrame operations only.
 
-Lines are the parts of a text between line feeds. Every line that is not blank has the set of its
-character shingles, hashed to 64 bits; a line shorter than a shingle is its own only shingle. From
-the sorted hashes a signature takes the ``rows`` smallest in each of eight ranges of the hash space,
-and each range's choice is one band. Two lines with similarity s share a band with probability
-s^rows, so lines of 0.8 share one of eight bands of three rows in 99.7 of 100 cases.
-
-Lines that share a band are candidates, verified by the exact Jaccard similarity of their whole
-shingle sets. Within a band's group a representative meets all others, not every pair: what proves
-similar is joined into a component by distributed union-find, and only groups that still hold
-several components go on, with four times as many representatives a round, until every two lines of
-a group are in one component or have met. So no link among candidates is lost.
-
-Of each component one line stays, its first occurrence by document id, then text and position.
-
-Lines are told apart by a 64-bit hash. Equal lines are one line from the start, whatever their
-number. A null text has no lines. Blank lines stay where they are. Rows that repeat a document's id
-and text are treated alike.
+Lines are the parts of a text between line feeds. Equal lines are one line from the start, so each
+distinct line is signed once. Its shingles are runs of characters, hashed to 64 bits; a line shorter
+than a shingle is its own only shingle. The signature is taken of the shingles that begin a word, or
+of all where there are few of those: the ``rows`` smallest hashes in each of eight ranges of the
+hash space, and each range's choice is one band. Two lines whose signed shingles have similarity s
+share a band with probability 1 - (1 - s^rows)^8, which is 0.997 at 0.8.
+
+Lines that share a band are candidates, verified by the exact Jaccard similarity of the sets of all
+their shingles. Within a band's group a representative meets all others, not every pair: what proves
+similar is joined into a component by distributed union-find, and only groups that still hold several
+components go on, with eight times as many representatives a round, until every two lines of a group
+are in one component or have met. So no link among candidates is lost, and no pair is tested twice.
+
+Of each component one line stays, its first occurrence by document id (null last), then by place in
+the table and position. Every row of the input has a row in the result. A null text has no lines;
+blank lines stay where they are and are not counted. Repeated rows and ids are rows of their own, so
+the lines of a repeated row repeat those of the first. Other columns are carried along by
+``without_repeats`` whatever their names, and play no part.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,10 @@ SHINGLE = 8
 ROWS = 3
 SIMILARITY = 0.8
 RANGE_BITS = 3  # eight bands
+# How far below the wanted similarity that of the signed shingles, a sixth of all, may lie: three times
+# what chance does to sixteen of them.
+MARGIN = 0.3
+LEAST_SIGNED = 16  # shingles that begin words, for a signature of these alone
 
 
 def _let(value: Column, body) -> Column:
@@ -54,6 +59,13 @@ def shingles(line: str | Column, size: int = SHINGLE) -> Column:
     return _let(wide, hashed)
 
 
+def signed_shingles(line: str, size: int = SHINGLE, least: int = LEAST_SIGNED) -> Column:
+    """Hashes of the distinct shingles that begin a word, in order; of all where these are few."""
+    begun = F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{size - 1}}}))"), F.lit(1))
+    some = _let(begun, lambda x: F.sort_array(F.array_distinct(F.transform(x, lambda g: F.xxhash64(g)))))
+    return _let(some, lambda x: F.when(F.size(x) >= least, x).otherwise(shingles(line, size)))
+
+
 def bands(hashes: Column, rows: int = ROWS) -> Column:
     """Keys of the bands that a line has: a hash of the smallest ``rows`` of each range."""
     bucket = lambda x: F.shiftright(x, 64 - RANGE_BITS)
@@ -65,98 +77,156 @@ def bands(hashes: Column, rows: int = ROWS) -> Column:
         )
 
     def keys(chosen):
-        def of_range(r):
-            return F.filter(chosen, lambda x: bucket(x) == r)
+        def key(x, i):
+            # The last of a range takes those before it in the range along.
+            others = [F.get(chosen, i - k) for k in range(rows - 1, 0, -1)]
+            same = [F.when(bucket(o) == bucket(x), o) for o in others]
+            last = F.coalesce(bucket(x) != bucket(F.get(chosen, i + 1)), F.lit(True))
+            return F.when(last, F.xxhash64(bucket(x), *same, x))
 
-        ranges = [F.lit(r) for r in range(-(1 << RANGE_BITS - 1), 1 << RANGE_BITS - 1)]
-        parts = [of_range(r) for r in ranges]
-        return F.array_compact(
-            F.array(*[F.when(F.size(p) > 0, F.xxhash64(r, p)) for r, p in zip(ranges, parts)])
-        )
+        return F.array_compact(F.transform(chosen, key))
 
     return _let(hashes, lambda s: _let(smallest(s), keys))
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tkey, at, lkey, line): every line that is not blank."""
-    rows = docs.select(F.col(key), F.xxhash64(text).alias("tkey"), F.split(text, "\n").alias("__l"))
-    return (
-        rows.select(key, "tkey", F.posexplode("__l").alias("at", "line"))
-        .where(F.col("line").rlike(r"\S"))
-        .withColumn("lkey", F.xxhash64("line"))
+def _lines(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns with ``at`` and ``line``: every line that is not blank, with two hashes of it."""
+    found = rows.select(*columns, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return found.where(F.col("line").rlike(r"\S")).withColumns(
+        {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}
     )
 
 
-def band_members(found: DataFrame) -> DataFrame:
-    """(band, lkey) of every band that two or more different lines share."""
-    distinct = found.groupBy("lkey").agg(F.first("bands").alias("bands"))
-    listed = distinct.select(F.explode("bands").alias("band"), "lkey")
-    ends = listed.groupBy("band").agg(F.min("lkey").alias("low"), F.max("lkey").alias("high"))
+def band_members(distinct: DataFrame) -> DataFrame:
+    """(band, id) of every band that two or more different lines share."""
+    listed = distinct.select(F.explode("bands").alias("band"), "id")
+    ends = listed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     shared = stored(ends.where("low < high").select("band"), "shared-bands")
     return stored(listed.join(shared, "band"), "band-members")
 
 
-def dedup_links(docs: DataFrame, key: str, text: str, similarity: float, size: int, rows: int):
-    """(occurrences without text, (node, root) of similar lines)."""
-    lines = occurrences(docs, key, text)
-    found = stored(
-        lines.withColumn("bands", bands(shingles("line", size), rows)).drop("line"), "lines"
+def _near(pairs: DataFrame, distinct: DataFrame, signed: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (rep, id) of lines that are similar, by the sets of all their shingles.
+
+    Pairs whose signed shingles are far from similar enough are not looked at in full.
+    """
+    both = pairs.join(signed.select(F.col("id").alias("rep"), F.col("signed").alias("x")), "rep").join(
+        signed.select("id", F.col("signed").alias("y")), "id"
     )
-    members = band_members(found)
-    wanted = stored(members.select("lkey").distinct(), "candidates")
-    texts = stored(
-        lines.select("lkey", "line").join(wanted, "lkey", "left_semi").groupBy("lkey").agg(F.first("line").alias("line")),
-        "candidate-lines",
+    shared = F.size(F.array_intersect("x", "y"))
+    likely = both.where(
+        shared >= (similarity - MARGIN) * (F.size("x") + F.size("y") - shared)
+    ).select("rep", "id")
+    left = distinct.select(F.col("id").alias("rep"), F.col("line").alias("a"))
+    right = distinct.select("id", F.col("line").alias("b"))
+    sets = (
+        likely.join(left, "rep")
+        .join(right, "id")
+        .select("rep", "id", shingles("a", size).alias("x"), shingles("b", size).alias("y"))
+        # Sets of such different sizes cannot be similar enough.
+        .where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     )
-    edges = roots = None
-    met = None
-    parts = 1
-    groups = members.withColumn("root", F.col("lkey"))
+    common = F.size(F.array_intersect("x", "y"))
+    return sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("rep", "id")
+
+
+def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(node, root) of the distinct lines (id, line, bands) that are similar to others."""
+    members = band_members(distinct)
+    wanted = members.select("id").distinct()
+    signed = stored(
+        distinct.join(wanted, "id", "left_semi").select("id", signed_shingles("line", size).alias("signed")),
+        "signed-shingles",
+    )
+    groups = members.withColumn("root", F.col("id"))
+    roots = tested = met = None
+    parts = 0
     while True:
-        # A representative for each part of a group; parts are made by hash.
-        part = F.pmod(F.xxhash64("lkey", F.lit(parts)), F.lit(parts))
-        fresh = groups if met is None else groups.join(met, ["band", "lkey"], "left_anti")
+        # A representative for each part of a group; parts are made by hash. Before that, each line
+        # meets one representative only: most groups are settled by it.
+        part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(max(1, parts)))
+        fresh = groups if met is None else groups.join(met, ["band", "id"], "left_anti")
         chosen = stored(
-            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("lkey", "root")).alias("r"))
-            .select("band", F.col("r.lkey").alias("rep"), F.col("r.root").alias("rep_root")),
+            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "root")).alias("r"))
+            .select("band", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root")),
             "representatives",
         )
-        met = chosen.select("band", F.col("rep").alias("lkey")) if met is None else met.unionByName(
-            chosen.select("band", F.col("rep").alias("lkey"))
-        )
-        pairs = stored(
-            groups.join(chosen, "band").where("root <> rep_root").select("rep", "lkey").distinct(), "pairs"
-        )
-        if pairs.isEmpty():
+        if chosen.isEmpty():
             break
-        left = texts.select(F.col("lkey").alias("rep"), F.col("line").alias("a"))
-        right = texts.select("lkey", F.col("line").alias("b"))
-        sets = (
-            pairs.join(left, "rep").join(right, "lkey")
-            # Sets of such different sizes cannot be similar enough; a shingle is a position.
-            .select("rep", "lkey", shingles("a", size).alias("x"), shingles("b", size).alias("y"))
-        )
-        common = F.size(F.array_intersect("x", "y"))
-        near = stored(
-            sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(
-                F.col("rep").alias("a"), F.col("lkey").alias("b")
-            ),
-            "near-lines",
-        )
-        edges = near if edges is None else edges.unionByName(near)
-        roots = stored(components(edges), "line-roots")
-        named = members.join(roots.withColumnRenamed("node", "lkey"), "lkey", "left").select(
-            "band", "lkey", F.coalesce("root", "lkey").alias("root")
-        )
-        named = stored(named, "named-members")
+        asked = groups.join(chosen, "band").where("root <> rep_root").select("rep", "id")
+        if parts == 0:
+            asked = asked.groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id")
+        else:
+            asked = asked.distinct()
+            now = chosen.select("band", F.col("rep").alias("id"))
+            met = now if met is None else met.unionByName(now)
+        if tested is not None:
+            asked = asked.join(tested, ["rep", "id"], "left_anti")
+        pairs = stored(asked, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        near = stored(_near(pairs, distinct, signed, similarity, size), "near-lines")
+        edges = near.select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        if roots is not None:
+            edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        if not near.isEmpty():
+            roots = stored(components(edges), "line-roots")
+        named = members if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        root = F.col("id") if roots is None else F.coalesce("root", "id")
+        named = stored(named.select("band", "id", root.alias("root")), "named-members")
         open_bands = (
             named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         )
-        groups = stored(named.join(stored(open_bands.select("band"), "open-bands"), "band"), "open-members")
-        parts *= 4
+        groups = stored(named.join(open_bands.select("band"), "band"), "open-members")
+        parts = max(1, parts * 8)
     if roots is None:
-        roots = found.select(F.col("lkey").alias("node"), F.col("lkey").alias("root")).where(F.lit(False))
-    return found.drop("bands"), roots
+        return distinct.select(F.col("id").alias("node"), F.col("id").alias("root")).where(F.lit(False))
+    return roots
+
+
+def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int) -> DataFrame:
+    """(row, removed) of numbered documents (row, key, text) that have lines to go.
+
+    ``removed`` lists position, and key, row and position of the line that stays, in order.
+    """
+    distinct = stored(
+        _lines(rows)
+        .groupBy("line", "h1", "h2")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("line", "h1", "h2", "n", F.monotonically_increasing_id().alias("id"))
+        .withColumn("bands", bands(signed_shingles("line", size), signature_rows)),
+        "distinct-lines",
+    )
+    roots = similar_lines(distinct.select("id", "line", "bands"), similarity, size)
+    # Lines that stand once and are like no other need not be looked at again.
+    lone = distinct.select("h1", "h2", "n", "id")
+    heads = roots.select(F.col("root").alias("id")).distinct().withColumn("head", F.lit(True))
+    classes = stored(
+        lone.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .join(heads, "id", "left")
+        .where("n > 1 OR root IS NOT NULL OR head")
+        .select("h1", "h2", F.coalesce("root", "id").alias("class")),
+        "line-classes",
+    )
+    place = F.struct(F.col("key").isNull().alias("no_key"), "key", "row", "at")
+    classed = stored(
+        _lines(rows, "row", "key").drop("line").join(classes, ["h1", "h2"]).select("class", place.alias("place")),
+        "classed-lines",
+    )
+    kept = stored(classed.groupBy("class").agg(F.min("place").alias("kept")), "kept-lines")
+    gone = classed.join(kept, "class").where("place <> kept")
+    item = F.struct(
+        F.col("place.at").alias("at"),
+        F.col("kept.key").alias("kept_key"),
+        F.col("kept.row").alias("kept_row"),
+        F.col("kept.at").alias("kept_at"),
+    )
+    return gone.groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_list(item)).alias("removed"))
+
+
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    columns = [F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")]
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    return stored(docs.select(*columns, others), "numbered-documents")
 
 
 def removed_lines(
@@ -167,49 +237,44 @@ def removed_lines(
     size: int = SHINGLE,
     rows: int = ROWS,
 ) -> DataFrame:
-    """(key, tkey, n_lines, removed): positions of the lines that another occurrence stands for.
+    """(key, n_lines, removed): one row for every row, with the lines that another stands for.
 
-    One row for every distinct id and text with a line that is not blank.
+    ``removed`` is empty where nothing goes. An item has the line's position ``at`` and the key and
+    position of the line that stays.
     """
-    found, roots = dedup_links(docs, key, text, similarity, size, rows)
-    place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "tkey", "at")
-    classed = stored(
-        found.join(roots.withColumnRenamed("node", "lkey"), "lkey", "left").select(
-            key, "tkey", "at", F.coalesce("root", "lkey").alias("class")
-        ),
-        "classed-lines",
-    )
-    kept = stored(classed.groupBy("class").agg(F.min(place).alias("kept")), "kept-lines")
-    again = ~F.col("kept").eqNullSafe(place)
-    return (
-        classed.join(kept, "class")
-        .groupBy(key, "tkey")
-        .agg(
-            F.count_distinct("at").alias("n_lines"),
-            F.array_sort(F.collect_set(F.when(again, F.col("at")))).alias("removed"),
-        )
-    )
+    numbered = _numbered(docs.select(key, text), key, text).drop("all")
+    gone = repeats(numbered, similarity, size, rows)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
+    counted = numbered.select("row", "key", F.coalesce(n_lines, F.lit(0)).alias("n_lines"))
+    joined = counted.join(gone, "row", "left")
+    none = F.array().cast(gone.schema["removed"].dataType)
+    return joined.select(F.col("key").alias(key), "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    size: int = SHINGLE,
+    rows: int = ROWS,
+) -> DataFrame:
     """The documents with repeated lines taken out of their texts.
 
     Documents all of whose lines repeat others are left out; those without any line stay.
     """
-    names = docs.columns
-    gone = stored(removed_lines(docs, key, text, **options).where(F.size("removed") > 0), "removed-lines")
-    gone = gone.select(F.col(key).alias("__k"), F.col("tkey").alias("__t"), "n_lines", "removed")
-    joined = docs.join(
-        gone, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__t")), "left"
-    ).where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines")))
-    left = _let(
-        F.split(text, "\n"),
-        lambda x: F.array_join(
-            F.transform(
-                F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))),
-                lambda i: F.get(x, i),
-            ),
-            "\n",
+    numbered = _numbered(docs, key, text)
+    gone = repeats(numbered.drop("all"), similarity, size, rows).select("row", "removed.at")
+    parts = F.split("text", "\n")
+    stay = _let(
+        parts,
+        lambda x: F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("at")), lambda i: F.get(x, i)
         ),
     )
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(left)).select(names)
+    had = F.size(F.filter(parts, lambda x: x.rlike(r"\S")))
+    joined = numbered.join(gone, "row", "left").where(F.col("at").isNull() | (F.size("at") < had))
+    left = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    return joined.select(
+        *[left.alias(c) if c == text else F.col("all").getField(c).alias(c) for c in docs.columns]
+    )

@@ -62,8 +62,8 @@ def toxicity_model(spark, sf_dir):
     learned = F.coalesce(crc_class("doc_id", 5) != 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(learned & F.col("toxic").isNotNull())
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = toxicity.sample(labels.select("doc_id", "toxic"), "toxic", toxicity.PER_CLASS)
-    # At most 2 * PER_CLASS keys are broadcast to the texts; the base rate is that of all labels.
+    marked = toxicity.sample_keys(labels, "toxic", toxicity.PER_CLASS)
+    # 2 * PER_CLASS distinct keys at most are broadcast to the texts; the base rate is that of all labels.
     totals = toxicity.class_totals(labels, "toxic")
     return toxicity.fit(texts.join(F.broadcast(marked), "doc_id"), totals=totals)
 
@@ -141,9 +141,20 @@ def op3_byte_bpe(spark, sf_dir):
 
 @query
 def op4_line_dedup(spark, sf_dir):
-    """Lines of ``documents`` that repeat an earlier line exactly or nearly, by document."""
+    """Lines of ``documents`` that repeat an earlier line exactly or nearly, by document.
+
+    ``kept`` has for each removed line the document and position of the line that stands for it.
+    """
     found = lines.removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed.at").cast("array<string>"), ",").alias("removed"),
+        F.array_join(
+            F.transform("removed", lambda x: F.concat_ws(":", x["kept_key"], x["kept_at"])), ","
+        ).alias("kept"),
+    )
 
 
 @query
