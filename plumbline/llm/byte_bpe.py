@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import stored, text_batches
+from plumbline.llm.tables import stored, text_batches, trimmed
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 OTHER = re.compile(f"[^\t\n\r -~{LETTERS}]")
@@ -79,6 +79,7 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
+PLACED = 1 << 18  # words put in place at once
 CHUNK = "chunk string, bucket int, key binary, sizes binary, payload binary"
 
 
@@ -123,7 +124,7 @@ def pretokens(docs: DataFrame, key: str, text: str, pattern: str, buckets: int,
                 ["chunk", "bucket", "key", "sizes", "payload"],
             )
 
-    return docs.select(key, text).mapInArrow(cut, CHUNK)
+    return docs.select(key, text).mapInArrow(trimmed(cut), CHUNK)
 
 
 def _chunks(batches, columns, limit):
@@ -139,16 +140,17 @@ def _chunks(batches, columns, limit):
         yield keys, texts
 
 
-def encoded_words(blocks: DataFrame, ranks, pattern: str, buckets: int, remembered: int = 500_000) -> DataFrame:
+def encoded_words(blocks: DataFrame, ranks, pattern: str, buckets: int, remembered: int = 100_000) -> DataFrame:
     """Blocks of words (chunk, bucket, ...) as blocks of ids, every distinct word encoded once.
 
-    A task remembers the words it has encoded, within a limit of memory.
+    A task remembers the words it has encoded, with their ids packed, within a limit of memory: of
+    words and, so that long ones cannot fill it, of bytes (32 a word on the whole).
     """
 
     def encode(batches):
         # The splitting pattern has done its work; single words are merged here.
         merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        known: dict = {}
+        known, held = {}, 0
         for b in batches:
             sizes, payload = [], []
             for s, p in zip(b.column("sizes"), b.column("payload")):
@@ -160,13 +162,14 @@ def encoded_words(blocks: DataFrame, ranks, pattern: str, buckets: int, remember
                     at += n
                     found = known.get(word)
                     if found is None:
-                        if len(known) >= remembered:
-                            known.clear()
-                        found = known[word] = merger._encode_single_piece(word)
-                    ids += found
-                    counts.append(len(found))
+                        held += n
+                        if len(known) >= remembered or held > 32 * remembered:
+                            known, held = {}, n
+                        found = known[word] = np.array(merger._encode_single_piece(word), "<u4").tobytes()
+                    ids.append(found)
+                    counts.append(len(found) // 4)
                 sizes.append(press(np.array(counts)))
-                payload.append(press(np.array(ids)))
+                payload.append(press(np.frombuffer(b"".join(ids), "<u4")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("chunk"), b.column("bucket"), pa.array(sizes, pa.binary()), pa.array(payload, pa.binary())],
                 ["chunk", "bucket", "sizes", "payload"],
@@ -175,7 +178,7 @@ def encoded_words(blocks: DataFrame, ranks, pattern: str, buckets: int, remember
     return (
         blocks.select("chunk", "bucket", "sizes", "payload")
         .repartition(buckets, "bucket")
-        .mapInArrow(encode, "chunk string, bucket int, sizes binary, payload binary")
+        .mapInArrow(trimmed(encode), "chunk string, bucket int, sizes binary, payload binary")
     )
 
 
@@ -186,9 +189,12 @@ def encode(
     text: str = "text",
     pattern: str = PATTERN,
     buckets: int | None = None,
-    chunk_chars: int = 12_000_000,
+    chunk_chars: int = 6_000_000,
 ) -> DataFrame:
-    """(key, ids): every document's token ids. ``buckets`` defaults to the shuffle partitions."""
+    """(key, ids): every document's token ids. ``buckets`` defaults to the shuffle partitions.
+
+    ``chunk_chars`` bounds what a task holds; ids do not depend on it.
+    """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))  # the vocabulary: fixed size
@@ -208,7 +214,13 @@ def encode(
         for row in left.to_pylist():
             codes, sizes = unpress(row["payload"])[0], unpress(row["sizes"])[0].astype(np.int64)
             each = counts[codes]
-            ids = values[_runs(starts[codes], each)].astype(np.int32)
+            ids = np.empty(each.sum(), np.int32)
+            at = 0
+            for lo in range(0, len(codes), PLACED):
+                part = slice(lo, lo + PLACED)
+                run = _runs(starts[codes[part]], each[part])
+                ids[at : at + len(run)] = values[run]
+                at += len(run)
             upto = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
             keys = pa.ipc.open_stream(row["key"]).read_all().column("key").combine_chunks()
             tables.append(
@@ -234,4 +246,4 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", name: str = "by
             found = [b"".join(map(of, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in b.column(ids)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, name])
 
-    return kept.mapInArrow(joined, schema)
+    return kept.mapInArrow(trimmed(joined), schema)

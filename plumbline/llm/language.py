@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import text_batches
+from plumbline.llm.tables import text_batches, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (1, 2, 3)
@@ -157,7 +157,7 @@ def learn(
             )
 
     totals = (
-        sampled.mapInArrow(counted, "language string, gram string, n long")
+        sampled.mapInArrow(trimmed(counted), "language string, gram string, n long")
         .groupBy("language", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -190,4 +190,4 @@ def identify(docs: DataFrame, profiles, text: str = "text", size: int = PROFILE)
                 [*b.schema.names, "lang_pred", "score"],
             )
 
-    return kept.mapInArrow(judged, schema)
+    return kept.mapInArrow(trimmed(judged), schema)

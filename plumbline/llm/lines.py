@@ -2,10 +2,9 @@
 
 Lines are the parts of a text between line feeds. Equal lines are one line from the start, so each
 distinct line is signed once. Its shingles are runs of characters, hashed to 64 bits; a line shorter
-than a shingle is its own only shingle. The signature is taken of the shingles that begin a word, or
-of all where there are few of those: the ``rows`` smallest hashes in each of eight ranges of the
-hash space, and each range's choice is one band. Two lines whose signed shingles have similarity s
-share a band with probability 1 - (1 - s^rows)^8, which is 0.997 at 0.8.
+than a shingle is its own only shingle. The signature takes the ``rows`` smallest hashes in each of eight
+ranges of the hash space, and each range's choice is one band. Two lines with similarity s share a
+band with probability 1 - (1 - s^rows)^8, which is 0.997 at 0.8.
 
 Lines that share a band are candidates, verified by the exact Jaccard similarity of the sets of all
 their shingles. Within a band's group a representative meets all others, not every pair: what proves
@@ -30,10 +29,6 @@ SHINGLE = 8
 ROWS = 3
 SIMILARITY = 0.8
 RANGE_BITS = 3  # eight bands
-# How far below the wanted similarity that of the signed shingles, a sixth of all, may lie: three times
-# what chance does to sixteen of them.
-MARGIN = 0.3
-LEAST_SIGNED = 16  # shingles that begin words, for a signature of these alone
 
 
 def _let(value: Column, body) -> Column:
@@ -59,13 +54,6 @@ def shingles(line: str | Column, size: int = SHINGLE) -> Column:
     return _let(wide, hashed)
 
 
-def signed_shingles(line: str, size: int = SHINGLE, least: int = LEAST_SIGNED) -> Column:
-    """Hashes of the distinct shingles that begin a word, in order; of all where these are few."""
-    begun = F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{size - 1}}}))"), F.lit(1))
-    some = _let(begun, lambda x: F.sort_array(F.array_distinct(F.transform(x, lambda g: F.xxhash64(g)))))
-    return _let(some, lambda x: F.when(F.size(x) >= least, x).otherwise(shingles(line, size)))
-
-
 def bands(hashes: Column, rows: int = ROWS) -> Column:
     """Keys of the bands that a line has: a hash of the smallest ``rows`` of each range."""
     bucket = lambda x: F.shiftright(x, 64 - RANGE_BITS)
@@ -105,22 +93,12 @@ def band_members(distinct: DataFrame) -> DataFrame:
     return stored(listed.join(shared, "band"), "band-members")
 
 
-def _near(pairs: DataFrame, distinct: DataFrame, signed: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (rep, id) of lines that are similar, by the sets of all their shingles.
-
-    Pairs whose signed shingles are far from similar enough are not looked at in full.
-    """
-    both = pairs.join(signed.select(F.col("id").alias("rep"), F.col("signed").alias("x")), "rep").join(
-        signed.select("id", F.col("signed").alias("y")), "id"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    likely = both.where(
-        shared >= (similarity - MARGIN) * (F.size("x") + F.size("y") - shared)
-    ).select("rep", "id")
+def _near(pairs: DataFrame, distinct: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (rep, id) of lines that are similar, by the sets of all their shingles."""
     left = distinct.select(F.col("id").alias("rep"), F.col("line").alias("a"))
     right = distinct.select("id", F.col("line").alias("b"))
     sets = (
-        likely.join(left, "rep")
+        pairs.join(left, "rep")
         .join(right, "id")
         .select("rep", "id", shingles("a", size).alias("x"), shingles("b", size).alias("y"))
         # Sets of such different sizes cannot be similar enough.
@@ -133,11 +111,6 @@ def _near(pairs: DataFrame, distinct: DataFrame, signed: DataFrame, similarity:
 def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
     """(node, root) of the distinct lines (id, line, bands) that are similar to others."""
     members = band_members(distinct)
-    wanted = members.select("id").distinct()
-    signed = stored(
-        distinct.join(wanted, "id", "left_semi").select("id", signed_shingles("line", size).alias("signed")),
-        "signed-shingles",
-    )
     groups = members.withColumn("root", F.col("id"))
     roots = tested = met = None
     parts = 0
@@ -164,7 +137,7 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
             asked = asked.join(tested, ["rep", "id"], "left_anti")
         pairs = stored(asked, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(_near(pairs, distinct, signed, similarity, size), "near-lines")
+        near = stored(_near(pairs, distinct, similarity, size), "near-lines")
         edges = near.select(F.col("rep").alias("a"), F.col("id").alias("b"))
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -193,7 +166,7 @@ def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int)
         .groupBy("line", "h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("line", "h1", "h2", "n", F.monotonically_increasing_id().alias("id"))
-        .withColumn("bands", bands(signed_shingles("line", size), signature_rows)),
+        .withColumn("bands", bands(shingles("line", size), signature_rows)),
         "distinct-lines",
     )
     roots = similar_lines(distinct.select("id", "line", "bands"), similarity, size)
@@ -225,7 +198,8 @@ def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int)
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     columns = [F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")]
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    others = F.struct(*rest, F.lit(0).alias("")).alias("all")  # never without a field
     return stored(docs.select(*columns, others), "numbered-documents")
 
 
@@ -242,7 +216,7 @@ def removed_lines(
     ``removed`` is empty where nothing goes. An item has the line's position ``at`` and the key and
     position of the line that stays.
     """
-    numbered = _numbered(docs.select(key, text), key, text).drop("all")
+    numbered = _numbered(docs.select(key, text), key, text)
     gone = repeats(numbered, similarity, size, rows)
     n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
     counted = numbered.select("row", "key", F.coalesce(n_lines, F.lit(0)).alias("n_lines"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import stored
+from plumbline.llm.tables import stored, trimmed
 from plumbline.llm.word_bpe import WordBpe
 
 CAPACITY = 2_048
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
                 [*names, "piece", "start", "length", "ids"],
             )
 
-    return kept.mapInArrow(cut, schema)
+    return kept.mapInArrow(trimmed(cut), schema)
 
 
 NONE = 1 << 40  # above any sum of brackets

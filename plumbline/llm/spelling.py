@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import jumped
-from plumbline.llm.tables import crc32_sql, stored, text_batches
+from plumbline.llm.tables import crc32_sql, stored, text_batches, trimmed
 
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
@@ -73,7 +73,7 @@ def vocabulary(
                     found = Counter()
         yield _batch(found)
 
-    partial = docs.select(key, text).mapInArrow(counted, "word string, n long")
+    partial = docs.select(key, text).mapInArrow(trimmed(counted), "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= count)
 
 

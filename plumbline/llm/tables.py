@@ -1,5 +1,10 @@
 """Reading the supplied tables, and cutting a plan with a stored table."""
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(work):
+    """A task function over batches that gives its memory back to the system when it ends.
+
+    Python workers are kept for later tasks, and what an allocator keeps for reuse in one of them is
+    lost to the others of an executor.
+    """
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def whole_text(column: str = "text") -> Column:
     """The text of a row; a null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import text_batches
+from plumbline.llm.tables import stored, text_batches, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -59,19 +59,30 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def sample(rows: DataFrame, label: str, per_class: int = PER_CLASS, key: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` rows of either class, those of the smallest key hash.
-
-    Only keys are ranked; the few chosen (two times ``per_class``) meet the texts in a join.
-    """
+def sample_keys(rows: DataFrame, label: str, per_class: int = PER_CLASS, key: str = "doc_id") -> DataFrame:
+    """(key, label): at most ``per_class`` distinct keys of either class, those of the smallest hash."""
     keys = rows.select(key, label).where(f"{label} IN (0, 1)").distinct()
     order = F.xxhash64(key)
     chosen = [
         keys.where(F.col(label) == y).orderBy(order, key).limit(per_class) for y in (0, 1)
     ]
-    picked = chosen[0].union(chosen[1])
-    # Two keys and labels a class at most: the bound of the broadcast is 2 * per_class rows.
-    return rows.join(F.broadcast(picked), [key, label], "left_semi")
+    return chosen[0].union(chosen[1])
+
+
+def sample(
+    rows: DataFrame, label: str, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """At most ``per_class`` rows of either class, those of the smallest key hash.
+
+    Keys are ranked first, and the few chosen (two times ``per_class``, the bound of the broadcast)
+    meet the texts in a join. A key may stand on any number of rows: of what is found, the rows of
+    the smallest hash of key and text stay, as many as were asked for.
+    """
+    picked = sample_keys(rows, label, per_class, key)
+    met = rows.join(F.broadcast(picked), [key, label], "left_semi")
+    order = [F.xxhash64(key), F.col(key), F.xxhash64(text)]
+    drawn = [met.where(F.col(label) == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    return drawn[0].union(drawn[1])
 
 
 def class_totals(rows: DataFrame, label: str) -> dict[int, int]:
@@ -102,7 +113,7 @@ def fit(
     given = labelled.where(F.col(text).isNotNull())
     if totals is None:
         totals = class_totals(given, label)
-    rows = sample(given.select(key, text, label), label, per_class, key)
+    rows = stored(sample(given.select(key, text, label), label, per_class, key, text), "labelled-sample")
     held = class_totals(rows, label)
 
     def presence(batches):
@@ -123,7 +134,7 @@ def fit(
             )
 
     sums = (
-        rows.mapInArrow(presence, "bucket long, n0 long, n1 long")
+        rows.mapInArrow(trimmed(presence), "bucket long, n0 long, n1 long")
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
@@ -207,7 +218,7 @@ def _distinct_buckets(text: str) -> set[int]:
     return found
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, words: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, words: int = 100_000) -> DataFrame:
     """The documents with ``score`` (0 to 1) and ``predicted``.
 
     ``words`` bounds a task's memory of words and their features; it never changes a score.
@@ -243,4 +254,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 [*b.schema.names, "score", "predicted"],
             )
 
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(trimmed(scored), schema)

@@ -1,11 +1,13 @@
 """Each operation on small tables: plain versions, and nulls, empty texts, ties and repeats."""
 
 import base64
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -77,7 +79,8 @@ def test_byte_bpe_equals_the_library_and_round_trips(docs):
 def test_word_bpe_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     ours, library = WordBpe(path, words=3), Tokenizer.from_file(path)
-    for text in ["It's THE end, don't!'s x12", "ŉ ǅ z² ½ 日本", "", "'ll we'VE ''s --'t", "a\x1cb İ"]:
+    marks = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|EndOfText|> y", "<|endoftext"]
+    for text in ["It's THE end, don't!'s x12", "ŉ ǅ z² ½ 日本", "", "'ll we'VE ''s --'t", "a\x1cb İ", *marks]:
         ids = library.encode(text, add_special_tokens=False).ids
         assert ours.encode(text) == np.array(ids, "<u4").tobytes()
 
@@ -97,7 +100,14 @@ def test_packing_places_every_piece_without_gaps(spark):
             assert offset == at
             at += length
         assert at <= 32
-    assert len(bins) <= 1.03 * sum(sizes) / 32 + 1
+    # Best fit by decreasing size, one piece after the other, needs as many.
+    gaps = []
+    for n in sorted(map(int, sizes), reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else 32) - n)
+    assert len(bins) <= len(gaps) + 1
 
 
 def test_packing_takes_empty_tables_and_null_texts(spark, docs):
@@ -138,6 +148,37 @@ def test_simhash_links_textless_documents_and_copies(docs):
     assert len([r for r in kept if r.doc_id == 0]) == 1
 
 
+def plain_fingerprint(text):
+    """Bit by bit, as the contract says."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints_equal_the_plain_ones():
+    rng = np.random.default_rng(6)
+    words = ["Ab", "é", "x\x1cy", "日", "the", "İ"]
+    texts = [*TEXTS, *(" \t".join(rng.choice(words, n)) for n in (1, 3, 4, 5, 40)), "w " * 70_000]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_one_of_each_loses_no_distinct_document_and_keeps_no_copy(spark):
+    a, b = "one two three four five six seven", "quite other words stand in this text here"
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a), (None, "third " + b), (None, "third " + b), (5, "lone text")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row_0 int")
+    kept = simhash.one_of_each(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept if r.doc_id) == [
+        (False, 1, a), (False, 1, b), (False, 5, "lone text")
+    ]
+    assert [r.text for r in kept if r.doc_id is None] == ["third " + b]
+    assert df.columns == simhash.one_of_each(df).columns
+    assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
 def test_lines_keep_the_first_of_equal_and_similar_ones(spark):
     long = "the quick brown fox jumps over the lazy dog again and again until the night falls on all"
     rows = [(1, f"{long}\nown line of one"), (2, f"{long}.\n\nown line of two"), (3, long), (4, None), (5, "")]
@@ -208,6 +249,23 @@ def test_toxicity_keeps_the_base_rate_of_all_labels(spark, tmp_path, monkeypatch
     assert np.mean([r.predicted for r in scored if not r.toxic]) < 0.05
 
 
+def test_toxicity_samples_no_more_rows_than_asked_for(spark):
+    rows = [(i % 5, f"text {i % 97}", i % 5 // 3) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    drawn = toxicity.sample(df, "toxic", 30).collect()
+    assert {y: len([r for r in drawn if r.toxic == y]) for y in (0, 1)} == {0: 30, 1: 30}
+    assert toxicity.sample_keys(df, "toxic", 2).count() == 4
+
+
+def test_urls_split_a_name_that_many_pages_have(spark):
+    rows = [(i, f"http://freecasino.example.com/p{i}", "<p>play at freecasino.example.com</p>") for i in range(50)]
+    rows += [(100 + i, f"http://garden{i}.example/x", "a free garden and a casino " * 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(df, urls.learn(df)).collect()}
+    assert got[0].words == ["free", "casino", "example"] and got[0].verdict == "block"
+    assert got[100].verdict == "allow"
+
+
 def test_urls_use_every_word_and_token(spark):
     filler = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
     html = " ".join(f"{filler(i)} {filler(i)}" for i in range(21_000)) + " zyxwvut quetzal"
@@ -221,6 +279,16 @@ def test_urls_use_every_word_and_token(spark):
     assert a.score == b.score and a.words == ["casino"]  # a token never seen weighs nothing
 
 
+def test_secrets_take_endpoints_and_addresses_of_any_length(spark):
+    label = "q" * 200
+    ends = [f"{label}.example.org:8080", ".".join("abcdefghijkl") + ".example.org:80", f"...{'z' * 30}://host/path"]
+    texts = [f"login: alice {e}\npwd: hunter2x" for e in ends] + [f"{label}@{label}.{label}.org pwd: hunter2x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.linked] for r in secrets.find(df).collect()}
+    assert ends[0] in spans[0] and ends[1] in spans[1] and ends[2].lstrip(".") in spans[2]
+    assert f"{label}@{label}.{label}.org" in spans[3]
+
+
 def test_secrets_take_long_parts_whole_and_blocks_as_scopes(spark):
     token, word = "aB3" * 70, "x1" * 60
     url = "https://u:pw@host.example/" + "q" * 300
