@@ -7,6 +7,7 @@ from plumbline import fixed_values as V
 from plumbline.functions.numbers import to_number
 from plumbline.functions.text import SQL_EMPTY_LIST, sql_list_cell
 from plumbline.schema import PARSED_KPI, REGISTRY
+from plumbline.sources.headed import read_headed_csv
 
 _REQUIRED_CSV_FIELDS = [
     field
@@ -16,19 +17,14 @@ _REQUIRED_CSV_FIELDS = [
 
 
 def read_registry_csv(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
 ) -> DataFrame:
-    """All rows of CSV registries with a header; columns are found by name, in any order.
+    """All rows of CSV registries; columns are found by the header of each file, in any order.
 
-    List columns hold comma-joined cells and may be absent. Set ``multi_line=False`` for very
-    large files without line breaks inside cells, so that Spark can split them.
+    List columns hold comma-joined cells and may be absent. Cells with line breaks need
+    ``multi_line=True``, which reads a file in one task; otherwise Spark splits large files.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
+    rows = read_headed_csv(spark, path, multiLine=multi_line, escape='"')
     missing = [field for field in _REQUIRED_CSV_FIELDS if field not in rows.columns]
     if missing:
         raise ValueError(f"registry CSV lacks columns: {', '.join(missing)}")

@@ -7,6 +7,7 @@ from plumbline import fixed_values as V
 from plumbline.functions.numbers import to_number, to_whole
 from plumbline.functions.ordering import with_position
 from plumbline.functions.text import strip
+from plumbline.sources.headed import read_headed_csv
 
 # Rows keep their order within a file under this key: Spark hands out the splits of a file in
 # order and numbers rows upwards inside each.
@@ -32,8 +33,9 @@ def read_panel_csv(
     """A panel (unit by year) as one series per unit, ordered by period label.
 
     Rows whose unit, year or value cannot be read are skipped. ``units`` keeps some units only.
+    Columns are found by the header of each file.
     """
-    rows = _in_file_order(spark.read.option("header", True).csv(path))
+    rows = _in_file_order(read_headed_csv(spark, path))
     before, _, after = period_format.partition("{year}")
     year = to_whole(F.col(year_column))
     label = (
@@ -63,13 +65,13 @@ def read_series_csv(
     period_column: str = "period",
     value_column: str = "value",
 ) -> DataFrame:
-    """Named period and value columns; rows without a number are skipped.
+    """Named period and value columns, by the header of each file; rows without a number are skipped.
 
     Spark rows have no order of their own, so give ``order_column`` where there is one.
     Otherwise the order is that of the file. Neither needs a shuffle: ``ord`` only has to
     increase along a series.
     """
-    rows = spark.read.option("header", True).csv(path)
+    rows = read_headed_csv(spark, path)
     order = (
         to_whole(F.col(order_column)) if order_column else F.monotonically_increasing_id()
     )

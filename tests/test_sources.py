@@ -15,6 +15,7 @@ from plumbline.sources import comments as comment_source
 from plumbline.sources import registry as registry_source
 from plumbline.sources import reports as report_source
 from plumbline.sources import series as series_source
+from plumbline.sources.headed import header_lines, read_headed_csv
 from plumbline.sources.scratch import scratch_path
 
 HEADER = (
@@ -32,7 +33,8 @@ def test_registry_csv_reads_all_rows_and_quoting(spark, tmp_path):
         + "B,,,,,,,,,,,,,yes\n",
         encoding="utf-8",
     )
-    a, b = registry_source.read_registry_csv(spark, str(file)).orderBy("name").collect()
+    rows = registry_source.read_registry_csv(spark, str(file), multi_line=True)
+    a, b = rows.orderBy("name").collect()
     assert a.definition == 'Says "so", twice'
     assert a.known_limitations == "two\nlines"
     assert a.secondary_source_systems == ["x", "y"] and a.identifier_fields == []
@@ -52,6 +54,49 @@ def test_registry_csv_finds_columns_by_name(spark, tmp_path):
         registry_source.read_registry_csv(spark, str(file))
 
 
+def test_registries_in_different_column_orders(spark, tmp_path):
+    names = HEADER.strip().split(",")
+    short = [n for n in names if n not in V.LIST_FIELDS][::-1]
+    (tmp_path / "a.csv").write_text("kpi_id," + HEADER + ",".join(["1"] + names) + "\n")
+    (tmp_path / "b.csv").write_text(",".join(short + ["kpi_id"]) + "\n" + ",".join(short + ["2"]) + "\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("kpi_id," + HEADER)
+    rows = registry_source.read_registry_csv(spark, str(tmp_path)).orderBy("kpi_id").collect()
+    assert [(r.kpi_id, r.formula, r.data_steward) for r in rows] == [
+        (1, "formula", "data_steward"), (2, "formula", "data_steward")
+    ]
+    assert [r.identifier_fields for r in rows] == [["identifier_fields"], []]
+
+
+def test_headers_are_grouped_and_partition_columns_kept(spark, tmp_path):
+    for i, header in enumerate(["a,b", "b,a", "a,b", "c,a"]):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / "x.csv").write_text(header + "\n" + header.replace(",", f"{i},") + f"{i}\n")
+    found = header_lines(spark, str(tmp_path))
+    assert {h: len(files) for h, files in found.items()} == {"a,b": 2, "b,a": 1, "c,a": 1}
+    rows = read_headed_csv(spark, str(tmp_path)).orderBy("part").collect()
+    assert [(r.part, r.a, r.b, r.c) for r in rows] == [
+        (0, "a0", "b0", None), (1, "a1", "b1", None), (2, "a2", "b2", None), (3, "a3", None, "c3"),
+    ]
+    one = read_headed_csv(spark, [str(tmp_path / "part=1"), str(tmp_path / "part=0")])
+    assert sorted((r.a, r.b) for r in one.collect()) == [("a0", "b0"), ("a1", "b1")]
+
+
+def test_series_files_in_different_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("UNITID,YEAR,RET_PCF\n1,2020,88\n")
+    (tmp_path / "b.csv").write_text("YEAR,RET_PCF,UNITID\n2021,89,1\n2020,70,2\n")
+    rows = series_source.read_panel_csv(spark, str(tmp_path)).orderBy("kpi_id", "ord").collect()
+    assert [(r.kpi_id, r.ord, r.period, r.value) for r in rows] == [
+        (1, 0, "Fall 2020", 88.0), (1, 1, "Fall 2021", 89.0), (2, 0, "Fall 2020", 70.0)
+    ]
+    folder = tmp_path / "series"
+    folder.mkdir()
+    (folder / "a.csv").write_text("period,value\nP,1\n")
+    (folder / "b.csv").write_text("value,note,period\n2,x,Q\n")
+    rows = series_source.read_series_csv(spark, str(folder)).collect()
+    assert sorted((r.period, r.value) for r in rows) == [("P", 1.0), ("Q", 2.0)]
+
+
 def test_panel_csv(spark, tmp_path):
     file = tmp_path / "panel.csv"
     file.write_text(
