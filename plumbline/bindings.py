@@ -125,6 +125,16 @@ def supplier_quarter_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reported_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly series; every fourth supplier's report came without one."""
+    return supplier_year_series(spark, sf_dir).where("kpi_id % 4 <> 0")
+
+
+def parsed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarterly series of all but every eighth supplier, who has none to fall back on."""
+    return supplier_quarter_series(spark, sf_dir).where("kpi_id % 8 <> 0")
+
+
 def part_quarter_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quarterly(spark, sf_dir, "l_partkey")
     return series_from_numbers(
@@ -186,7 +196,16 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
         k.cast("bigint").alias("kpi_id"),
-        F.when(k % 4 == 0, "N").when(k % 4 == 1, " y").otherwise("Y").alias("decision"),
+        F.when(k % 4 == 0, "N").when(k % 4 == 1, " y").when(k % 4 == 2, "\tY").otherwise("Y").alias("decision"),
+    )
+
+
+def data_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the series of a supplier's request comes from; some requests do not say."""
+    k = F.col("s_suppkey")
+    option = F.when(k % 5 == 1, "file").when(k % 5 == 2, "none").when(k % 5 == 3, "description")
+    return table(spark, sf_dir, "supplier").select(
+        k.cast("bigint").alias("kpi_id"), option.alias("data_option")
     )
 
 
@@ -204,22 +223,43 @@ def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*PARSED_KPI.names)
 
 
+def _malformed(answer: Column, kind: Column) -> Column:
+    """Texts that a lenient reader would take for the answer, one kind for each remainder of 6."""
+    return (
+        F.when(kind % 6 == 0, '{"name": "Unfinished", "definition": no quotes}')
+        .when(kind % 6 == 1, "{'name': 'Quoted', 'definition': 'the wrong way'}")
+        .when(kind % 6 == 2, F.concat(answer, F.lit(" Hope this helps!")))
+        .when(kind % 6 == 3, F.concat(answer, F.lit(","), answer))
+        .when(kind % 6 == 4, F.concat(answer, F.lit(",2] and more")))
+        .otherwise('{"name": "Broken\nline"}')
+    )
+
+
 def kpi_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three attempts per supplier; some malformed, odd suppliers answering in code fences."""
-    k = F.col("kpi_id")
-    attempts = parsed_records(spark, sf_dir).select(
-        k.alias("request_id"),
-        F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"),
+    """Three attempts per supplier; odd suppliers answer in code fences.
+
+    Each attempt fails on its own: the first for every third supplier, the second for every other,
+    the third for every fifth. Attempts after the first say so in their limitations.
+    """
+    attempts = parsed_records(spark, sf_dir).withColumn(
+        "attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    )
+    later = F.concat(F.lit("Attempt "), F.col("attempt"))
+    attempts = attempts.withColumn(
+        "known_limitations", F.when(F.col("attempt") > 1, later).otherwise(F.col("known_limitations"))
+    ).select(
+        F.col("kpi_id").alias("request_id"),
+        "attempt",
         F.to_json(F.struct(*PARSED_KPI.names)).alias("answer"),
     )
     broken = F.col("request_id") % (
-        F.when(F.col("attempt") == 1, 3).when(F.col("attempt") == 2, 6).otherwise(12)
+        F.when(F.col("attempt") == 1, 3).when(F.col("attempt") == 2, 2).otherwise(5)
     ) == 0
     fenced = F.concat(F.lit("```json\n"), F.col("answer"), F.lit("\n```"))
     return attempts.select(
         "request_id",
         "attempt",
-        F.when(broken, '{"name": "Unfinished", "definition": no quotes}')
+        F.when(broken, _malformed(F.col("answer"), F.col("request_id") + F.col("attempt")))
         .when(F.col("request_id") % 2 == 1, fenced)
         .otherwise(F.col("answer"))
         .alias("raw"),
@@ -264,7 +304,7 @@ def survey_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("request_id"),
         (F.col("c_nationkey") + 1).alias("n_comments"),
         (k % 10 == 0).alias("is_sample"),
-        F.when(k % 6 == 0, F.concat(answer, F.lit(" Hope this helps!")))
+        F.when(k % 6 == 0, _malformed(answer, F.expr("c_custkey div 6")))
         .when(k % 6 == 1, F.concat(F.lit("```\n"), answer, F.lit("\n```")))
         .when(k % 6 == 2, "[1, 2]")
         .otherwise(answer)
@@ -286,7 +326,9 @@ def placeholder_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.to_json(points)
     return table(spark, sf_dir, "customer").select(
         k.alias("request_id"),
-        F.when(k % 4 == 0, F.concat(F.lit("Here it is: "), answer))
+        F.when(k % 8 == 0, F.concat(F.lit("Here it is: "), answer))
+        .when(k % 16 == 4, F.concat(answer, F.lit("\n"), answer))
+        .when(k % 16 == 12, F.concat(answer, F.lit(",0}")))
         .when(k % 4 == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
         .otherwise(answer)
         .alias("raw"),

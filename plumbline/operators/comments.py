@@ -1,24 +1,29 @@
 """Keyword classification of free-text comments."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
+from plumbline.sources.scratch import stored
+
+GRAM = 3  # letters of an entry of the keyword index
 
 
 def category_of(lowered: Column, categories: dict[str, list[str]]) -> Column:
     """The first category, in dictionary order, one of whose keywords occurs in the text.
 
-    A chain of tests compiled into the projection: no dictionary table, join or shuffle.
+    A chain of tests compiled into the projection: no dictionary table, join or shuffle. A category
+    without keywords takes no text.
     """
-    chain = F
+    chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for category, keywords in categories.items():
-        tests = [lowered.contains(keyword) for keyword in keywords]
-        found = tests[0]
-        for test in tests[1:]:
-            found = found | test
-        chain = chain.when(found, category)
-    return chain.otherwise(F.lit(None)) if categories else F.lit(None).cast("string")
+        if keywords:
+            tests = [lowered.contains(keyword) for keyword in keywords]
+            chain = chain.when(reduce(or_, tests), category)
+    return chain
 
 
 def categorize_comments(
@@ -34,6 +39,57 @@ def categorize_comments(
     )
 
 
+def _grams(text: Column, size: int) -> Column:
+    """All distinct runs of ``size`` characters."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(runs)
+
+
+def categorize_by_table(
+    comments: DataFrame, keywords: DataFrame, column: str = "comment", gram: int = GRAM
+) -> DataFrame:
+    """Add ``category`` from a keyword table of any size (priority, category, keyword).
+
+    An inverted index takes the place of testing every keyword on every text: each keyword is
+    filed under that of its runs of ``gram`` characters which the fewest texts hold, texts meet
+    the keywords of their runs in an equi-join, and what is met is confirmed on the whole text. The
+    least priority wins, then the first category by name. Keywords shorter than a run are filed
+    under themselves; empty and NULL ones are left out, and NULL texts have no category.
+    """
+    row = next(n for i in range(len(comments.columns) + 1) if (n := f"row_{i}") not in comments.columns)
+    rows = stored(comments.withColumn(row, F.monotonically_increasing_id()), "numbered-comments")
+    texts = rows.select(F.col(row).alias("row"), F.lower(column).alias("text")).where("text IS NOT NULL")
+    table = stored(keywords.where("keyword <> ''").select("priority", "category", "keyword"), "keywords")
+
+    sizes = range(1, gram + 1)
+    of_keyword = [F.when(F.least(F.length("keyword"), F.lit(gram)) == n, _grams(F.col("keyword"), n)) for n in sizes]
+    filed = table.select("keyword", F.explode(F.coalesce(*of_keyword)).alias("run")).distinct()
+    wanted = stored(filed.select("run").distinct(), "keyword-runs")
+    # Runs of the lengths that keywords have; those of no keyword go no further than the semi-join.
+    lengths = [r["n"] for r in wanted.select(F.length("run").alias("n")).distinct().collect()]
+    found = texts.select("row", F.explode(F.flatten(F.array(*[_grams(F.col("text"), n) for n in sorted(lengths)]))).alias("run")) if lengths else texts.select("row", F.lit("").alias("run")).where("false")
+    met = stored(found.join(wanted, "run", "left_semi"), "text-runs")
+    frequency = met.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        filed.join(frequency, "run")
+        .groupBy("keyword")
+        .agg(F.min(F.struct("n", "run")).alias("best"), F.count(F.lit(1)).alias("held"))
+        # A keyword one of whose runs no text holds is in no text.
+        .join(filed.groupBy("keyword").agg(F.count(F.lit(1)).alias("runs")), "keyword")
+        .where("held = runs")
+        .select("keyword", F.col("best.run").alias("run"))
+    )
+    candidates = met.join(rarest, "run").select("row", "keyword")
+    confirmed = candidates.join(texts, "row").where(F.contains("text", "keyword")).select("row", "keyword")
+    first = (
+        confirmed.join(table, "keyword")
+        .groupBy("row")
+        .agg(F.min(F.struct("priority", "category")).alias("first"))
+        .select(F.col("row").alias(row), F.col("first.category").alias("category"))
+    )
+    return rows.drop("category").join(first, row, "left").drop(row)
+
+
 def comment_category_counts(categorized: DataFrame) -> DataFrame:
     """Comments per category, the uncategorized, and the totals with the whole percentage."""
     # Counted per category first: the roll-up then only sees one row per category.

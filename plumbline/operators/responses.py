@@ -31,14 +31,25 @@ def with_body(responses: DataFrame) -> DataFrame:
     )
 
 
+# Spark's JSON readers take more than JSON unless told otherwise.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def _is_one_json_value(body: Column, opening: str) -> Column:
     """True for exactly one well-formed JSON value of the kind that opens so, and nothing more.
 
-    Spark's JSON readers stop after the first value. Placing the text as the first of two items
-    in an array makes anything left over malformed.
+    Spark's JSON readers stop after the first value. So the text is read as the first of two items
+    of an array and again as the first of two fields of an object, and the second must be found
+    both times: what a text would need to end an array early is malformed in an object.
     """
-    items = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]")))
-    return F.coalesce(body.startswith(opening) & (items == 2), F.lit(False))
+    items = F.from_json(F.concat(F.lit("["), body, F.lit(",0]")), "array<string>", _STRICT)
+    fields = F.from_json(
+        F.concat(F.lit('{"first":'), body, F.lit(',"second":0}')),
+        "first string, second int",
+        _STRICT,
+    )
+    alone = (F.size(items) == 2) & (items[1] == "0") & (fields["second"] == 0)
+    return F.coalesce(body.startswith(opening) & alone, F.lit(False))
 
 
 def is_json_object(body: Column) -> Column:
@@ -59,8 +70,9 @@ def first_valid_attempt(
 ) -> DataFrame:
     """Per request: the first attempt that parses to an object, or a failure.
 
-    Attempts beyond the limit are ignored. One aggregation with map-side combining, so that a
-    request with very many stored attempts does not gather in one task.
+    Attempts beyond the limit are ignored; of two texts under one number the smaller counts. One
+    aggregation with map-side combining, so that a request with very many stored attempts does not
+    gather in one task.
     """
     counted = F.col("attempt") <= max_attempts
     usable = F.col("is_valid") & counted
@@ -68,20 +80,27 @@ def first_valid_attempt(
     candidates = read_responses(responses).select(
         "request_id",
         counted.alias("counted"),
-        F.when(usable, F.col("attempt")).alias("valid_at"),
-        F.when(usable, F.col("body")).alias("body"),
+        F.when(usable, F.struct("attempt", "body")).alias("valid"),
     )
     return (
         candidates.groupBy("request_id")
-        .agg(
-            F.min("valid_at").alias("attempt"),
-            F.min_by("body", "valid_at").alias("body"),
-            F.count_if("counted").alias("attempts_seen"),
+        .agg(F.min("valid").alias("first"), F.count_if("counted").alias("attempts_seen"))
+        .select(
+            "request_id",
+            F.col("first.attempt").alias("attempt"),
+            F.col("first.body").alias("body"),
+            "attempts_seen",
+            F.when(F.col("first").isNull(), "failed").otherwise("parsed").alias("status"),
         )
-        .withColumn("status", F.when(F.col("attempt").isNull(), "failed").otherwise("parsed"))
     )
 
 
+def chosen_records(responses: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
+    """The record of the first valid attempt of each request in ``parsed``; failed ones are out."""
+    chosen = first_valid_attempt(responses, max_attempts).where("status = 'parsed'")
+    return chosen.withColumn("parsed", F.from_json("body", PARSED_KPI))
+
+
 def parse_kpi_responses(responses: DataFrame) -> DataFrame:
     """Every response with its validity and, where valid, its typed fields in ``parsed``."""
     return read_responses(responses).withColumn(

@@ -64,112 +64,142 @@ def series_spread(series: DataFrame) -> DataFrame:
     )
 
 
-def _chunk_summaries(points: DataFrame) -> DataFrame:
-    """One row per KPI and chunk, carrying what later chunks and the whole KPI need."""
-    parts = points.groupBy("kpi_id", "chunk").agg(
-        F.expr("count(value) AS part_n"),
-        F.expr("avg(value) AS part_mean"),
-        F.expr("var_pop(value) AS part_var"),
-        F.expr("min(value) AS part_min"),
-        F.expr("max(value) AS part_max"),
-        F.expr("max_by(value, if(value IS NULL, NULL, ord)) AS last_value"),
-        F.expr("max_by(period, if(value IS NULL, NULL, ord)) AS last_period"),
-    )
-    whole = "OVER (PARTITION BY kpi_id)"
-    earlier = (
-        "OVER (PARTITION BY kpi_id ORDER BY chunk"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    merged = parts.selectExpr(
-        "kpi_id",
-        "chunk",
-        "part_n",
-        "part_mean",
-        "part_var",
-        f"last(last_value, true) {earlier} AS carried_value",
-        # An absent period cannot be told from an absent point, so the label is boxed.
-        f"last(if(part_n > 0, array(last_period), NULL), true) {earlier}[0] AS carried_period",
-        f"sum(part_n) {whole} AS n_numeric",
-        f"min(part_min) {whole} AS min_value",
-        f"max(part_max) {whole} AS max_value",
-        f"try_divide(sum(part_n * part_mean) {whole}, sum(part_n) {whole}) AS merged_mean",
-    )
-    squares = (
-        "sum(part_n * (part_var + (part_mean - merged_mean) * (part_mean - merged_mean)))"
-        f" {whole}"
-    )
-    return merged.selectExpr(
-        "kpi_id",
-        "chunk",
-        "carried_value",
-        "carried_period",
-        "n_numeric",
-        "min_value",
-        "max_value",
-        "if(min_value = max_value, min_value, merged_mean) AS mean",
-        f"if(min_value = max_value, 0D, sqrt(try_divide({squares}, n_numeric))) AS stdev",
-    )
-
-
-def screen_points(
+# Points are read once and dealt by series and chunk; every later step reads that one exchange. What
+# makes Spark keep a common table expression instead of computing it at each place it is named is an
+# expression it must not repeat, here a test of the row's number that always holds. The columns are
+# those that the caller uses: if Spark could drop one, it would deal the points once more.
+_DEALT = """
+dealt AS (
+  SELECT /*+ REPARTITION(kpi_id, chunk) */ kpi_id, ord, value, {chunk} AS chunk{more}
+  FROM {{points}} WHERE kpi_id IS NOT NULL AND monotonically_increasing_id() >= 0
+)"""
+
+# One row per KPI and chunk, carrying what later chunks and the whole KPI need. Numbers only, which
+# keeps the aggregation a hash one; the label of the carried point is looked up by its `ord`.
+_SUMMARIES = """
+parts AS (
+  SELECT kpi_id, chunk,
+    count(value) AS part_n, avg(value) AS part_mean, var_pop(value) AS part_var,
+    min(value) AS part_min, max(value) AS part_max,
+    max(if(value IS NULL, NULL, ord)) AS last_ord,
+    coalesce(max_by(value, if(value IS NULL, NULL, ord)), max(if(ord IS NULL, value, NULL))) AS last_value
+  FROM dealt GROUP BY kpi_id, chunk
+),
+merged AS (
+  SELECT kpi_id, chunk, part_n, part_mean, part_var,
+    last(last_value, true) OVER earlier AS carried_value,
+    last(last_ord, true) OVER earlier AS carried_ord,
+    last(if(part_n > 0, chunk, NULL), true) OVER earlier AS carried_chunk,
+    sum(part_n) OVER whole AS n_numeric,
+    min(part_min) OVER whole AS min_value,
+    max(part_max) OVER whole AS max_value,
+    try_divide(sum(part_n * part_mean) OVER whole, sum(part_n) OVER whole) AS merged_mean
+  FROM parts
+  WINDOW whole AS (PARTITION BY kpi_id),
+    earlier AS (PARTITION BY kpi_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+summaries AS (
+  SELECT kpi_id, chunk, carried_value, carried_ord, carried_chunk, n_numeric, min_value, max_value,
+    if(min_value = max_value, min_value, merged_mean) AS mean,
+    if(min_value = max_value, 0D, sqrt(try_divide(
+      sum(part_n * (part_var + (part_mean - merged_mean) * (part_mean - merged_mean)))
+        OVER (PARTITION BY kpi_id),
+      n_numeric))) AS stdev
+  FROM merged
+)"""
+
+_FOLLOWED = """
+followed AS (
+  SELECT dealt.*,
+    last(value, true) OVER before AS previous_value{label}
+  FROM dealt
+  WINDOW before AS (PARTITION BY kpi_id, chunk ORDER BY ord, value{ties}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)"""
+
+_CARRIED_LABELS = """
+labels AS (
+  SELECT s.kpi_id, s.chunk, max(d.period) AS carried_period
+  FROM summaries s JOIN dealt d
+    ON d.kpi_id = s.kpi_id AND d.chunk = s.carried_chunk AND d.ord <=> s.carried_ord
+    AND d.value = s.carried_value
+  GROUP BY s.kpi_id, s.chunk
+)"""
+
+
+def sql_chunk(chunk_points: int) -> str:
+    """A point's chunk; points without an ``ord`` come before all others."""
+    return f"coalesce(ord div {chunk_points}, {-(2**63) // chunk_points - 1})"
+
+
+def _screened(
     series: DataFrame,
+    query: str,
     z_threshold: float = V.Z_SCORE_THRESHOLD,
     step_threshold: float = V.STEP_CHANGE_THRESHOLD,
     chunk_points: int = CHUNK_POINTS,
+    texts: tuple[str, ...] = ("period", "value_raw"),
+    from_labels: bool = True,
+    more: str = "",
 ) -> DataFrame:
+    """The result of a query over ``screened``, the points with what screening says of each.
+
+    ``texts`` names the text columns of the points that the query uses.
+    """
+    absent = {c: F.lit(None).cast("string") for c in texts if c not in series.columns}
+    points = series.withColumns(absent) if absent else series
+    from_labels = from_labels and "period" in texts
+    # An absent period cannot be told from an absent point, so the label is boxed.
+    label = (
+        ",\n    last(if(value IS NULL, NULL, array(period)), true) OVER before[0] AS previous_period"
+        if from_labels
+        else ""
+    )
+    listed = "".join(f", {c}" for c in texts)
+    steps = [
+        _DEALT.format(chunk=sql_chunk(int(chunk_points)), more=listed),
+        _SUMMARIES,
+        _FOLLOWED.format(label=label, ties=", period" if "period" in texts else ""),
+    ]
+    from_period, join = "", ""
+    if from_labels:
+        steps.append(_CARRIED_LABELS)
+        join = "LEFT JOIN labels USING (kpi_id, chunk)"
+        from_period = ", if(previous_value IS NULL, carried_period, previous_period) AS from_period"
+    steps.append(f"""
+linked AS (
+  SELECT kpi_id, chunk, ord{listed}, value, n_numeric, mean, stdev, min_value, max_value,
+    coalesce(previous_value, carried_value) AS from_value{from_period}
+  FROM followed JOIN summaries USING (kpi_id, chunk) {join}
+),
+measured AS (
+  SELECT *,
+    if(n_numeric >= {V.MIN_POINTS_FOR_TREND} AND stdev > 0,
+      abs(try_divide(value - mean, stdev)), NULL) AS z,
+    try_divide(value - from_value, from_value) AS change
+  FROM linked
+),
+screened AS (
+  SELECT *,
+    value IS NULL AS is_non_numeric,
+    {sql_is_real('z')} AND z >= {float(z_threshold)}D AS is_outlier,
+    {sql_is_real('change')} AND abs(change) >= {float(step_threshold)}D AS is_step_change
+  FROM measured
+)""")
+    return series.sparkSession.sql(f"WITH {','.join(steps)}{more}\n{query}", points=points)
+
+
+def screen_points(series: DataFrame, **options) -> DataFrame:
     """Every point with its series' statistics, its z score and the change from the last number.
 
+    Options are ``z_threshold``, ``step_threshold``, ``chunk_points``, ``texts`` and ``from_labels``.
     ``chunk_points`` only sets how a long series is divided among tasks, never the result. It
     counts in units of ``ord``, which should therefore be near to a dense position;
-    ``functions.ordering.with_position`` makes one from a timestamp or any other sort key.
+    ``functions.ordering.with_rank`` makes one from a timestamp or any other sort key. Points
+    without an ``ord`` come before all others, by value. ``texts`` names the text columns to
+    carry along, and ``from_labels`` may be switched off where ``from_period`` is not needed.
     """
-    # Neither key can be NULL here, which keeps the join from adding filters to one of the two
-    # uses of the source; a series that is itself an aggregation is then computed only once.
-    points = series.where("kpi_id IS NOT NULL").selectExpr(
-        "kpi_id",
-        "ord",
-        "period",
-        "value",
-        f"coalesce(ord div {int(chunk_points)}, 0) AS chunk",
-    )
-    before = (
-        "OVER (PARTITION BY kpi_id, chunk ORDER BY ord"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    followed = points.selectExpr(
-        "kpi_id",
-        "chunk",
-        "ord",
-        "period",
-        "value",
-        f"last(value, true) {before} AS previous_value",
-        f"last(if(value IS NULL, NULL, array(period)), true) {before}[0] AS previous_period",
-    )
-    linked = followed.join(_chunk_summaries(points), ["kpi_id", "chunk"]).selectExpr(
-        "kpi_id",
-        "ord",
-        "period",
-        "value",
-        "n_numeric",
-        "mean",
-        "stdev",
-        "min_value",
-        "max_value",
-        "coalesce(previous_value, carried_value) AS from_value",
-        "if(previous_value IS NULL, carried_period, previous_period) AS from_period",
-    )
-    measured = linked.selectExpr(
-        "*",
-        f"if(n_numeric >= {V.MIN_POINTS_FOR_TREND} AND stdev > 0,"
-        " abs(try_divide(value - mean, stdev)), NULL) AS z",
-        "try_divide(value - from_value, from_value) AS change",
-    )
-    return measured.selectExpr(
-        "*",
-        "value IS NULL AS is_non_numeric",
-        f"{sql_is_real('z')} AND z >= {float(z_threshold)}D AS is_outlier",
-        f"{sql_is_real('change')} AND abs(change) >= {float(step_threshold)}D AS is_step_change",
-    )
+    return _screened(series, "SELECT * EXCEPT (chunk) FROM screened", **options)
 
 
 def non_numeric_points(series: DataFrame) -> DataFrame:
@@ -181,7 +211,7 @@ def non_numeric_points(series: DataFrame) -> DataFrame:
 
 def outliers(series: DataFrame, **options) -> DataFrame:
     return (
-        screen_points(series, **options)
+        screen_points(series, texts=("period",), from_labels=False, **options)
         .where("is_outlier")
         .selectExpr(
             "kpi_id",
@@ -197,7 +227,7 @@ def outliers(series: DataFrame, **options) -> DataFrame:
 
 def step_changes(series: DataFrame, **options) -> DataFrame:
     return (
-        screen_points(series, **options)
+        screen_points(series, texts=("period",), **options)
         .where("is_step_change")
         .selectExpr(
             "kpi_id",
@@ -257,29 +287,25 @@ def anomalies(series: DataFrame, **options) -> DataFrame:
         to_value="value",
         pct_change=_PCT_CHANGE,
     )
-    found = (
+    unread = _anomaly("NonNumeric", V.NON_NUMERIC_NOTE, period="period", value_raw="value_raw")
+    return (
         screen_points(series, **options)
-        .where("is_outlier OR is_step_change")
+        .where("is_non_numeric OR is_outlier OR is_step_change")
         .selectExpr(
             "kpi_id",
             "ord",
-            f"inline(CASE WHEN NOT is_step_change THEN array({outlier})"
+            f"inline(CASE WHEN is_non_numeric THEN array({unread})"
+            f" WHEN NOT is_step_change THEN array({outlier})"
             f" WHEN NOT is_outlier THEN array({step}) ELSE array({outlier}, {step}) END)",
         )
     )
-    unread = _anomaly(
-        "NonNumeric", V.NON_NUMERIC_NOTE, period="period", value_raw="value_raw"
-    )
-    return found.unionByName(
-        series.where("value IS NULL").selectExpr("kpi_id", "ord", f"inline(array({unread}))")
-    )
 
 
 def quality_rollup(series: DataFrame, **options) -> DataFrame:
     """One row per KPI: statistics, last value and the number of anomalies of each kind."""
     constant_over_kpi = ["n_numeric", "mean", "stdev", "min_value", "max_value"]
     return (
-        screen_points(series, **options)
+        screen_points(series, texts=(), **options)
         .groupBy("kpi_id")
         .agg(
             F.expr("count(1) AS n_points"),
@@ -323,9 +349,8 @@ def chart_points(series: DataFrame, match: str = "label", **options) -> DataFram
     """
     if match not in ("label", "position"):
         raise ValueError("match must be 'label' or 'position'")
-    screened = screen_points(series, **options)
     if match == "position":
-        return screened.selectExpr(
+        return screen_points(series, texts=("period",), from_labels=False, **options).selectExpr(
             "kpi_id",
             "ord",
             "period",
@@ -335,27 +360,26 @@ def chart_points(series: DataFrame, match: str = "label", **options) -> DataFram
             "cast(is_step_change AS bigint) AS step_marks",
             f"if(is_step_change, {_PCT_CHANGE}, NULL) AS pct_change",
         )
-    marks = (
-        screened.where("is_outlier OR is_step_change")
-        .groupBy("kpi_id", "period")
-        .agg(
-            F.expr("count_if(is_outlier) AS outlier_marks"),
-            F.expr(f"min_by({_Z_SCORE}, if(is_outlier, ord, NULL)) AS z_score"),
-            F.expr("count_if(is_step_change) AS step_marks"),
-            F.expr(f"min_by({_PCT_CHANGE}, if(is_step_change, ord, NULL)) AS pct_change"),
-        )
-    )
-    points = series.select("kpi_id", "ord", "period", "value")
-    # Combined on the map side first, so that a label repeated very often stays one row.
-    first_of_label = points.groupBy("kpi_id", "period").agg(F.min("ord").alias("ord"))
-    placed = first_of_label.join(marks, ["kpi_id", "period"]).drop("period")
-    return points.join(placed, ["kpi_id", "ord"], "left").selectExpr(
-        "kpi_id",
-        "ord",
-        "period",
-        "value",
-        "coalesce(outlier_marks, 0) AS outlier_marks",
-        "z_score",
-        "coalesce(step_marks, 0) AS step_marks",
-        "pct_change",
+    # One row per label, combined on the map side, so that a label repeated very often stays one
+    # row; it goes back to the first point of that label, in whose chunk the points lie already.
+    marks = f""",
+first_of_label AS (
+  SELECT kpi_id, min(ord) AS ord,
+    count_if(is_outlier) AS outlier_marks,
+    min_by({_Z_SCORE}, if(is_outlier, ord, NULL)) AS z_score,
+    count_if(is_step_change) AS step_marks,
+    min_by({_PCT_CHANGE}, if(is_step_change, ord, NULL)) AS pct_change
+  FROM screened GROUP BY kpi_id, period
+  HAVING count_if(is_outlier OR is_step_change) > 0
+),
+marks AS (SELECT *, {sql_chunk(options.get("chunk_points", CHUNK_POINTS))} AS chunk FROM first_of_label)"""
+    return _screened(
+        series,
+        "SELECT kpi_id, ord, period, value, coalesce(outlier_marks, 0) AS outlier_marks, z_score,"
+        " coalesce(step_marks, 0) AS step_marks, pct_change"
+        " FROM screened LEFT JOIN marks USING (kpi_id, chunk, ord)",
+        texts=("period",),
+        from_labels=False,
+        more=marks,
+        **options,
     )

@@ -523,40 +523,44 @@ def _refinement_prompts() -> str:
 
 
 def _dashboard() -> str:
-    quarter = f"""dash AS (
-  SELECT kpi_id, count(*) AS qn, arg_max(value, ord) AS ql, min(value) AS qlo, max(value) AS qhi
-  FROM sq GROUP BY kpi_id),
-qs AS (
-  SELECT kpi_id, ord, value, count(*) OVER k AS n, avg(value) OVER k AS m,
-    stddev_pop(value) OVER k AS sd, lag(value) OVER (PARTITION BY kpi_id ORDER BY ord) AS p
-  FROM sq WINDOW k AS (PARTITION BY kpi_id)),
-qf AS (
-  SELECT kpi_id, count(*) FILTER (n >= 3 AND sd > 0 AND abs((value - m) / sd) >= 2.5)
-    + count(*) FILTER (p <> 0 AND abs((value - p) / p) >= 0.25) AS qa
-  FROM qs GROUP BY kpi_id)"""
-    prefix = ASSESSED.rstrip() + ",\n" + _quarter("l_suppkey", "sq") + ",\n" + quarter + "\n"
+    values = [value for _, value in V.PLACEHOLDER_SERIES]
+    shown = f"""yearly AS (
+  SELECT kpi_id, count(*) AS n, arg_max(value, ord) AS last_shown, min(value) AS lo, max(value) AS hi
+  FROM s GROUP BY kpi_id),
+later AS (
+  SELECT kpi_id, count(*) AS n, arg_max(value, ord) AS last_shown, min(value) AS lo, max(value) AS hi
+  FROM sq WHERE kpi_id % 8 <> 0 GROUP BY kpi_id),
+shown AS (
+  SELECT kpi_id, coalesce(a.n, b.n, 0) < 2 AS synthetic,
+    CASE WHEN synthetic THEN {len(values)} ELSE coalesce(a.n, b.n) END AS points,
+    CASE WHEN synthetic THEN {float(values[-1])} WHEN a.n > 0 THEN a.last_shown ELSE b.last_shown END AS last_shown,
+    CASE WHEN synthetic THEN {float(min(values))} WHEN a.n > 0 THEN a.lo ELSE b.lo END AS least,
+    CASE WHEN synthetic THEN {float(max(values))} WHEN a.n > 0 THEN a.hi ELSE b.hi END AS most
+  FROM reg LEFT JOIN yearly a USING (kpi_id) LEFT JOIN later b USING (kpi_id))"""
+    own = _supplier_year("years") + ",\ns AS (SELECT * FROM years WHERE kpi_id % 4 <> 0)"
+    prefix = _with(
+        REG, own, _quarter("l_suppkey", "sq"), SCREEN, ROLLUP, FINDINGS, DECIDED, DESIGN, STANDARDS, shown
+    )
     return prefix + f"""SELECT kpi_id, name AS kpi_name, readiness_status AS readiness,
   CASE WHEN blockers = '' THEN 'green' ELSE 'red' END AS readiness_light,
   smart_score, visual_score, visual_percent, met || '/9' AS standards_score,
   CAST(round(met * 100 / 9.0) AS INT) || '%' AS standards_percent, standards_status,
   CASE WHEN met >= 8 THEN 'green' WHEN met = 7 THEN 'amber' ELSE 'red' END AS standards_light,
   CASE WHEN blockers = '' THEN {q(V.NO_BLOCKERS)} ELSE blockers END AS blockers,
-  coalesce(qn, 0) AS n_points, coalesce(qa, 0) AS anomaly_count, false AS is_synthetic,
-  coalesce(qn, 0) >= 2 AS has_chart,
-  CASE WHEN qn >= 2 THEN printf('%.1f', ql) ELSE 'N/A' END AS latest_value,
-  CASE WHEN qn >= 2 THEN greatest(0, CAST(trunc(qlo) AS BIGINT) - 5) END AS axis_min,
-  CASE WHEN qn >= 2 THEN CAST(trunc(qhi) AS BIGINT) + 5 END AS axis_max,
+  CAST(points AS BIGINT) AS n_points, anomaly_count, synthetic AS is_synthetic, true AS has_chart,
+  printf('%.1f', last_shown) AS latest_value,
+  greatest(0, CAST(trunc(least) AS BIGINT) - 5) AS axis_min, CAST(trunc(most) AS BIGINT) + 5 AS axis_max,
   source, data_owner, coalesce(data_steward, 'Not specified') AS data_steward,
   CASE WHEN signoff THEN 'Required' ELSE 'Not set' END AS human_signoff,
   limitations AS known_limitations, risks AS equity_risks
-FROM aligned LEFT JOIN dash USING (kpi_id) LEFT JOIN qf USING (kpi_id)"""
+FROM aligned JOIN shown USING (kpi_id)"""
 
 
 # --- responses and comments ---------------------------------------------------------------
 
 ATTEMPTS = """tries AS (
   SELECT reg.*, attempt,
-    NOT (kpi_id % CASE attempt WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 12 END = 0) AS valid
+    NOT (kpi_id % CASE attempt WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 5 END = 0) AS valid
   FROM reg, (VALUES (1), (2), (3)) AS t(attempt))"""
 
 SURVEY_ANSWERS = f"""ans AS (
@@ -631,12 +635,48 @@ def _field_review() -> str:
     )
     union = "\nUNION ALL ".join(rows)
     return (
-        _with(REG, _supplier_year(), "kept AS (SELECT * FROM reg WHERE kpi_id % 12 <> 0)")
+        _with(
+            REG,
+            ATTEMPTS,
+            _supplier_year(),
+            "kept AS (SELECT * REPLACE (CASE WHEN attempt > 1 THEN 'Attempt ' || attempt"
+            " ELSE limitations END AS limitations) FROM tries"
+            " WHERE valid QUALIFY row_number() OVER (PARTITION BY kpi_id ORDER BY attempt) = 1)",
+        )
         + "SELECT kpi_id, CAST(row_number() OVER (PARTITION BY kpi_id ORDER BY block, pos) AS INT)"
         f" AS line_number, field, value FROM ({union})"
     )
 
 
+def _intake() -> str:
+    parts = [
+        REG.replace("reg AS", "raw AS", 1),
+        ATTEMPTS.replace("reg.*", "raw.*").replace("FROM reg", "FROM raw"),
+        """judged AS (
+  SELECT *, count(*) OVER (PARTITION BY kpi_id) AS seen,
+    CASE WHEN NOT bool_or(valid) OVER (PARTITION BY kpi_id) THEN 'no valid response'
+      WHEN data_steward IS NULL THEN 'lacks data_steward'
+      WHEN kpi_id % 4 = 0 THEN 'not confirmed' END AS reason,
+    CASE kpi_id % 5 WHEN 1 THEN 'file' WHEN 2 THEN 'none' ELSE 'description' END AS data_option
+  FROM tries
+  QUALIFY row_number() OVER (PARTITION BY kpi_id ORDER BY NOT valid, attempt) = 1)""",
+        """reg AS (
+  SELECT * REPLACE (CASE WHEN attempt > 1 THEN 'Attempt ' || attempt ELSE limitations END AS limitations)
+  FROM judged WHERE reason IS NULL)""",
+        _supplier_year("years"),
+        MESSY.replace("s AS (\n", "messy AS (\n", 1),
+        """s AS (
+  SELECT kpi_id, ord, value, period FROM years JOIN reg USING (kpi_id) WHERE data_option = 'description'
+  UNION ALL SELECT kpi_id, ord, value, period FROM messy JOIN reg USING (kpi_id)
+  WHERE data_option = 'file' AND kpi_id % 7 <> 0)""",
+    ]
+    return _with(*parts, SCREEN, ROLLUP, FINDINGS, DECIDED) + """SELECT j.kpi_id,
+  CASE WHEN j.reason IS NULL THEN 'reported' ELSE 'rejected' END AS outcome, j.reason,
+  CASE WHEN j.valid THEN j.attempt END AS attempt, j.seen AS attempts_seen, j.data_option,
+  core.name AS kpi_name, core.n AS n_points, core.anomaly_count, core.readiness_status, core.blockers
+FROM judged j LEFT JOIN core USING (kpi_id)"""
+
+
 FALLBACK = """sizes AS (
   SELECT kpi_id, name, definition, time_period, a.n AS na, b.n AS nb
   FROM reg LEFT JOIN (SELECT kpi_id, count(*) AS n FROM sa GROUP BY kpi_id) a USING (kpi_id)
@@ -838,6 +878,8 @@ SELECT survey_id, true, pos, comment FROM (SELECT DISTINCT survey_id FROM d) AS
   (VALUES {sample}) AS t(pos, comment) WHERE survey_id % 5 IN (2, 4)""",
         "categorize_comments": f"SELECT doc_id AS comment_id, {_category_case(CATEGORY_BINDING)}"
         " AS category FROM documents",
+        "categorize_comments_by_table": f"SELECT doc_id AS comment_id,"
+        f" {_category_case(CATEGORY_BINDING)} AS category FROM documents",
         "categorize_comments_default": "SELECT doc_id AS comment_id,"
         f" {_category_case(V.COMMENT_CATEGORIES)} AS category FROM documents",
         "comment_category_counts": f"""WITH c AS (
@@ -859,8 +901,8 @@ SELECT 'TOTAL', count(*), CAST(trunc(count(category) / count(*) * 100) AS INT) F
         f" || chr(10) || chr(10) || {q(P.PLACEHOLDER_TASK)} AS prompt"
         " FROM choice WHERE origin = 'placeholder'",
         "survey_prompt_batches": f"""WITH d AS (
-  SELECT doc_id // 50 AS batch_id, doc_id, text,
-    row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS i FROM documents)
+  SELECT rank // 50 AS batch_id, text, rank % 50 + 1 AS i
+  FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents))
 SELECT batch_id, CAST(count(*) AS INT) AS n_comments,
   {q(P.SURVEY_INTRODUCTION)} || chr(10) || chr(10) || 'Comments to analyze:' || chr(10)
   || string_agg(i || '. ' || text, chr(10) ORDER BY i) || chr(10) || chr(10)
@@ -916,6 +958,7 @@ FROM cats JOIN tops USING (k)""",
         "review_gate": "SELECT s_suppkey AS kpi_id, s_name AS name,"
         " CASE WHEN s_suppkey % 4 = 0 THEN 'pending' ELSE 'approved' END AS gate FROM supplier",
         "field_review": _field_review(),
+        "intake_to_report": _intake(),
         "series_fallback": _with(
             CUSTOMER_REG, _user_day("sa"), _customer_year("sb"), FALLBACK
         )

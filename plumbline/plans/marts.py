@@ -11,8 +11,10 @@ from plumbline.functions.text import joined, sql_literal
 def dashboard_mart(reports: DataFrame, series_facts: DataFrame) -> DataFrame:
     """One row of dashboard values per report.
 
-    ``series_facts`` has one row per KPI: n_points, latest_value, min_value, max_value,
-    anomaly_count and is_synthetic. The points to draw are ``operators.series.chart_points``.
+    ``series_facts`` has one row per KPI on the series that is shown, as
+    ``operators.review.resolved_facts`` makes them: n_points, latest_value, min_value, max_value and
+    is_synthetic. Anomalies are those of the report. The points to draw are
+    ``operators.series.chart_points``.
     """
     smart = "steps.step_9_design_quality.details.smart_framework"
     visual = "steps.step_9_design_quality.details.tufte_principles"
@@ -40,7 +42,7 @@ def dashboard_mart(reports: DataFrame, series_facts: DataFrame) -> DataFrame:
         "blockers": f"if(size({blockers}) > 0, array_join({blockers}, '; '),"
         f" {sql_literal(V.NO_BLOCKERS)})",
         "n_points": "coalesce(n_points, 0)",
-        "anomaly_count": "coalesce(anomaly_count, 0)",
+        "anomaly_count": "coalesce(steps.step_4_quality.details.anomaly_count, 0)",
         "is_synthetic": "coalesce(is_synthetic, false)",
         "has_chart": has_chart,
         "latest_value": f"if({has_chart} AND latest_value IS NOT NULL,"

@@ -6,6 +6,7 @@ from pyspark.sql.types import StructType
 
 from plumbline import fixed_values as V
 from plumbline.plans.report import batch_summary, report_json, summary_long
+from plumbline.sources.scratch import stored
 
 
 def write_report_json(
@@ -43,23 +44,46 @@ def write_batch_csv(assessed: DataFrame, path: str, mode: str = "errorifexists")
     _write_csv(batch_summary(assessed).drop("kpi_id").toDF(*V.BATCH_HEADER), path, mode)
 
 
+# Chosen reports that are sent to all tasks, at most: a path and a number each.
+BROADCAST_REPORTS = 200_000
+
+
 def scan_latest_reports(
-    spark: SparkSession, folder: str, schema: StructType, multi_line: bool = False
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    multi_line: bool = False,
+    broadcast_reports: int = BROADCAST_REPORTS,
 ) -> DataFrame:
     """The newest report of each KPI among ``*_report.json`` files or folders.
 
-    Names that start with ``test_`` are ignored. Newest is by modification time, then by path.
-    An aggregation with map-side combining picks the row, so that a KPI with very many old
-    reports does not gather in one task.
+    Names that start with ``test_`` are ignored. Newest is by modification time, then by path, then
+    by a digest of the text, so the choice is settled; a text that stands twice in one file comes
+    twice. Reports without a KPI id are left out.
+
+    Two phases: the first reads the key of each report and where it stands, and picks the newest by
+    an aggregation over those few columns; the second parses the chosen texts alone. Up to
+    ``broadcast_reports`` choices are sent to the scan, so that no report is shuffled; more are joined.
     """
-    found = spark.read.schema(schema).option("multiLine", multi_line).json(
-        f"{folder.rstrip('/')}/*_report.json"
+    texts = (
+        spark.read.option("wholetext", multi_line)
+        .text(f"{folder.rstrip('/')}/*_report.json")
+        .select(
+            "value",
+            F.xxhash64("value").alias("digest"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_modification_time").alias("modified"),
+        )
+        .where(~F.col("path").rlike(r"/test_[^/]*_report\.json(/|$)"))
+    )
+    keyed = texts.select(
+        F.get_json_object("value", "$.kpi_id").try_cast("bigint").alias("kpi_id"),
+        F.struct("modified", "path", "digest").alias("place"),
+    ).where("kpi_id IS NOT NULL")
+    newest = stored(
+        keyed.groupBy("kpi_id").agg(F.max("place").alias("place")).select("place.path", "place.digest"),
+        "newest-reports",
     )
-    stamped = found.select(
-        F.struct(*schema.names).alias("report"),
-        F.col("kpi_id"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    ).where(~F.col("path").rlike(r"/test_[^/]*_report\.json(/|$)"))
-    newest = F.max_by("report", F.struct("modified", "path"))
-    return stamped.groupBy("kpi_id").agg(newest.alias("report")).select("report.*")
+    wanted = F.broadcast(newest) if newest.count() <= broadcast_reports else newest
+    chosen = texts.join(wanted, ["path", "digest"], "left_semi")
+    return chosen.select(F.from_json("value", schema).alias("report")).select("report.*")

@@ -11,7 +11,7 @@ from plumbline.functions.text import joined
 from plumbline.operators import design, metadata, prompts, responses, review, standards
 from plumbline.operators import comments as C
 from plumbline.operators import series as S
-from plumbline.plans import marts
+from plumbline.plans import intake, marts
 from plumbline.plans import report as R
 from plumbline.sources import comments as comment_source
 from plumbline.sources import registry as registry_source
@@ -380,14 +380,19 @@ def chart_points(spark, sf_dir):
 # --- scans --------------------------------------------------------------------------------
 
 
-def _write_csv(rows: DataFrame, path: str, header: bool = True) -> None:
-    (
-        rows.write.option("header", header)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+def _write_csv(rows: DataFrame, path: str, second: Column) -> None:
+    """Files of two kinds in one folder: rows where ``second`` holds go with the columns reversed."""
+    for part, columns in ((~second, rows.columns), (second, rows.columns[::-1])):
+        (
+            rows.where(part)
+            .select(*columns)
+            .write.mode("append")
+            .option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
 
 
 @query
@@ -395,8 +400,8 @@ def scan_kpi_registry_csv(spark, sf_dir):
     path = scratch_path(spark, "registry.csv")
     rows = B.supplier_registry_text(spark, sf_dir)
     multiline = F.concat(F.lit('As "reported",\n'), F.col("known_limitations"))
-    _write_csv(rows.withColumn("known_limitations", multiline), path)
-    return registry_source.read_registry_csv(spark, path).select(
+    _write_csv(rows.withColumn("known_limitations", multiline), path, F.col("kpi_id") % 2 == 1)
+    return registry_source.read_registry_csv(spark, path, multi_line=True).select(
         "kpi_id",
         "name",
         "definition",
@@ -427,7 +432,10 @@ def scan_panel_series(spark, sf_dir):
         F.struct("UNITID", F.concat("YEAR", F.lit(".0")).alias("YEAR"), "RET_PCF"),
         F.struct("UNITID", "YEAR", F.lit("suppressed").alias("RET_PCF")),
     )
-    _write_csv(panel.select(F.inline(bad_rows)), path)
+    rows = panel.select("UNITID", F.inline(bad_rows).alias("a", "b", "c"))
+    of_unit = (F.col("UNITID") % 3 == 0).alias("second")
+    rows = rows.select(F.col("a").alias("UNITID"), F.col("b").alias("YEAR"), F.col("c").alias("RET_PCF"), of_unit)
+    _write_csv(rows, path, F.col("second"))
     return series_source.read_panel_csv(spark, path).select("kpi_id", "ord", "period", "value")
 
 
@@ -439,6 +447,7 @@ def scan_series_csv(spark, sf_dir):
             "kpi_id", "ord", "period", F.col("value_raw").alias("value")
         ),
         path,
+        F.col("kpi_id") % 2 == 1,
     )
     return series_source.read_series_csv(
         spark, path, key_column="kpi_id", order_column="ord"
@@ -549,6 +558,20 @@ def categorize_comments_default(spark, sf_dir):
     )
 
 
+@query
+def categorize_comments_by_table(spark, sf_dir):
+    """The same categories from a table of keywords."""
+    rows = [
+        (i, category, keyword)
+        for i, (category, keywords) in enumerate(B.CATEGORY_BINDING.items())
+        for keyword in keywords
+    ]
+    keywords = spark.createDataFrame(rows, "priority int, category string, keyword string")
+    return C.categorize_by_table(B.document_comments(spark, sf_dir), keywords).select(
+        "comment_id", "category"
+    )
+
+
 @query
 def comment_category_counts(spark, sf_dir):
     return C.comment_category_counts(
@@ -641,19 +664,27 @@ def survey_section_mart(spark, sf_dir):
 @query
 def review_gate(spark, sf_dir):
     registry = B.supplier_registry(spark, sf_dir).select("kpi_id", "name")
-    decisions = B.approvals(spark, sf_dir)
-    return (
-        review.approved(registry, decisions)
-        .withColumn("gate", F.lit("approved"))
-        .unionByName(review.pending(registry, decisions).withColumn("gate", F.lit("pending")))
-    )
+    gate = F.when(F.col("is_approved"), "approved").otherwise("pending").alias("gate")
+    return review.gated(registry, B.approvals(spark, sf_dir)).select("kpi_id", "name", gate)
 
 
 @query
 def field_review(spark, sf_dir):
-    parsed = responses.parse_kpi_responses(B.kpi_responses(spark, sf_dir))
-    last = parsed.where((F.col("attempt") == 3) & F.col("is_valid"))
-    return review.field_review(last.select(F.col("request_id").alias("kpi_id"), "parsed"))
+    """What the first valid attempt of each request says, for people to confirm."""
+    chosen = responses.chosen_records(B.kpi_responses(spark, sf_dir))
+    return review.field_review(chosen.select(F.col("request_id").alias("kpi_id"), "parsed"))
+
+
+@query
+def intake_to_report(spark, sf_dir):
+    """Responses through attempts, required fields, gate and choice of series to their reports."""
+    found = intake.intake(
+        B.kpi_responses(spark, sf_dir),
+        B.approvals(spark, sf_dir),
+        B.messy_quarter_series(spark, sf_dir).where("kpi_id % 7 <> 0"),
+        B.data_options(spark, sf_dir),
+    )
+    return intake.intake_report(found)
 
 
 @query
@@ -667,16 +698,8 @@ def series_fallback(spark, sf_dir):
 
 @query
 def dashboard_mart(spark, sf_dir):
-    assessed = _assessed(spark, sf_dir)
-    facts = S.registry_left_series(
-        B.supplier_registry(spark, sf_dir), B.supplier_quarter_series(spark, sf_dir)
-    ).select(
-        "kpi_id",
-        "n_points",
-        "latest_value",
-        "min_value",
-        "max_value",
-        "anomaly_count",
-        F.lit(False).alias("is_synthetic"),
-    )
-    return marts.dashboard_mart(R.report_json(assessed), facts)
+    """Reports and the series shown beside them: their own, a parsed one, or the placeholder."""
+    registry = B.supplier_registry(spark, sf_dir)
+    first, second = B.reported_series(spark, sf_dir), B.parsed_series(spark, sf_dir)
+    assessed = R.assess(registry, first)
+    return marts.dashboard_mart(R.report_json(assessed), review.resolved_facts(registry, first, second))

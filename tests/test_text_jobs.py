@@ -92,6 +92,19 @@ RAW = [
     ('{"name": "a ``` inside"}', True),
     ('"text"', False),
     ("null", False),
+    ("{'name': 'A'}", False),
+    ('{"a": 1},2] garbage', False),
+    ('{"a": 1},{"b": 2}', False),
+    ('{"a": 1},{"b": 2}]', False),
+    ('{"a": 1},"second":0}', False),
+    ('{"name": "two\nlines"}', False),
+    ('{"name": "two\\nlines"}', True),
+    ('{"a": 1, "a": 2}', True),
+    ('{"a": 01}', False),
+    ('{"a": 1,}', False),
+    ('{"a": NaN}', False),
+    ('{"a": [{"b": null}, "\u2028é"]}', True),
+    ('{"a": 1} // no', False),
 ]
 
 
@@ -204,12 +217,23 @@ def test_survey_prompt_numbers_every_comment(spark, sample_comments):
 def test_review_gate(spark, registry):
     rows = registry({}, {}, {}, {})
     votes = spark.createDataFrame(
-        [(1, " y "), (1, "Y"), (2, "N"), (3, "yes")], "kpi_id long, decision string"
+        [(1, "N"), (1, "\tY\n"), (2, "N"), (3, "yes"), (4, None), (9, "Y")],
+        "kpi_id long, decision string",
     )
     assert [r.kpi_id for r in H.approved(rows, votes).collect()] == [1]
     assert sorted(r.kpi_id for r in H.pending(rows, votes).collect()) == [2, 3, 4]
 
 
+def test_the_chosen_record_is_that_of_the_first_valid_attempt(spark):
+    tries = [
+        (1, 3, '{"name": "third"}'), (1, 2, '{"name": "b"}'), (1, 2, '{"name": "a"}'), (1, 1, BROKEN),
+        (2, 1, '{"name": "only"}'), (3, 4, '{"name": "too late"}'),
+    ]
+    df = spark.createDataFrame(tries, "request_id long, attempt int, raw string")
+    rows = A.chosen_records(df).orderBy("request_id").collect()
+    assert [(r.request_id, r.attempt, r.parsed.name) for r in rows] == [(1, 2, "a"), (2, 1, "only")]
+
+
 def test_field_review(spark):
     df = spark.createDataFrame([(1, 1, '{"name": "N", "identifier_fields": ["a", "b"]}')],
                                "request_id long, attempt int, raw string")

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from plumbline import bindings as B
+from plumbline import oracle, workload
 from plumbline.operators import design as D
 from plumbline.operators.series import registry_left_series
 from plumbline.plans import report as R
@@ -20,8 +21,9 @@ TABLES = (
 ).split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the supplied tables")
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+# Those of the optional subpackage have tests beside its own.
+QUERIES = workload.QUERIES
+SQL = oracle.statements()
 SQL_TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
     "boolean": "BOOLEAN",
@@ -54,6 +56,11 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_the_entry_lists_every_query():
+    assert workload.QUERIES.keys() <= entry_module.queries().keys()
+    assert oracle.statements().items() <= entry_module.oracle_sql().items()
+
+
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
     assert len(rows) == 10
@@ -98,7 +105,7 @@ WRITES = {"scan_", "report_json_sink", "latest_report_scan"}
 )
 def test_plans_are_distributed_and_native(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Arrow", "InPandas"):
         assert unwanted not in plan
     # No window without a partition, which would move all rows into one task.
     assert "SinglePartition" not in plan or name in {"batch_counts", "criterion_prevalence"}
