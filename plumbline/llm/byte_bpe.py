@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.tables import stored, text_batches, trimmed
+from plumbline.llm.tables import stored_by, text_batches, trimmed
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 OTHER = re.compile(f"[^\t\n\r -~{LETTERS}]")
@@ -198,7 +198,9 @@ def encode(
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))  # the vocabulary: fixed size
-    chunks = stored(pretokens(docs, key, text, pattern, buckets, chunk_chars), "pretokens")
+    cut = pretokens(docs, key, text, pattern, buckets, chunk_chars)
+    # Stored by chunk, so that positions stay where they are and only words and ids are shuffled.
+    chunks = stored_by(cut, "pretokens", "chunk", buckets)
     words = encoded_words(chunks.where("bucket IS NOT NULL"), ranks, pattern, buckets)
     kind = docs.select(key).schema[key].dataType
 
