@@ -194,6 +194,7 @@ NARRATIVE_DIRECTED = "Clear narrative: actionable with defined direction"
 NARRATIVE_OWNED = "Actionable with clear ownership"
 NARRATIVE_MISSING = "Lacks clear ownership or direction for action"
 VISUAL_SOURCE = "Tufte, E. (2001). The Visual Display of Quantitative Information"
+DESIGN_NOTE = "SMART = Specific, Measurable, Achievable, Relevant, Time-bound; Tufte = Data-ink ratio, Chartjunk avoidance, Data density, Small multiples, Narrative clarity"
 
 ADVISE_SEGMENTS = "Consider disaggregating by demographic group for equity monitoring"
 ADVISE_GOAL = (
@@ -247,6 +248,12 @@ STANDARDS = [
      "NACUBO Financial Reporting Standards"),
 ]
 ORGANIZATIONS = ["EDUCAUSE", "AGB", "NACUBO"]
+ORGANIZATION_LABELS = {
+    "EDUCAUSE": "EDUCAUSE - Data Governance & Analytics",
+    "AGB": "AGB - Board Governance & Oversight",
+    "NACUBO": "NACUBO - Financial & Operational Rigor",
+}
+STANDARDS_NOTE = "Industry standards from EDUCAUSE, AGB (Association of Governing Boards), and NACUBO (National Association of College and University Business Officers)"
 STRONG_ALIGNMENT_PERCENT = 85
 PARTIAL_ALIGNMENT_PERCENT = 70
 ALIGNMENT_STRONG = ("Strong Alignment", "Exceeds industry standards")

@@ -193,6 +193,7 @@ def design_step(skipped: bool = False) -> Column:
         ),
         actionability=SQL_ACTIONABILITY,
         recommendations=sql_design_recommendations(),
+        note=sql_literal(V.DESIGN_NOTE),
     )
     return F.expr(
         sql_struct(

@@ -103,6 +103,7 @@ def _organization(organization: str) -> str:
                 for _, check, standard, reference in rows
             }
         ),
+        organization=sql_literal(V.ORGANIZATION_LABELS[organization]),
     )
 
 
@@ -114,6 +115,7 @@ def standards_step(skipped: bool = False) -> Column:
             total_score=SQL_TOTAL_SCORE, percentage=SQL_PERCENT, status="standards_status"
         ),
         recommendations=sql_standards_recommendations(),
+        note=sql_literal(V.STANDARDS_NOTE),
     )
     return F.expr(
         sql_struct(

@@ -488,7 +488,11 @@ REPORT_FIELDS = """SELECT kpi_id, name AS kpi_name,
   signoff AS human_signoff_required, definition_status, anomaly_count,
   coalesce(n_numeric, 0) AS stats_count, round(mean, 6) AS stats_mean, readiness_status,
   blockers, smart_score, achievable,
-  CAST(round(met * 100 / 9.0) AS INT) || '%' AS standards_percent, board_appropriate
+  CAST(round(met * 100 / 9.0) AS INT) || '%' AS standards_percent, board_appropriate,
+  'z score at or above 2.5' AS outlier_rule,
+  'absolute percent change at or above 25 percent' AS step_change_rule,
+""" + f"""  {q(V.DESIGN_NOTE)} AS design_note, {q(V.STANDARDS_NOTE)} AS standards_note,
+  {q("; ".join(V.ORGANIZATION_LABELS[org] for org in V.ORGANIZATIONS))} AS organizations
 FROM aligned"""
 
 

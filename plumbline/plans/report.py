@@ -42,10 +42,18 @@ STEPS = [
 ]
 
 
-def _quality_step(z_threshold: float, step_threshold: float) -> Column:
+def _filled_in(text: str, value: str) -> str:
+    """A fixed text with a value in its place."""
+    before, after = text.split("{}")
+    return f"concat({sql_literal(before)}, {value}, {sql_literal(after)})"
+
+
+def _quality_step() -> Column:
     rules = sql_struct(
-        outlier_rule=sql_literal(V.OUTLIER_RULE.format(z_threshold)),
-        step_change_rule=sql_literal(V.STEP_CHANGE_RULE.format(int(step_threshold * 100))),
+        outlier_rule=_filled_in(V.OUTLIER_RULE, "cast(z_threshold AS string)"),
+        step_change_rule=_filled_in(
+            V.STEP_CHANGE_RULE, "cast(cast(step_threshold * 100 AS bigint) AS string)"
+        ),
         human_review=sql_literal(V.REVIEW_RULE),
     )
     return F.expr(
@@ -110,10 +118,18 @@ def _summary_step() -> Column:
 def assess_core(registry: DataFrame, series: DataFrame, **options) -> DataFrame:
     """Steps 1 to 7: one row per KPI with the findings and outcomes as plain columns.
 
-    Everything but the series roll-up is a projection over the registry; a caller that selects
+    The thresholds that the series were screened with are columns too, so that whatever is made of
+    the assessment states those and no others. Everything but the series roll-up is a projection over the registry; a caller that selects
     a few columns pays for those only. Nested records are made by ``report_json`` alone.
     """
-    return with_decision(registry_left_series(with_findings(registry), series, **options))
+    screened = registry_left_series(with_findings(registry), series, **options)
+    thresholds = {
+        "z_threshold": options.get("z_threshold", V.Z_SCORE_THRESHOLD),
+        "step_threshold": options.get("step_threshold", V.STEP_CHANGE_THRESHOLD),
+    }
+    return with_decision(
+        screened.withColumns({name: F.lit(float(value)) for name, value in thresholds.items()})
+    )
 
 
 def assess(
@@ -216,14 +232,10 @@ def step8_summary(core: DataFrame) -> DataFrame:
     )
 
 
-def report_json(
-    assessed: DataFrame,
-    z_threshold: float = V.Z_SCORE_THRESHOLD,
-    step_threshold: float = V.STEP_CHANGE_THRESHOLD,
-) -> DataFrame:
+def report_json(assessed: DataFrame) -> DataFrame:
     """The nested report record: identity and ten steps, ready for a JSON sink.
 
-    The thresholds are those the KPIs were assessed with; they are stated in the record.
+    The rules it states are those of the assessment's own thresholds.
 
     Anomalies are a table of their own (``operators.series.anomalies``): a long series may
     have any number of them, and they are never gathered into one row.
@@ -246,7 +258,7 @@ def report_json(
         register_step(),
         definition_step(),
         entity_step(),
-        _quality_step(z_threshold, step_threshold),
+        _quality_step(),
         ai_use_step(),
         governance_step(),
         readiness_step(),

@@ -10,11 +10,16 @@ from plumbline.sources.scratch import stored
 
 
 def write_report_json(
-    assessed: DataFrame, path: str, mode: str = "errorifexists", **thresholds: float
+    assessed: DataFrame, path: str, mode: str = "errorifexists", by_name: bool = False
 ) -> StructType:
-    """Nested reports as JSON lines. Returns the schema to read them back with."""
-    reports = report_json(assessed, **thresholds)
-    reports.write.mode(mode).json(path)
+    """Nested reports as JSON lines. Returns the schema to read them back with.
+
+    ``by_name`` writes a folder for each report under its path-safe name, ``output_name=...``; a
+    reader of ``path`` gets the name back from the folder.
+    """
+    reports = report_json(assessed)
+    writer = reports.repartition("output_name").write.partitionBy("output_name") if by_name else reports.write
+    writer.mode(mode).json(path)
     return reports.schema
 
 

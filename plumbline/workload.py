@@ -246,7 +246,7 @@ def criterion_prevalence(spark, sf_dir):
 @query
 def report_json_sink(spark, sf_dir):
     path = scratch_path(spark, "reports.json")
-    schema = report_source.write_report_json(_assessed(spark, sf_dir), path)
+    schema = report_source.write_report_json(_assessed(spark, sf_dir), path, by_name=True)
     return _report_fields(spark.read.schema(schema).json(path))
 
 
@@ -278,6 +278,17 @@ def _report_fields(reports: DataFrame) -> DataFrame:
         steps["step_10_best_practices"]["details"]["agb_standards"]["checks"][
             "board_appropriate"
         ]["met"].alias("board_appropriate"),
+        steps["step_4_quality"]["details"]["rule_notes"]["outlier_rule"].alias("outlier_rule"),
+        steps["step_4_quality"]["details"]["rule_notes"]["step_change_rule"].alias("step_change_rule"),
+        steps["step_9_design_quality"]["details"]["note"].alias("design_note"),
+        steps["step_10_best_practices"]["details"]["note"].alias("standards_note"),
+        F.concat_ws(
+            "; ",
+            *[
+                steps["step_10_best_practices"]["details"][f"{org.lower()}_standards"]["organization"]
+                for org in V.ORGANIZATIONS
+            ],
+        ).alias("organizations"),
     )
 
 
