@@ -109,6 +109,24 @@ STEP_CHANGE_RULE = "absolute percent change at or above {} percent"
 REVIEW_RULE = "Required for every flagged anomaly"
 MISSING_PERIOD = "Unknown"
 
+# --- labels of the results quoted in a refinement prompt, in order ---------------------------
+REFINEMENT_LABELS = [
+    "Name",
+    "Definition",
+    "Formula",
+    "Time Period",
+    "Primary Source",
+    "Data Owner",
+    "Data Steward",
+    "Known Limitations",
+    "Bias/Equity Risks",
+    "Readiness Status",
+    "Blockers",
+    "SMART Issues",
+    "Tufte Issues",
+    "Industry Gaps",
+]
+
 # --- step 5 -------------------------------------------------------------------------------
 AI_USE = ("Pass", "AI techniques remain limited, explainable, and governed.")
 LINKAGE_TECHNIQUE = "Entity resolution to unify records across systems"

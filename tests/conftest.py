@@ -24,6 +24,7 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+# The worked example.
 RETENTION = {
     "kpi_id": 1,
     "name": "First-Year Retention Rate",

@@ -186,7 +186,7 @@ def test_kpi_prompt_is_self_contained(spark):
     df = spark.createDataFrame([(1, "First-Year Retention Rate, {x}")], "kpi_id long, description string")
     prompt = P.kpi_parse_prompts(df).first().prompt
     assert '"historical_aggregates"' in prompt
-    assert "Return ONLY the JSON object" in prompt
+    assert "JSON" in prompt and all(field in prompt for field in V.REQUIRED_JSON_FIELDS)
     assert prompt.endswith("First-Year Retention Rate, {x}")
     for field in PARSED_KPI.names[1:]:
         assert f'"{field}"' in prompt
