@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import whole_text
+from plumbline.llm.tables import unused, whole_text
 
 # Fixed values of the rules' contract: white space, and the characters counted as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -102,26 +102,29 @@ def _repeated_words(words: Column, size: int) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
-    """The documents with every measure that a rule may name."""
-    t = whole_text(text)
+    """The documents with every measure that a rule may name.
+
+    Columns named like a measure are replaced, all others carried along.
+    """
+    whole, split, listed = unused(docs.columns, "whole", "words", "lines")
     # The words and lines are made in a projection of their own: each is used many times.
-    parts = docs.withColumn("__t", t).withColumns(
+    parts = docs.withColumn(whole, whole_text(text)).withColumns(
         {
-            "__words": F.array_remove(F.split("__t", SPACE), ""),
-            "__lines": F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            split: F.array_remove(F.split(whole, SPACE), ""),
+            listed: F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
-    words, lines = F.col("__words"), F.col("__lines")
+    words, lines = F.col(split), F.col(listed)
     counts = parts.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": F.regexp_count("__t", F.lit(SYMBOL)).cast("long"),
+            "n_symbols": F.regexp_count(whole, F.lit(SYMBOL)).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": _repeated_words(words, window).cast("long"),
-            "n_exclaims": F.regexp_count("__t", F.lit("!")).cast("long"),
-            "n_upper": F.regexp_count("__t", F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long"),
+            "n_exclaims": F.regexp_count(whole, F.lit("!")).cast("long"),
+            "n_upper": F.regexp_count(whole, F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long"),
             "n_stop_words": F.size(
                 F.filter(words, lambda w: w.isin(*_STOP_FORMS))
             ).cast("long"),
@@ -139,7 +142,7 @@ def measured(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
             "dup_line_share": F.col("n_dup_lines") / lines_n,
             "repeat_word_share": F.col("n_repeat_words") / n,
         }
-    ).drop("__t", "__words", "__lines")
+    ).drop(whole, split, listed)
 
 
 def broken(rules) -> Column:

@@ -262,7 +262,9 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str =
 
     Overlapping spans are cut as one. A null text stays null.
     """
-    kept = docs.drop("scope", "spans", "strong", "linked")
+    # Under names of their own the columns cannot clash with those made here.
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    columns, text = docs.columns, f"c{docs.columns.index(text)}"
     links = _links(stored(scan(kept.select(text), text).drop(text), "secret-spans"), reach)
     # Only texts with weak candidates meet the links; all others are cut where they are.
     scanned, weak = scan(kept, text), F.exists("spans", lambda x: x["weak"])
@@ -289,7 +291,7 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str =
                     at = s["end"]
                 texts.append("".join(out) + t[at:])
             names = [f.name for f in schema.fields]
-            columns = [pa.array(texts, pa.string()) if n == text else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            arrays = [pa.array(texts, pa.string()) if n == text else b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return found.mapInArrow(trimmed(cut), schema)
+    return found.mapInArrow(trimmed(cut), schema).toDF(*columns)

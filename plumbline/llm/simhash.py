@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.components import components
-from plumbline.llm.tables import stored, trimmed
+from plumbline.llm.tables import stored, trimmed, unused
 
 SHINGLE = 4
 BUDGET = 4
@@ -265,7 +265,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     Rows without a key come last. Rows of one key are told apart by fingerprint and then by place,
     so one row stays of each component whatever keys repeat or are absent, and no other goes.
     """
-    row = next(name for i in range(len(docs.columns) + 1) if (name := f"row_{i}") not in docs.columns)
+    (row,) = unused(docs.columns, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     found = near_duplicates(rows.select(row, text), text, row, size, budget)
     place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "fp", F.col(row).alias("row"))

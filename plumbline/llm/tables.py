@@ -64,6 +64,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Column names beginning like the stems that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"{stem}_{i}") not in taken) for stem in stems]
+
+
 def crc_class(column: str, modulus: int) -> Column:
     """crc32 of a column's text form, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
