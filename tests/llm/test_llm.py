@@ -1,6 +1,7 @@
 """Each operation on small tables: plain versions, and nulls, empty texts, ties and repeats."""
 
 import base64
+import math
 import re
 
 import numpy as np
@@ -65,6 +66,22 @@ def test_topk_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_ranks_scores_beyond_64_bits(spark):
+    big = [1e9, -1e9, 1e30, -1e30, 3e14, 0.5, -0.25, 2.0**40 + 0.3]
+    rows = [(i, [big[i % 8], big[(i * 3) % 8]]) for i in range(24)] + [(30, [1e308, 0.0]), (31, [7.0] * 3)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, w string, row int")
+    got = topk.search(df, F.col("vec_id") % 7 == 0, block=5, query_block=3).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i != 30}
+    want = []
+    for q in [i for i in whole if i % 7 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    numbers = [10**40, 99, 100, 5, 0, -1, -9, -10, -(10**40), -(10**40) - 1]
+    assert sorted(numbers, key=topk.ranked) == sorted(numbers)
+    assert topk.search(df.limit(0), F.lit(True)).collect() == []
+
+
 def test_byte_bpe_equals_the_library_and_round_trips(docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
