@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.tables import stored
+from plumbline.llm.tables import stored, stored_by
 
 SHINGLE = 8
 ROWS = 3
@@ -93,10 +93,10 @@ def band_members(distinct: DataFrame) -> DataFrame:
     return stored(listed.join(shared, "band"), "band-members")
 
 
-def _near(pairs: DataFrame, distinct: DataFrame, similarity: float, size: int) -> DataFrame:
+def _near(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (rep, id) of lines that are similar, by the sets of all their shingles."""
-    left = distinct.select(F.col("id").alias("rep"), F.col("line").alias("a"))
-    right = distinct.select("id", F.col("line").alias("b"))
+    left = texts.select(F.col("id").alias("rep"), F.col("line").alias("a"))
+    right = texts.select("id", F.col("line").alias("b"))
     sets = (
         pairs.join(left, "rep")
         .join(right, "id")
@@ -111,6 +111,13 @@ def _near(pairs: DataFrame, distinct: DataFrame, similarity: float, size: int) -
 def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
     """(node, root) of the distinct lines (id, line, bands) that are similar to others."""
     members = band_members(distinct)
+    # Candidates only, and stored by id, so that no round shuffles them.
+    texts = stored_by(
+        distinct.join(members.select("id").distinct(), "id", "left_semi").select("id", "line"),
+        "candidate-lines",
+        "id",
+        int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
     groups = members.withColumn("root", F.col("id"))
     roots = tested = met = None
     parts = 0
@@ -137,7 +144,7 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
             asked = asked.join(tested, ["rep", "id"], "left_anti")
         pairs = stored(asked, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(_near(pairs, distinct, similarity, size), "near-lines")
+        near = stored(_near(pairs, texts, similarity, size), "near-lines")
         edges = near.select(F.col("rep").alias("a"), F.col("id").alias("b"))
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
