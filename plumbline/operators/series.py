@@ -203,8 +203,8 @@ def screen_points(series: DataFrame, **options) -> DataFrame:
 
 
 def non_numeric_points(series: DataFrame) -> DataFrame:
-    """Points whose value is missing or not a number. No shuffle."""
-    return series.where("value IS NULL").select(
+    """Points of a KPI whose value is missing or not a number. No shuffle."""
+    return series.where("value IS NULL AND kpi_id IS NOT NULL").select(
         "kpi_id", "ord", "period", "value_raw", F.lit(V.NON_NUMERIC_NOTE).alias("note")
     )
 

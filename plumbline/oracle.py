@@ -691,6 +691,21 @@ choice AS (
   FROM sizes)"""
 
 
+def _anomalies() -> str:
+    return (
+        _with(MESSY, SCREEN)
+        + f"""SELECT kpi_id, ord, 1 AS kind_order, 'NonNumeric' AS type, period, value_raw,
+  NULL::DOUBLE AS value, NULL::DOUBLE AS z_score, NULL::VARCHAR AS from_period,
+  NULL::VARCHAR AS to_period, NULL::DOUBLE AS from_value, NULL::DOUBLE AS to_value,
+  NULL::DOUBLE AS pct_change, {q(V.NON_NUMERIC_NOTE)} AS note
+FROM s WHERE value IS NULL
+UNION ALL SELECT kpi_id, ord, 2, 'Outlier', period, NULL, value, round_even(z, 2), NULL, NULL,
+  NULL, NULL, NULL, {q(V.OUTLIER_NOTE)} FROM scr WHERE is_outlier
+UNION ALL SELECT kpi_id, ord, 3, 'StepChange', NULL, NULL, NULL, NULL, from_period, period,
+  from_value, value, round_even(change * 100, 1), {q(V.STEP_CHANGE_NOTE)} FROM scr WHERE is_step"""
+    )
+
+
 def statements() -> dict[str, str]:
     sample = ", ".join(f"({i}, {q(text)})" for i, text in enumerate(V.SAMPLE_COMMENTS, start=1))
     placeholder = ", ".join(
@@ -784,6 +799,13 @@ def statements() -> dict[str, str]:
         "summary_long": _summary_long(),
         "report_long": _report_long(),
         "criterion_prevalence": _prevalence(),
+        "batch_csv_sink": ASSESSED
+        + "SELECT name AS kpi_name, readiness_status, definition_status,"
+        " entity_risk_level AS entity_risk, anomalies_detected, governance_status,"
+        " design_status AS design_quality, standards_status AS industry_standards, blockers"
+        " FROM aligned",
+        "summary_csv_sink": _summary_long(),
+        "anomalies_json_sink": _anomalies(),
         "report_json_sink": ASSESSED + REPORT_FIELDS,
         "latest_report_scan": ASSESSED + REPORT_FIELDS,
         "series_stats": _with(_quarter("l_partkey"))
@@ -807,16 +829,7 @@ def statements() -> dict[str, str]:
         + "SELECT kpi_id, ord, from_period, period AS to_period, from_value, value AS to_value,"
         " round(change, 6) AS change, round_even(change * 100, 1) AS pct_change,"
         f" {q(V.STEP_CHANGE_NOTE)} AS note FROM scr WHERE is_step",
-        "anomalies": _with(MESSY, SCREEN)
-        + f"""SELECT kpi_id, ord, 1 AS kind_order, 'NonNumeric' AS type, period, value_raw,
-  NULL::DOUBLE AS value, NULL::DOUBLE AS z_score, NULL::VARCHAR AS from_period,
-  NULL::VARCHAR AS to_period, NULL::DOUBLE AS from_value, NULL::DOUBLE AS to_value,
-  NULL::DOUBLE AS pct_change, {q(V.NON_NUMERIC_NOTE)} AS note
-FROM s WHERE value IS NULL
-UNION ALL SELECT kpi_id, ord, 2, 'Outlier', period, NULL, value, round_even(z, 2), NULL, NULL,
-  NULL, NULL, NULL, {q(V.OUTLIER_NOTE)} FROM scr WHERE is_outlier
-UNION ALL SELECT kpi_id, ord, 3, 'StepChange', NULL, NULL, NULL, NULL, from_period, period,
-  from_value, value, round_even(change * 100, 1), {q(V.STEP_CHANGE_NOTE)} FROM scr WHERE is_step""",
+        "anomalies": _anomalies(),
         "anomaly_rollup": _with(REG, MESSY, SCREEN, ROLLUP)
         + "SELECT kpi_id, n AS n_points, n_numeric, non_numeric AS non_numeric_count,"
         " coalesce(outliers, 0) AS outlier_count, coalesce(steps, 0) AS step_change_count,"

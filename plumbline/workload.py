@@ -250,6 +250,36 @@ def report_json_sink(spark, sf_dir):
     return _report_fields(spark.read.schema(schema).json(path))
 
 
+def _read_back(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """A CSV folder with a header as rows of the given layout, by position; empty cells are empty."""
+    reader = spark.read.option("escape", '"').option("header", True).option("nullValue", "\0")
+    return reader.schema(rows.schema).csv(path)
+
+
+@query
+def batch_csv_sink(spark, sf_dir):
+    """The batch summary written under its published header, and read back."""
+    path, assessed = scratch_path(spark, "batch.csv"), _assessed(spark, sf_dir)
+    report_source.write_batch_csv(assessed, path)
+    return _read_back(spark, path, R.batch_summary(assessed).drop("kpi_id"))
+
+
+@query
+def summary_csv_sink(spark, sf_dir):
+    """The executive summaries written as lines, and read back."""
+    path, assessed = scratch_path(spark, "summary.csv"), _assessed(spark, sf_dir)
+    report_source.write_summary_csv(assessed, path)
+    return _read_back(spark, path, R.summary_long(assessed))
+
+
+@query
+def anomalies_json_sink(spark, sf_dir):
+    """The anomalies written beside the reports, and read back."""
+    path, found = scratch_path(spark, "anomalies.json"), S.anomalies(B.messy_quarter_series(spark, sf_dir))
+    report_source.write_anomalies_json(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
 def _report_fields(reports: DataFrame) -> DataFrame:
     steps = F.col("steps")
     return reports.select(

@@ -97,7 +97,7 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-WRITES = {"scan_", "report_json_sink", "latest_report_scan"}
+WRITES = {"scan_", "report_json_sink", "latest_report_scan", "batch_csv_sink", "summary_csv_sink", "anomalies_json_sink"}
 
 
 @pytest.mark.parametrize(
