@@ -77,8 +77,8 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-#: Log probability of one character of an unknown word.
-UNSEEN = math.log(1e-3)
+#: Log probability of one more character of an unknown word.
+LETTER = math.log(1 / 10)
 #: A natural logarithm in a sum of whole numbers, so that no order of adding changes a score.
 UNIT = 2**40
 
@@ -95,12 +95,17 @@ class Model(NamedTuple):
     prior: float
 
 
-def segment(name: str, words: dict) -> list[str]:
+def unknown(total: int) -> float:
+    """Log probability of an unknown word but for its length: that of ten of all occurrences."""
+    return math.log(10 / max(100, total))
+
+
+def segment(name: str, words: dict, opening: float) -> list[str]:
     """The most likely split of a name into words (Viterbi over unigrams).
 
     ``words`` has the log probability of every word that stands in the name. A piece that is no
-    word costs a flat amount a character and one more for itself, so one long unknown piece beats
-    many short ones. Ties go to the longest last word.
+    word costs ``opening`` and a flat amount a character, so the shorter an unknown word the
+    likelier, and one long unknown piece beats many short ones. Ties go to the longest last word.
     """
     n, sizes = len(name), sorted({len(w) for w in words}, reverse=True)
     best, cut = [0.0] + [-math.inf] * n, [0] * (n + 1)
@@ -108,9 +113,9 @@ def segment(name: str, words: dict) -> list[str]:
     start = [0] * (n + 1)
     for end in range(1, n + 1):
         # An unknown piece goes on from the character before, or starts here.
-        fresh = best[end - 1] + 2 * UNSEEN
-        if end > 1 and run[end - 1] + UNSEEN >= fresh:
-            run[end], start[end] = run[end - 1] + UNSEEN, start[end - 1]
+        fresh = best[end - 1] + opening + LETTER
+        if end > 1 and run[end - 1] + LETTER >= fresh:
+            run[end], start[end] = run[end - 1] + LETTER, start[end - 1]
         else:
             run[end], start[end] = fresh, end - 1
         best[end], cut[end] = run[end], start[end]
@@ -171,7 +176,7 @@ def segmented(hosts: DataFrame, counts: DataFrame, total: int, seeds, extra_word
                 for w in seeds:
                     if w in label:
                         known[w] = known.get(w, 0) + extra_words
-                rows.append(segment(label, {w: math.log(n / total) for w, n in known.items() if n}))
+                rows.append(segment(label, {w: math.log(n / total) for w, n in known.items() if n}, unknown(total)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array(rows, pa.list_(pa.string()))], ["label", "words"]
             )
@@ -196,7 +201,7 @@ def word_counts(pages: DataFrame, url: str = "url", html: str | None = "html") -
     """(word, n): how often each word stands in the pages' texts and paths, all pages counted."""
     texts = [F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://[^/?#]*([^?#]*)", 1)]
     if html and html in pages.columns:
-        no_code = r"(?s)<(script|style)\b.*?</\1>|<[^>]*>|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+        no_code = r"(?s)<(script|style)\b.*?</\1>|<[^>]*>|&#?[A-Za-z0-9]+;|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
         texts.append(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), no_code, " "))
     words = F.split(F.lower(F.concat_ws(" ", *texts)), "[^a-z]+")
     return (

@@ -81,10 +81,11 @@ def test_segmentation_finds_the_best_of_all_splits():
     for _ in range(60):
         words = {"".join(pick.choice("ab") for _ in range(pick.randint(2, 4))): -pick.uniform(1, 12) for _ in range(5)}
         name = "".join(pick.choice("abc") for _ in range(pick.randint(1, 9)))
-        cost = lambda parts: sum(words.get(p, urls.UNSEEN * (len(p) + 1)) for p in parts)
+        other = lambda p: -5.0 + urls.LETTER * len(p)
+        cost = lambda parts: sum(words.get(p, other(p)) for p in parts)
         # A piece that is a word may also be taken for none.
-        value = lambda parts: sum(max(words.get(p, -math.inf), urls.UNSEEN * (len(p) + 1)) for p in parts)
-        found = urls.segment(name, words)
+        value = lambda parts: sum(max(words.get(p, -math.inf), other(p)) for p in parts)
+        found = urls.segment(name, words, -5.0)
         assert "".join(found) == name
         assert math.isclose(value(found), max(map(value, every(name)))) and cost(found) <= value(found) + 1e-9
 
