@@ -17,13 +17,14 @@ and ids give a row each; a null doc_id takes part, and a component of such rows
 """
 
 import math
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,27 +213,56 @@ def forest(first: np.ndarray, second: np.ndarray | None, depth: int, diff: int,
     return keys[other], keys[labels[other]]
 
 
-def links(fps: DataFrame, budget: int = BUDGET, subtree: int = 1 << 20, least_depth: int = 4) -> DataFrame:
+def _masks(bits: int, budget: int) -> Column:
+    """All ways for two prefixes of ``bits`` bits to differ within the budget."""
+    masks = [
+        sum(1 << k for k in chosen)
+        for m in range(min(budget, bits) + 1)
+        for chosen in combinations(range(bits), m)
+    ]
+    return F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
+
+
+def links(
+    fps: DataFrame, budget: int = BUDGET, subtree: int = 1 << 20, least_depth: int = 4, step: int = 4
+) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints of ``fps`` linked to one another.
 
     ``subtree`` is how many fingerprints a node of the top levels should hold about; a task holds
-    two such nodes.
+    two nodes of at most twice as many. The top levels end at the depth that the number of all
+    fingerprints asks for; only pairs with a node that holds more go on, ``step`` bits at a time.
     """
     n = fps.count()
     depth = min(20, max(least_depth, math.ceil(math.log2(max(1, n / subtree)))))
-    # All ways for two prefixes to differ within the budget: how often a fingerprint is sent.
-    masks = [
-        sum(1 << k for k in bits)
-        for m in range(min(budget, depth) + 1)
-        for bits in combinations(range(depth), m)
-    ]
-    node = F.shiftrightunsigned("fp", 64 - depth)
-    sent = fps.select("fp", node.alias("node"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    other = F.col("node").bitwiseXOR(F.col("mask").cast("long"))
-    pairs = sent.select("fp", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"))
+    # A fingerprint is sent to every pair of nodes within the budget that its node is part of: a
+    # mask says in which bits the other node differs.
+    rows, parts = fps.select("fp", _masks(depth, budget).alias("mask")), []
+    while True:
+        node = F.shiftrightunsigned("fp", 64 - depth)
+        sent = rows.select("fp", "mask", node.alias("node"), node.bitwiseXOR(F.col("mask")).alias("other"))
+        heavy = stored(
+            fps.groupBy(node.alias("node")).count().where(F.col("count") > 2 * subtree).select("node"), "heavy-nodes"
+        )
+        if depth + step > 60 or heavy.isEmpty():
+            parts.append(sent.withColumn("depth", F.lit(depth)))
+            break
+        own, far = heavy.withColumn("own", F.lit(True)), heavy.select(F.col("node").alias("other"), F.lit(True).alias("far"))
+        marked = sent.join(own, "node", "left").join(far, "other", "left")
+        deeper = F.coalesce("own", "far", F.lit(False))
+        parts.append(marked.where(~deeper).select("fp", "mask", "node", "other", F.lit(depth).alias("depth")))
+        further = marked.where(deeper).select("fp", F.col("mask").alias("above"), _masks(step, budget).alias("below"))
+        rows = further.where(F.bit_count("above") + F.bit_count("below") <= budget).select(
+            "fp", F.shiftleft("above", step).bitwiseOR(F.col("below")).alias("mask")
+        )
+        depth += step
+        # Below a heavy node few of the nodes that a mask names are there.
+        there = fps.select(F.shiftrightunsigned("fp", 64 - depth).alias("there")).distinct()
+        named = F.shiftrightunsigned("fp", 64 - depth).bitwiseXOR(F.col("mask"))
+        rows = stored(rows.withColumn("there", named).join(there, "there", "left_semi").drop("there"), "deeper-pairs")
+    pairs = [p.select("depth", "fp", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high")) for p in parts]
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows.low.iloc[0]), int(rows.high.iloc[0])
+        depth, low, high = int(rows.depth.iloc[0]), int(rows.low.iloc[0]), int(rows.high.iloc[0])
         keys = np.unique(rows.fp.to_numpy().view(np.uint64))
         side = keys >> np.uint64(64 - depth)
         first = keys[side == low]
@@ -240,7 +270,8 @@ def links(fps: DataFrame, budget: int = BUDGET, subtree: int = 1 << 20, least_de
         x, y = forest(first, second, depth, (low ^ high).bit_count(), budget)
         return pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
 
-    return pairs.groupBy("low", "high").applyInPandas(joined, "a long, b long")
+    every = reduce(DataFrame.unionByName, pairs)
+    return every.groupBy("depth", "low", "high").applyInPandas(joined, "a long, b long")
 
 
 def near_duplicates(

@@ -134,12 +134,15 @@ def test_packing_takes_empty_tables_and_null_texts(spark, docs):
     assert all(len(r.ids) == 4 * r.length <= 32 for r in rows)
 
 
-def test_simhash_components_equal_brute_force(spark):
+@pytest.mark.parametrize("hot, subtree", [(False, 1 << 20), (True, 5)])
+def test_simhash_components_equal_brute_force(spark, hot, subtree):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
+    if hot:  # most fingerprints share their leading bits, so their node must be split
+        base[5:] = (base[5:] & 0xFFFFFFFF) | 0x5A5A5A5A << 32
     keys = [int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, n, replace=False))) for b in base for n in (0, 2, 5, 9)]
     df = spark.createDataFrame([(k,) for k in sorted(set(keys))], "fp long")
-    roots = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    roots = {r.node: r.root for r in components.components(simhash.links(df, subtree=subtree)).collect()}
     found = sorted(set(keys))
     parent = {k: k for k in found}
 
