@@ -28,8 +28,8 @@ Components beyond the shorter of two vectors count as zero. Every row counts as
 ids and rows too. A null id takes part; a component without any id has a null component. Columns
 other than the id and the vector are left out.
 
-Centres are fitted on at most ``SAMPLE`` vectors and there are at most ``MOST_CENTRES`` of them; all
-other work is on all vectors.
+Centres are fitted on at most ``SAMPLE`` vectors and there are at most ``MOST_CENTRES`` of them, both
+within ``MOST_BYTES``; all other work is on all vectors.
 """
 
 import math
@@ -48,6 +48,7 @@ THRESHOLD = 0.9
 SHARD = 4_096  # vectors of a shard, about
 SAMPLE = 20_000  # vectors that centres are fitted on
 MOST_CENTRES = 4_096
+MOST_BYTES = 1 << 26  # of the sample, and of the centres that every task has; fewer of either if vectors are long
 OVERLAP = 2  # shards that a vector is indexed in
 PROBES = 3  # nearest cells that a vector is looked up in
 BEAM = 48
@@ -387,8 +388,9 @@ def links(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, shard: int =
     if not n:
         return spark.createDataFrame([], "id long, n long"), spark.createDataFrame([], "a long, b long"), 1.0
     by_hash = nodes.select("id", "vec").orderBy(F.xxhash64("id"))
-    sample = matrix(by_hash.limit(SAMPLE).select("vec").toArrow()["vec"], dim)
-    k = min(MOST_CENTRES, len(sample), math.ceil(n / shard))
+    held = max(1, MOST_BYTES // (8 * dim))
+    sample = matrix(by_hash.limit(min(SAMPLE, held)).select("vec").toArrow()["vec"], dim)
+    k = min(MOST_CENTRES, held, len(sample), math.ceil(n / shard))
     cells = Cells(*centres(sample, k), threshold)
     probes, beam = min(probes, k), BEAM
 
