@@ -388,9 +388,9 @@ def links(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, shard: int =
     if not n:
         return spark.createDataFrame([], "id long, n long"), spark.createDataFrame([], "a long, b long"), 1.0
     by_hash = nodes.select("id", "vec").orderBy(F.xxhash64("id"))
-    held = max(1, MOST_BYTES // (8 * dim))
-    sample = matrix(by_hash.limit(min(SAMPLE, held)).select("vec").toArrow()["vec"], dim)
-    k = min(MOST_CENTRES, held, len(sample), math.ceil(n / shard))
+    most = max(1, MOST_BYTES // (8 * dim))
+    sample = matrix(by_hash.limit(min(SAMPLE, most)).select("vec").toArrow()["vec"], dim)
+    k = min(MOST_CENTRES, most, len(sample), math.ceil(n / shard))
     cells = Cells(*centres(sample, k), threshold)
     probes, beam = min(probes, k), BEAM
 
