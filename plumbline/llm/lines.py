@@ -7,7 +7,7 @@ ranges of the hash space, and each range's choice is one band. Two lines with si
 band with probability 1 - (1 - s^rows)^8, which is 0.997 at 0.8.
 
 Lines that share a band are candidates, verified by the exact Jaccard similarity of the sets of all
-their shingles. Within a band's group a representative meets all others, not every pair: what proves
+their shingles; pairs whose sets differ too much in size to be similar are left out before. Within a band's group a representative meets all others, not every pair: what proves
 similar is joined into a component by distributed union-find, and only groups that still hold several
 components go on, with eight times as many representatives a round, until every two lines of a group
 are in one component or have met. So no link among candidates is lost, and no pair is tested twice.
@@ -77,6 +77,13 @@ def bands(hashes: Column, rows: int = ROWS) -> Column:
     return _let(hashes, lambda s: _let(smallest(s), keys))
 
 
+def signature(line: str, size: int, rows: int) -> Column:
+    """How many shingles a line has, and its bands."""
+    return _let(
+        shingles(line, size), lambda s: F.struct(F.size(s).alias("size"), bands(s, rows).alias("bands"))
+    )
+
+
 def _lines(rows: DataFrame, *columns: str) -> DataFrame:
     """The columns with ``at`` and ``line``: every line that is not blank, with two hashes of it."""
     found = rows.select(*columns, F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -86,8 +93,8 @@ def _lines(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def band_members(distinct: DataFrame) -> DataFrame:
-    """(band, id) of every band that two or more different lines share."""
-    listed = distinct.select(F.explode("bands").alias("band"), "id")
+    """(band, id, size) of every band that two or more different lines share."""
+    listed = distinct.select(F.explode("bands").alias("band"), "id", "size")
     ends = listed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     shared = stored(ends.where("low < high").select("band"), "shared-bands")
     return stored(listed.join(shared, "band"), "band-members")
@@ -101,15 +108,13 @@ def _near(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> D
         pairs.join(left, "rep")
         .join(right, "id")
         .select("rep", "id", shingles("a", size).alias("x"), shingles("b", size).alias("y"))
-        # Sets of such different sizes cannot be similar enough.
-        .where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     )
     common = F.size(F.array_intersect("x", "y"))
     return sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("rep", "id")
 
 
 def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(node, root) of the distinct lines (id, line, bands) that are similar to others."""
+    """(node, root) of the distinct lines (id, line, size, bands) that are similar to others."""
     members = band_members(distinct)
     # Candidates only, and stored by id, so that no round shuffles them.
     texts = stored_by(
@@ -127,13 +132,17 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
         part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(max(1, parts)))
         fresh = groups if met is None else groups.join(met, ["band", "id"], "left_anti")
         chosen = stored(
-            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "root")).alias("r"))
-            .select("band", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root")),
+            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "root", "size")).alias("r"))
+            .select(
+                "band", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root"), F.col("r.size").alias("rep_size")
+            ),
             "representatives",
         )
         if chosen.isEmpty():
             break
-        asked = groups.join(chosen, "band").where("root <> rep_root").select("rep", "id")
+        # Sets of such different sizes cannot be similar enough, so these two have met as well.
+        fits = F.least("size", "rep_size") >= similarity * F.greatest("size", "rep_size")
+        asked = groups.join(chosen, "band").where(F.expr("root <> rep_root") & fits).select("rep", "id")
         if parts == 0:
             asked = asked.groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id")
         else:
@@ -152,7 +161,7 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
             roots = stored(components(edges), "line-roots")
         named = members if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left")
         root = F.col("id") if roots is None else F.coalesce("root", "id")
-        named = stored(named.select("band", "id", root.alias("root")), "named-members")
+        named = stored(named.select("band", "id", "size", root.alias("root")), "named-members")
         open_bands = (
             named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         )
@@ -173,10 +182,10 @@ def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int)
         .groupBy("line", "h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("line", "h1", "h2", "n", F.monotonically_increasing_id().alias("id"))
-        .withColumn("bands", bands(shingles("line", size), signature_rows)),
+        .withColumn("signed", signature("line", size, signature_rows)),
         "distinct-lines",
     )
-    roots = similar_lines(distinct.select("id", "line", "bands"), similarity, size)
+    roots = similar_lines(distinct.select("id", "line", "signed.*"), similarity, size)
     # Lines that stand once and are like no other need not be looked at again.
     lone = distinct.select("h1", "h2", "n", "id")
     heads = roots.select(F.col("root").alias("id")).distinct().withColumn("head", F.lit(True))
