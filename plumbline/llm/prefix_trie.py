@@ -333,7 +333,8 @@ def nodes(
     smallest = F.lit(paths.agg(F.min("conv")).first()[0]).cast("long")
 
     parents = groups.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("least").alias("above"))
-    parent = F.when(F.col("depth") == 1, smallest).otherwise(F.col("above")).alias("parent_conv_id")
+    # A parent that is in no group was proven to have one member, which is the node's as well.
+    parent = F.when(F.col("depth") == 1, smallest).otherwise(F.coalesce("above", "least")).alias("parent_conv_id")
     grouped = (
         groups.join(below, KEY)
         .join(children, KEY, "left")
@@ -353,7 +354,7 @@ def nodes(
         .alias("ends_sha256"),
     ]
     conv = F.col("conv").alias("conv_id")
-    heads = tops.join(parents, ["p1", "p2"], "left").select(conv, "depth", parent, *alone)
+    heads = tops.withColumn("least", F.col("conv")).join(parents, ["p1", "p2"], "left").select(conv, "depth", parent, *alone)
     tails = single.where("parent_single").select(conv, "depth", F.col("conv").alias("parent_conv_id"), *alone)
     return tails.unionByName(heads).unionByName(grouped).unionByName(root).select(*COLUMNS)
 
