@@ -36,18 +36,16 @@ def _let(value: Column, body) -> Column:
 
 
 def shingles(line: str | Column, size: int = SHINGLE) -> Column:
-    """Hashes of all distinct shingles of ``size`` characters, in order."""
+    """Hashes of all distinct shingles of ``size`` characters, in any order."""
     # Four bytes a character: a shingle is cut out by its place, however long the line.
     wide = F.encode(line, "UTF-32")
 
     def hashed(b):
         last = F.floor(F.octet_length(b) / 4).cast("int") - size
-        return F.sort_array(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                    lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * size))),
-                )
+        return F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * size))),
             )
         )
 
@@ -55,8 +53,14 @@ def shingles(line: str | Column, size: int = SHINGLE) -> Column:
 
 
 def bands(hashes: Column, rows: int = ROWS) -> Column:
-    """Keys of the bands that a line has: a hash of the smallest ``rows`` of each range."""
+    """Keys of the bands that a line has: a hash of the smallest ``rows`` of each range.
+
+    Of many hashes only the low ones of each range are sorted. If they hold ``rows`` of every range,
+    these are the smallest of all; if not, all are sorted.
+    """
     bucket = lambda x: F.shiftright(x, 64 - RANGE_BITS)
+    ranges = 1 << RANGE_BITS
+    enough = 4 * rows * ranges
 
     def smallest(s):
         return F.filter(
@@ -64,6 +68,14 @@ def bands(hashes: Column, rows: int = ROWS) -> Column:
             lambda x, i: F.coalesce(bucket(x) != bucket(F.get(s, i - rows)), F.lit(True)),
         )
 
+    def of_all(s):
+        return _let(F.sort_array(s), smallest)
+
+    def of_low(s):
+        limit = F.shiftleft(F.floor(F.lit(enough << 30) / F.size(s)).cast("long"), 64 - RANGE_BITS - 30)
+        low = _let(limit, lambda t: F.filter(s, lambda x: x.bitwiseAND(F.lit((1 << (64 - RANGE_BITS)) - 1)) < t))
+        return _let(of_all(low), lambda c: F.when(F.size(c) == rows * ranges, c).otherwise(of_all(s)))
+
     def keys(chosen):
         def key(x, i):
             # The last of a range takes those before it in the range along.
@@ -74,7 +86,8 @@ def bands(hashes: Column, rows: int = ROWS) -> Column:
 
         return F.array_compact(F.transform(chosen, key))
 
-    return _let(hashes, lambda s: _let(smallest(s), keys))
+    chosen = _let(hashes, lambda s: F.when(F.size(s) > enough, of_low(s)).otherwise(of_all(s)))
+    return _let(chosen, keys)
 
 
 def signature(line: str, size: int, rows: int) -> Column:
@@ -93,8 +106,8 @@ def _lines(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def band_members(distinct: DataFrame) -> DataFrame:
-    """(band, id, size) of every band that two or more different lines share."""
-    listed = distinct.select(F.explode("bands").alias("band"), "id", "size")
+    """(band, id, size, order) of every band that two or more different lines share."""
+    listed = distinct.select(F.explode("bands").alias("band"), "id", "size", (-F.col("n")).alias("order"))
     ends = listed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     shared = stored(ends.where("low < high").select("band"), "shared-bands")
     return stored(listed.join(shared, "band"), "band-members")
@@ -104,17 +117,17 @@ def _near(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> D
     """The pairs (rep, id) of lines that are similar, by the sets of all their shingles."""
     left = texts.select(F.col("id").alias("rep"), F.col("line").alias("a"))
     right = texts.select("id", F.col("line").alias("b"))
-    sets = (
-        pairs.join(left, "rep")
-        .join(right, "id")
-        .select("rep", "id", shingles("a", size).alias("x"), shingles("b", size).alias("y"))
+    # Both sets are named inside the condition: a filter pushed to the join would make them at each use.
+    enough = lambda x, y: lambda n: n >= similarity * (F.size(x) + F.size(y) - n)
+    similar = _let(
+        shingles("a", size),
+        lambda x: _let(shingles("b", size), lambda y: _let(F.size(F.array_intersect(x, y)), enough(x, y))),
     )
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("rep", "id")
+    return pairs.join(left, "rep").join(right, "id").where(similar).select("rep", "id")
 
 
 def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(node, root) of the distinct lines (id, line, size, bands) that are similar to others."""
+    """(node, root) of the distinct lines (id, line, n, size, bands) that are similar to others."""
     members = band_members(distinct)
     # Candidates only, and stored by id, so that no round shuffles them.
     texts = stored_by(
@@ -127,12 +140,13 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
     roots = tested = met = None
     parts = 0
     while True:
-        # A representative for each part of a group; parts are made by hash. Before that, each line
-        # meets one representative only: most groups are settled by it.
+        # A representative for each part of a group, the line that stands most often: others are like it
+        # rather than like each other. Parts are made by hash. Before that, each line meets one
+        # representative only: most groups are settled by it.
         part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(max(1, parts)))
         fresh = groups if met is None else groups.join(met, ["band", "id"], "left_anti")
         chosen = stored(
-            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "root", "size")).alias("r"))
+            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("order", "id", "root", "size")).alias("r"))
             .select(
                 "band", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root"), F.col("r.size").alias("rep_size")
             ),
@@ -161,7 +175,7 @@ def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFram
             roots = stored(components(edges), "line-roots")
         named = members if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left")
         root = F.col("id") if roots is None else F.coalesce("root", "id")
-        named = stored(named.select("band", "id", "size", root.alias("root")), "named-members")
+        named = stored(named.select("band", "id", "size", "order", root.alias("root")), "named-members")
         open_bands = (
             named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         )
@@ -185,7 +199,7 @@ def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int)
         .withColumn("signed", signature("line", size, signature_rows)),
         "distinct-lines",
     )
-    roots = similar_lines(distinct.select("id", "line", "signed.*"), similarity, size)
+    roots = similar_lines(distinct.select("id", "line", "n", "signed.*"), similarity, size)
     # Lines that stand once and are like no other need not be looked at again.
     lone = distinct.select("h1", "h2", "n", "id")
     heads = roots.select(F.col("root").alias("id")).distinct().withColumn("head", F.lit(True))

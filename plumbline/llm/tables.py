@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import scratch_path
 
+CODEC = "zstd"  # of stored tables: less disk for texts than by Spark's default
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost later costs nothing, and rows are in the same files for every reader.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -34,7 +36,7 @@ def stored_by(df: DataFrame, name: str, column: str, parts: int) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     table = f"{name}_{path.split('/')[-2]}".replace("-", "_")
-    df.write.bucketBy(parts, column).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(parts, column).option("path", path).option("compression", CODEC).format("parquet").saveAsTable(table)
     return df.sparkSession.table(table)
 
 
