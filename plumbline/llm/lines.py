@@ -7,10 +7,19 @@ ranges of the hash space, and each range's choice is one band. Two lines with si
 band with probability 1 - (1 - s^rows)^8, which is 0.997 at 0.8.
 
 Lines that share a band are candidates, verified by the exact Jaccard similarity of the sets of all
-their shingles; pairs whose sets differ too much in size to be similar are left out before. Within a band's group a representative meets all others, not every pair: what proves
-similar is joined into a component by distributed union-find, and only groups that still hold several
-components go on, with eight times as many representatives a round, until every two lines of a group
-are in one component or have met. So no link among candidates is lost, and no pair is tested twice.
+their shingles; pairs whose sets differ too much in size to be similar are left out before. Within a
+group a representative meets others, not every pair: what proves similar is joined into a component by
+distributed union-find, and only groups that still hold several components go on. Of few lines all pairs
+meet. In a larger group all meet one representative. Two lines of which one is unlike it are similar only if
+
+* all they have in common is in the representative, so each has that much in common with it; or
+* they share a fresh shingle, which the representative lacks. A line of n shingles lacks at most 0.2 n of a
+  similar one's, so in the order fresh shingles first, and each kind by hash, their first common shingle
+  is among the first 0.2 n + 1. What can follow in both, and what each shares with the representative,
+  bounds what they have in common.
+
+Pairs that pass such a bound meet. So no link among candidates is lost, and lines that share a passage
+without being similar need not all meet.
 
 Of each component one line stays, its first occurrence by document id (null last), then by place in
 the table and position. Every row of the input has a row in the result. A null text has no lines;
@@ -29,6 +38,7 @@ SHINGLE = 8
 ROWS = 3
 SIMILARITY = 0.8
 RANGE_BITS = 3  # eight bands
+ALL_PAIRS = 8  # lines of a group whose pairs all meet
 
 
 def _let(value: Column, body) -> Column:
@@ -44,8 +54,8 @@ def shingles(line: str | Column, size: int = SHINGLE) -> Column:
         last = F.floor(F.octet_length(b) / 4).cast("int") - size
         return F.array_distinct(
             F.transform(
-                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * size))),
+                F.sequence(F.lit(1), F.greatest(last, F.lit(0)) * 4 + 1, F.lit(4)),
+                lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * size))),
             )
         )
 
@@ -113,77 +123,169 @@ def band_members(distinct: DataFrame) -> DataFrame:
     return stored(listed.join(shared, "band"), "band-members")
 
 
+def _enough(shared, left, right, similarity: float) -> Column:
+    """Whether sets of two sizes with so many common shingles are similar."""
+    return shared >= similarity * (left + right - shared)
+
+
+def _with_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (rep, id) with their lines ``a`` and ``b``."""
+    left = texts.select(F.col("id").alias("rep"), F.col("line").alias("a"))
+    return pairs.join(left, "rep").join(texts.select("id", F.col("line").alias("b")), "id")
+
+
 def _near(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (rep, id) of lines that are similar, by the sets of all their shingles."""
-    left = texts.select(F.col("id").alias("rep"), F.col("line").alias("a"))
-    right = texts.select("id", F.col("line").alias("b"))
     # Both sets are named inside the condition: a filter pushed to the join would make them at each use.
-    enough = lambda x, y: lambda n: n >= similarity * (F.size(x) + F.size(y) - n)
+    enough = lambda x, y: lambda n: _enough(n, F.size(x), F.size(y), similarity)
     similar = _let(
         shingles("a", size),
         lambda x: _let(shingles("b", size), lambda y: _let(F.size(F.array_intersect(x, y)), enough(x, y))),
     )
-    return pairs.join(left, "rep").join(right, "id").where(similar).select("rep", "id")
+    return _with_lines(pairs, texts).where(similar).select("rep", "id")
+
+
+def _against(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Pairs (rep, id, ...) with ``shared``, the number of common shingles, and ``fresh``.
+
+    ``fresh`` has the first of the line's shingles that its representative lacks, in the order of hashes:
+    as many as the line can lack of a line similar to it, and one more.
+    """
+    spare = lambda y: F.size(y) - F.ceil(similarity * F.size(y) - F.lit(1e-6)).cast("int") + 1
+    told = _let(
+        shingles("a", size),
+        lambda x: _let(
+            shingles("b", size),
+            lambda y: _let(
+                F.array_except(y, x),
+                lambda e: F.struct(
+                    (F.size(y) - F.size(e)).alias("shared"), F.slice(F.sort_array(e), 1, spare(y)).alias("fresh")
+                ),
+            ),
+        ),
+    )
+    return _with_lines(pairs, texts).withColumn("told", told).select(*pairs.columns, "told.*")
+
+
+def _bucket(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1))) * 32).cast("int")
+
+
+def _within(against: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) about one representative that may be similar by what each shares with it.
+
+    For lines of which one is unlike the representative and that share none of their fresh shingles: all
+    that they have in common is in the representative, so neither has less in common with that.
+    """
+    most = F.col("shared") * ((1 + similarity) / similarity) - F.col("size")  # size of the other line
+    sizes = F.sequence(_bucket(F.floor(similarity * F.col("size")) - 1), _bucket(F.ceil(most) + 1))
+    unlike = (
+        against.where(~_enough(F.col("shared"), F.col("size"), F.col("rep_size"), similarity))
+        .where(most >= similarity * F.col("size") - 1)
+        .select("rep", F.explode(sizes).alias("bucket"), *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "shared")])
+    )
+    others = against.select("rep", _bucket(F.col("size")).alias("bucket"), "id", "root", "size", "shared")
+    may = (
+        F.expr("id <> id_x AND root <> root_x")
+        & (F.least("size", "size_x") >= similarity * F.greatest("size", "size_x"))
+        & _enough(F.least("shared", "shared_x"), F.col("size"), F.col("size_x"), similarity)
+    )
+    return unlike.join(others, ["rep", "bucket"]).where(may).select(F.col("id_x").alias("a"), F.col("id").alias("b"))
+
+
+def _sharing(against: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) about one representative that may be similar, by a fresh shingle that both have.
+
+    What they have in common of the representative is at most what one of them has, and of fresh shingles
+    at most what follows in both on the first that they share.
+    """
+    fresh = against.select("rep", "id", "root", "size", "shared", F.posexplode("fresh").alias("at", "shingle"))
+    ends = fresh.groupBy("rep", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    fresh = stored(fresh.join(ends.where("low < high").select("rep", "shingle"), ["rep", "shingle"]), "fresh-shingles")
+    other = fresh.select("rep", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "shared", "at")])
+    most = F.expr("least(shared, shared_x) + least(size - shared - at, size_x - shared_x - at_x)")
+    may = F.expr("id < id_x AND root <> root_x") & _enough(most, F.col("size"), F.col("size_x"), similarity)
+    return fresh.join(other, ["rep", "shingle"]).where(may).select(F.col("id").alias("a"), F.col("id_x").alias("b"))
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """The groups (group, id, root, ...) that hold several components, ``small`` if all pairs are few."""
+    ends = groups.groupBy("group").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), (F.count(F.lit(1)) <= ALL_PAIRS).alias("small")
+    )
+    return groups.join(ends.where("low < high").select("group", "small"), "group")
+
+
+def _chosen(groups: DataFrame) -> DataFrame:
+    """A representative of each group: the line that stands most often, as others are like it."""
+    first = F.min(F.struct("order", "id", "root", "size")).alias("r")
+    return groups.groupBy("group").agg(first).select(
+        "group", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root"), F.col("r.size").alias("rep_size")
+    )
 
 
 def similar_lines(distinct: DataFrame, similarity: float, size: int) -> DataFrame:
     """(node, root) of the distinct lines (id, line, n, size, bands) that are similar to others."""
-    members = band_members(distinct)
+    members = band_members(distinct).withColumnRenamed("band", "group")
+    lines = stored(members.select("id", "size", "order").distinct(), "candidates")
     # Candidates only, and stored by id, so that no round shuffles them.
     texts = stored_by(
-        distinct.join(members.select("id").distinct(), "id", "left_semi").select("id", "line"),
+        distinct.join(lines, "id", "left_semi").select("id", "line"),
         "candidate-lines",
         "id",
         int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     )
-    groups = members.withColumn("root", F.col("id"))
-    roots = tested = met = None
-    parts = 0
-    while True:
-        # A representative for each part of a group, the line that stands most often: others are like it
-        # rather than like each other. Parts are made by hash. Before that, each line meets one
-        # representative only: most groups are settled by it.
-        part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(max(1, parts)))
-        fresh = groups if met is None else groups.join(met, ["band", "id"], "left_anti")
-        chosen = stored(
-            fresh.groupBy("band", part.alias("part")).agg(F.min(F.struct("order", "id", "root", "size")).alias("r"))
-            .select(
-                "band", F.col("r.id").alias("rep"), F.col("r.root").alias("rep_root"), F.col("r.size").alias("rep_size")
-            ),
-            "representatives",
-        )
-        if chosen.isEmpty():
-            break
-        # Sets of such different sizes cannot be similar enough, so these two have met as well.
-        fits = F.least("size", "rep_size") >= similarity * F.greatest("size", "rep_size")
-        asked = groups.join(chosen, "band").where(F.expr("root <> rep_root") & fits).select("rep", "id")
-        if parts == 0:
-            asked = asked.groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id")
-        else:
-            asked = asked.distinct()
-            now = chosen.select("band", F.col("rep").alias("id"))
-            met = now if met is None else met.unionByName(now)
+    found = {"roots": None, "tested": None}
+
+    def linked(edges: DataFrame) -> None:
+        """Joins the components by further links (rep, id)."""
+        if edges.isEmpty():
+            return
+        edges = edges.select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        if found["roots"] is not None:
+            edges = edges.unionByName(found["roots"].select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found["roots"] = stored(components(edges), "line-roots")
+
+    def named(rows: DataFrame) -> DataFrame:
+        """The rows with the component's ``root`` of their ``id``."""
+        if found["roots"] is None:
+            return rows.withColumn("root", F.col("id"))
+        roots = found["roots"].withColumnRenamed("node", "id")
+        return rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def meet(pairs: DataFrame) -> None:
+        """Tests pairs (a, b) that have not met yet, and joins the components of the similar ones."""
+        asked = pairs.select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("id")).distinct()
+        tested = found["tested"]
         if tested is not None:
             asked = asked.join(tested, ["rep", "id"], "left_anti")
-        pairs = stored(asked, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(_near(pairs, texts, similarity, size), "near-lines")
-        edges = near.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        if roots is not None:
-            edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if not near.isEmpty():
-            roots = stored(components(edges), "line-roots")
-        named = members if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        root = F.col("id") if roots is None else F.coalesce("root", "id")
-        named = stored(named.select("band", "id", "size", "order", root.alias("root")), "named-members")
-        open_bands = (
-            named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        )
-        groups = stored(named.join(open_bands.select("band"), "band"), "open-members")
-        parts = max(1, parts * 8)
-    if roots is None:
+        asked = stored(asked, "pairs")
+        found["tested"] = asked if tested is None else tested.unionByName(asked)
+        linked(stored(_near(asked, texts, similarity, size), "near-lines"))
+
+    # Sets of such different sizes cannot be similar enough, so these two need not meet.
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    # First each line meets one representative only: most groups are settled by it.
+    met = members.join(_chosen(members.withColumn("root", F.col("id"))), "group")
+    met = met.where(F.expr("id <> rep") & fits("size", "rep_size")).groupBy("id").agg(F.min("rep").alias("rep"))
+    meet(met.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    groups = stored(_open(named(members)), "open-groups")
+    small = groups.where("small").select("group", "id", "size", "root")
+    other = small.select("group", *[F.col(c).alias(f"{c}_x") for c in ("id", "size", "root")])
+    both = small.join(other, "group").where(F.expr("id < id_x AND root <> root_x") & fits("size", "size_x"))
+    meet(both.select(F.col("id").alias("a"), F.col("id_x").alias("b")))
+    # Groups of one representative are one from here on.
+    large = groups.where("NOT small").drop("small")
+    about = large.join(_chosen(large), "group").where("id <> rep")
+    about = about.select("rep", "rep_size", "id", "size").distinct()
+    against = stored(_against(about, texts, similarity, size), "against")
+    like = _enough(F.col("shared"), F.col("size"), F.col("rep_size"), similarity)
+    linked(against.where(like).select("rep", "id"))
+    meet(_within(named(against.drop("fresh")), similarity))
+    meet(_sharing(named(against), similarity))
+    if found["roots"] is None:
         return distinct.select(F.col("id").alias("node"), F.col("id").alias("root")).where(F.lit(False))
-    return roots
+    return found["roots"]
 
 
 def repeats(rows: DataFrame, similarity: float, size: int, signature_rows: int) -> DataFrame:

@@ -160,3 +160,26 @@ def test_the_line_that_stands_most_often_settles_its_variants(spark, word, monke
     got = found(lines.removed_lines(spark.createDataFrame(rows, SCHEMA)))
     assert sum(len(r[2]) for r in got) == 64
     assert sum(asked) <= 2 * 60
+
+
+def test_few_lines_of_a_hot_group_meet(spark, word, monkeypatch):
+    """Lines with a common passage, and far variants of one line: links are found without all pairs."""
+    pick, asked = random.Random(9), []
+    stored = lines.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("pairs", "against"):
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    common, base = " ".join(word() for _ in range(14)), " ".join(word() for _ in range(40))
+    texts = [common + " " + " ".join(word() for _ in range(9)) for _ in range(150)]
+    texts += [edited(pick, base, 0.84, 0.95) for _ in range(60)]
+    far = [edited(pick, edited(pick, base, 0.7, 0.75), 0.7, 0.9) for _ in range(60)]
+    texts += [base] + far + [t + "." for t in texts[:150:10] + far[::5]]
+    rows = list(enumerate(texts)) + [(1000, base)]
+    got = {r[0]: r[2] for r in found(lines.removed_lines(spark.createDataFrame(rows, SCHEMA)))}
+    assert got == {r[0]: r[2] for r in plain(rows)}
+    assert sum(asked) <= 10 * len(rows)
