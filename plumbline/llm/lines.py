@@ -199,13 +199,16 @@ def _sharing(against: DataFrame, similarity: float) -> DataFrame:
     What they have in common of the representative is at most what one of them has, and of fresh shingles
     at most what follows in both on the first that they share.
     """
-    fresh = against.select("rep", "id", "root", "size", "shared", F.posexplode("fresh").alias("at", "shingle"))
+    fresh = against.select("rep", "id", "root", "size", "shared", "fresh", F.posexplode("fresh").alias("at", "shingle"))
+    fresh = fresh.withColumn("before", F.get("fresh", F.col("at") - 1)).drop("fresh")
     ends = fresh.groupBy("rep", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     fresh = stored(fresh.join(ends.where("low < high").select("rep", "shingle"), ["rep", "shingle"]), "fresh-shingles")
-    other = fresh.select("rep", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "shared", "at")])
+    other = fresh.select("rep", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "shared", "at", "before")])
+    # Where the shingles before are equal too, this is not the first that they share.
+    first = F.expr("before IS NULL OR before_x IS NULL OR before <> before_x")
     most = F.expr("least(shared, shared_x) + least(size - shared - at, size_x - shared_x - at_x)")
     may = F.expr("id < id_x AND root <> root_x") & _enough(most, F.col("size"), F.col("size_x"), similarity)
-    return fresh.join(other, ["rep", "shingle"]).where(may).select(F.col("id").alias("a"), F.col("id_x").alias("b"))
+    return fresh.join(other, ["rep", "shingle"]).where(may & first).select(F.col("id").alias("a"), F.col("id_x").alias("b"))
 
 
 def _open(groups: DataFrame) -> DataFrame:
